@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import op2_token_counts, op5_bpe, op6_token_output, op8_url_filters, op10_license_scan
+from . import op2_token_counts, op3_decontaminate, op5_bpe, op6_token_output, op8_url_filters, op9_minhash, op10_license_scan
 
 QUERIES = {
     "op2_token_counts": op2_token_counts.op2_token_counts,
+    "op3_decontaminate": op3_decontaminate.op3_decontaminate,
     "op5_bpe": op5_bpe.op5_bpe,
     "op6_token_output": op6_token_output.op6_token_output,
     "op8_url_filters": op8_url_filters.op8_url_filters,
+    "op9_minhash": op9_minhash.op9_minhash,
     "op10_license_scan": op10_license_scan.op10_license_scan,
 }
 ORACLES = {
     "op8_url_filters": op8_url_filters.ORACLE,
+    "op9_minhash": op9_minhash.ORACLE,
 }
