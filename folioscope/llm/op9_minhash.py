@@ -67,7 +67,7 @@ def _sign(k: int):
                 a, b = (int(x.sum(dtype=np.uint64).view(np.int64)) for x in (mix(s ^ np.uint64(0xA5A5)), mix(s * np.uint64(0x9E3779B97F4A7C15))))
                 for c, v in zip(out, (len(s), a, b, keys, bits), strict=True):
                     out[c].append(v)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], **out})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], **out})
 
     return run
 
@@ -146,7 +146,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percen
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id = component_id) for each row of ``docs``.
+    """doc_id, text_hash, n_shingles, component_id and kept (doc_id = component_id) for each row of ``docs``.
 
     A text without words (null, empty, white space) has no shingles and is linked with nothing; one of
     fewer than k words has its whole sequence as its only shingle. Rows that repeat a doc_id are one
@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     doc_id gets the component of equal texts that have one, else null, and is kept only then. Other
     columns are not read. An empty table gives an empty result."""
     signed = materialise(
-        text_rows(docs).mapInPandas(_sign(k), "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, keys array<bigint>, bits array<bigint>"),
+        text_rows(docs).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).mapInPandas(_sign(k), "doc_id bigint, text_hash bigint, n_shingles bigint, print_a bigint, print_b bigint, keys array<bigint>, bits array<bigint>"),
         "signatures",
     )
     prints = ["print_a", "print_b"]
@@ -193,13 +193,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         found = components(links)
 
     of_class = nodes.select("id", *prints).join(found, "id", "left").select(*prints, F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", *prints).join(of_class, prints, "left")
+    out = signed.select("doc_id", "text_hash", "n_shingles", *prints).join(of_class, prints, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(pages_of(spark, sf_dir, "documents"), k=4, percent=80)
+    return near_duplicates(pages_of(spark, sf_dir, "documents"), k=4, percent=80).drop("text_hash")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with all columns, less the rows whose text another row stands for: of each group that of the
+    smallest doc_id stays, once. Rows of null doc_id stay if no row with one has an equal text."""
+    found = materialise(near_duplicates(docs, k, percent), "groups")
+    told = F.when(F.col("doc_id").isNull(), F.col("text_hash"))
+    stay = found.where("kept").groupBy("doc_id", "component_id", told).agg(F.min("text_hash").alias("stay_hash")).select(F.col("doc_id").alias("stay_id"), "stay_hash").distinct()
+    hashed = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["stay_id"]) & (hashed == stay["stay_hash"]), "left_semi")
+    if found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 ORACLE = r"""
