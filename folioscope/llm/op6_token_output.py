@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -37,8 +39,12 @@ from .files import open_store, write_whole
 MAGIC = b"FOLIOSST"
 BLOCK_BYTES = 256 * 1024
 BITS_A_KEY, HASHES = 10, 7
-#: The word caches of a task are emptied at these sizes, which bounds their memory and changes no result.
-MAX_CACHED_WORDS, MAX_CACHED_IDS = 600_000, 8_000_000
+#: The word caches of a process, kept from task to task, are emptied at these sizes, which bounds their memory and changes no result.
+MAX_CACHED_WORDS, MAX_CACHED_IDS = 1_200_000, 8_000_000
+_ENCODERS: dict = {}
+
+#: ASCII signs that no alternative of the pattern treats apart (the apostrophe is one that does).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _FOOTER = struct.Struct("<6QII8s")
 _ENTRY = struct.Struct("<BBI")
@@ -46,6 +52,16 @@ _INDEX = struct.Struct("<9sQII")
 _MANIFEST = "shard string, first_id bigint, first_null boolean, documents bigint, ids bigint"
 
 
+class _Places(dict):
+    """Places of words that follow a space; a word not yet known is encoded when it is asked for."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> int:
+        return self.encoder._place(self, word, " " + word)
+
+
 class Encoder:
     """Encodes whole texts with a tokenizers file of byte-level BPE, a word at a time.
 
@@ -63,10 +79,10 @@ class Encoder:
         self.model = whole.model
         self.size = whole.get_vocab_size()
         self.chars = self._byte_chars()
-        self.plain = re.compile(r"[A-Za-z]+").fullmatch
+        self.mapped = dict(enumerate(self.chars))
         # The pattern that byte-level BPE of this kind cuts its words by (a fixed value of the format).
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.odd = re.compile(r"^ |\s | \s| $").search
+        self.rare_space = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
         self.clear()
 
@@ -78,25 +94,49 @@ class Encoder:
         return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = _Places(self)
         self.first: dict[str, int] = {}
         self.known: dict[str, list[int]] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
-        self.starts: list[int] = []
-        self.lengths: list[int] = []
+        self.starts, self.lengths = array("q"), array("q")
+
+    def odd(self, text: str) -> bool:
+        """Whether a space may stand at an end of the text or beside other white space."""
+        return text[:1] == " " or text[-1:] == " " or any(x in text for x in ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")) or self.rare_space(text) is not None
 
     def _ids(self, text: str) -> list[int]:
+        core = text[1:] if text[:1] == " " else text
+        if core.isalpha():
+            return self._piece(text)
+        # Most other words are letters with marks behind them: two pieces of the pattern.
+        word = core.rstrip(_MARKS)
+        if word.isalpha():
+            cut = len(text) - len(core) + len(word)
+            pieces = text[:cut], text[cut:]
+        else:
+            pieces = self.pieces(text)
+        if len(pieces) == 1:
+            return self._piece(text)
         out: list[int] = []
-        spaced = text[1:] if text[:1] == " " else text
-        for piece in [text] if self.plain(spaced) else self.pieces(text):
+        for piece in pieces:
+            place = self.index.get(piece[1:]) if piece[0] == " " else None
+            if place is not None:
+                out += self.flat[self.starts[place] : self.starts[place] + self.lengths[place]].tolist()
+                continue
             ids = self.known.get(piece)
             if ids is None:
-                mapped = piece.replace(" ", self.chars[32]) if piece.isascii() and piece.lstrip(" ").isprintable() else "".join(self.chars[b] for b in piece.encode("utf-8"))
-                ids = self.known[piece] = [t.id for t in self.model.tokenize(mapped)]
+                ids = self.known[piece] = self._piece(piece)
             out += ids
         return out
 
+    def _piece(self, piece: str) -> list[int]:
+        if piece.isascii() and piece.isprintable():
+            mapped = piece.replace(" ", self.chars[32])
+        else:
+            mapped = piece.encode("utf-8").decode("latin-1").translate(self.mapped)
+        return [t.id for t in self.model.tokenize(mapped)]
+
     def _place(self, into: dict[str, int], word: str, text: str) -> int:
         ids = self._ids(text)
         end = self.used + len(ids)
@@ -110,30 +150,20 @@ class Encoder:
         return place
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > MAX_CACHED_WORDS or self.used > MAX_CACHED_IDS:
+        if len(self.index) + len(self.known) > MAX_CACHED_WORDS or self.used > MAX_CACHED_IDS:
             self.clear()
         placed = []
         for text in texts:
             words = self.cut(text) if self.odd(text) else text.split(" ")
-            if not text:
-                placed.append([])
-                continue
-            head = self.first.get(words[0])
-            if head is None:
-                head = self._place(self.first, words[0], words[0])
-            get, rest = self.index.get, words[1:]
-            found = list(map(get, rest))
-            if None in found:
-                for i, place in enumerate(found):
-                    if place is None:
-                        word = rest[i]
-                        place = get(word)
-                        found[i] = self._place(self.index, word, " " + word) if place is None else place
-            placed.append([head, *found])
-        starts, lengths = np.array(self.starts, np.int64), np.array(self.lengths, np.int64)
+            places = np.empty(len(words) if text else 0, np.int64)
+            if text:
+                head = self.first.get(words[0])
+                places[0] = self._place(self.first, words[0], words[0]) if head is None else head
+                places[1:] = np.fromiter(map(self.index.__getitem__, islice(words, 1, None)), np.int64, len(words) - 1)
+            placed.append(places)
+        starts, lengths = np.frombuffer(self.starts, np.int64) if self.starts else np.empty(0, np.int64), np.frombuffer(self.lengths, np.int64) if self.starts else np.empty(0, np.int64)
         out = []
-        for places in placed:
-            at = np.array(places, np.int64)
+        for at in placed:
             n = lengths[at]
             total = int(n.sum())
             begin = np.repeat(starts[at] - (np.cumsum(n) - n), n)
@@ -264,7 +294,7 @@ class Shard:
 
 def _writer(folder: str, path: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
         done: dict = {}
 
         def write(out) -> None:
@@ -274,8 +304,8 @@ def _writer(folder: str, path: str, end_id: int):
                 if not done and len(batch):
                     first = batch["doc_id"].iloc[0]
                     done["first"] = None if pd.isna(first) else int(first)
-                for at in range(0, len(batch), 64):
-                    rows = batch.iloc[at : at + 64]
+                for at in range(0, len(batch), 128):
+                    rows = batch.iloc[at : at + 128]
                     for doc_id, ids in zip(rows["doc_id"], encoder.encode([t or "" for t in rows["text"]]), strict=True):
                         shard.add(None if pd.isna(doc_id) else int(doc_id), np.concatenate((ids, end)))
             shard.close()
