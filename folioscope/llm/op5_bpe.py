@@ -1,18 +1,18 @@
 """Byte-level BPE encoding and decoding over a global shuffle of distinct words.
 
-Encoding. Texts are cut by the pre-token pattern. Each block of documents (BLOCK_CHARS of text, or
-one longer document) keeps a list of its distinct pre-tokens and, for each document, the places
-its pre-tokens have in that list, in order: pre-tokens exploded with positions, the positions
-packed. The lists of all blocks are exploded and made distinct in one shuffle over all of the
-corpus; each distinct pre-token is encoded once; the ids are joined back to the blocks' lists and
-the documents are reassembled by position. A frequent pre-token is one row for each block that has
-it, so no key is hot by more than the number of blocks.
-
-Decoding. A block's distinct ids are joined with the table of token bytes (the vocabulary, of
-bounded and checked size), and the documents' bytes are put together by position.
-
-The block table is written to the shared folder: both the shuffle and the reassembly read the same
-blocks, also after an executor is lost.
+Encoding. Texts are cut by the pre-token pattern. Each block of documents (about BLOCK_CHARS of text)
+keeps a list of its distinct pre-tokens, the frequent ones first, and for each of its pre-tokens, in
+order, the place it has in that list: pre-tokens exploded with positions, the positions packed. The
+lists are dealt by the pre-tokens' hash into BUCKETS, and those of all blocks meet in one shuffle over
+the corpus; there each distinct pre-token is encoded once, and the ids are joined back to every block
+that asked. The documents are then reassembled by position. A frequent pre-token is asked for once by
+each block, so no key is hotter than the number of blocks; what moves is packed and compressed.
+
+Decoding. Ids are joined with the table of token bytes (the vocabulary, of bounded and checked size)
+and the documents' bytes put together by position.
+
+The block table is written to the shared folder: the shuffle and the reassembly read the same blocks,
+also after an executor is lost.
 """
 
 from __future__ import annotations
@@ -20,19 +20,24 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, pages_of, text_rows
 
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 24_000_000
+BUCKETS = 1024
 MAX_VOCABULARY = 1_000_000
 
-_BLOCKS = "block string, part int, words array<string>, docs array<struct<doc_id:bigint, places:binary>>"
+_BLOCKS = "block string, doc_ids array<bigint>, sizes binary, places binary, buckets binary, asked array<struct<bucket:int,sizes:binary,words:binary>>"
 _RANKS: dict[str, dict[bytes, int]] = {}
 _ENCODERS: dict = {}
 
@@ -55,47 +60,86 @@ def _encoder(path: str, pattern: str):
     return _ENCODERS[path, pattern]
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte plane by byte plane (the high planes of small numbers are all zero), compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
+def _join(words: list[bytes]) -> tuple[bytes, bytes]:
+    return _pack(np.fromiter(map(len, words), np.uint32, len(words))), zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+
+
 def _blocks(pattern: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import regex
 
         find = regex.compile(pattern).findall
-        docs: list[dict] = []
-        index: dict[str, int] = {}
-        chars, name = 0, hashlib.sha256()
-
-        def cut() -> pd.DataFrame:
-            out = pd.DataFrame({"block": [name.hexdigest()], "part": [0], "words": [list(index)], "docs": [docs]})
-            return out
 
+        def cut(index: dict, places: list[np.ndarray], doc_ids: list, name) -> pd.DataFrame:
+            words = np.array([w.encode("utf-8") for w in index], object)
+            flat = np.concatenate(places) if places else np.empty(0, np.uint32)
+            order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[order] = np.arange(len(words), dtype=np.uint32)
+            words = words[order]
+            bucket = np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.uint16, len(words))
+            by = np.argsort(bucket, kind="stable")
+            borders = np.searchsorted(bucket[by], np.arange(BUCKETS + 1))
+            asked = []
+            for b in np.flatnonzero(np.diff(borders)):
+                sizes, packed = _join(words[by[borders[b] : borders[b + 1]]].tolist())
+                asked.append({"bucket": int(b), "sizes": sizes, "words": packed})
+            return pd.DataFrame(
+                {"block": [name.hexdigest()], "doc_ids": [doc_ids], "sizes": [_pack(np.array([len(x) for x in places], np.uint32))], "places": [_pack(rank[flat])], "buckets": [_pack(bucket)], "asked": [asked]}
+            )
+
+        index = defaultdict(count().__next__)
+        places, doc_ids, chars, name = [], [], 0, hashlib.sha256()
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = find(text or "")
-                for w in words:
-                    if w not in index:
-                        index[w] = len(index)
-                places = np.fromiter(map(index.__getitem__, words), np.uint32, len(words))
-                # Narrow places halve what is kept; the first byte tells their width.
-                wide = len(index) > 65_536
-                docs.append({"doc_id": None if pd.isna(doc_id) else int(doc_id), "places": (b"\4" if wide else b"\2") + places.astype("<u4" if wide else "<u2").tobytes()})
-                name.update(f"{doc_id} {len(places)} ".encode())
-                name.update(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=8).digest())
-                chars += len(text or "")
+                text = text or ""
+                words = find(text)
+                places.append(np.fromiter(map(index.__getitem__, words), np.uint32, len(words)))
+                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
+                name.update(f"{doc_id} {len(words)} ".encode() + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                chars += len(text)
                 if chars >= BLOCK_CHARS:
-                    yield cut()
-                    docs, index, chars, name = [], {}, 0, hashlib.sha256()
-        if docs:
-            yield cut()
+                    yield cut(index, places, doc_ids, name)
+                    index = defaultdict(count().__next__)
+                    places, doc_ids, chars, name = [], [], 0, hashlib.sha256()
+        if doc_ids:
+            yield cut(index, places, doc_ids, name)
 
     return run
 
 
 def _encode_words(path: str, pattern: str):
+    """Rows come sorted by bucket: the words of one bucket are kept while its rows last."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = _encoder(path, pattern)._core_bpe.encode_single_piece
+        now, known = None, {}
         for batch in batches:
-            words = batch["word"]
-            yield pd.DataFrame({"word": words, "ids": [np.array(one(w.encode("utf-8")), "<u4").tobytes() for w in words]})
+            lengths, ids = [], []
+            for bucket, sizes, words in zip(batch["bucket"], batch["sizes"], batch["words"], strict=True):
+                if bucket != now:
+                    now, known = bucket, {}
+                data, at, found = zstandard.ZstdDecompressor().decompress(words), 0, []
+                for size in _unpack(sizes).tolist():
+                    word = data[at : at + size]
+                    at += size
+                    got = known.get(word)
+                    if got is None:
+                        got = known[word] = one(word)
+                    found.append(got)
+                lengths.append(_pack(np.fromiter(map(len, found), np.uint32, len(found))))
+                ids.append(_pack(np.fromiter(chain.from_iterable(found), np.uint32)))
+            yield pd.DataFrame({"in_block": batch["in_block"], "bucket": batch["bucket"], "lengths": lengths, "ids": ids})
 
     return run
 
@@ -115,21 +159,25 @@ def _pieces(values: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray, np
     return np.frombuffer(b"".join(values), dtype), np.concatenate(([0], np.cumsum(lengths)))[: len(values)].astype(np.int64), lengths
 
 
-def _places(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, "<u4" if packed[0] == 4 else "<u2", offset=1)
-
-
 def _reassemble(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """left: one block's documents; right: place and ids of the block's distinct words."""
-    ids: list[bytes] = [b""] * len(right)
-    for place, value in zip(right["place"], right["ids"], strict=True):
-        ids[place] = value
-    flat, starts, lengths = _pieces(ids, "<u4")
+    """left: a block's documents (one row, or equal blocks); right: for each bucket, the ids of the words it asked for."""
     out: dict[str, list] = {"doc_id": [], "ids": []}
-    for block in left["docs"]:
-        for d in block:
-            out["doc_id"].append(d["doc_id"])
-            out["ids"].append(_gather(flat, starts, lengths, _places(d["places"])).astype("<u4").tobytes())
+    if len(left):
+        buckets = _unpack(left["buckets"].iloc[0])
+        order = np.argsort(buckets, kind="stable")
+        right = right.drop_duplicates("bucket").sort_values("bucket")  # equal blocks ask alike
+        n = [_unpack(x) for x in right["lengths"]]
+        flat = np.concatenate([np.empty(0, np.uint32), *(_unpack(x) for x in right["ids"])])
+        lengths, starts = np.zeros(len(buckets), np.int64), np.zeros(len(buckets), np.int64)
+        in_order = np.concatenate([np.empty(0, np.int64), *n]).astype(np.int64)
+        lengths[order] = in_order
+        starts[order] = np.cumsum(in_order) - in_order
+        for doc_ids, sizes, places in zip(left["doc_ids"], left["sizes"], left["places"], strict=True):
+            places, at = _unpack(places), 0
+            for doc_id, size in zip(doc_ids, _unpack(sizes).tolist(), strict=True):
+                out["doc_id"].append(None if pd.isna(doc_id) else int(doc_id))
+                out["ids"].append(_gather(flat, starts, lengths, places[at : at + size]).astype("<u4").tobytes())
+                at += size
     return pd.DataFrame({"doc_id": pd.array(out["doc_id"], "Int64"), "ids": out["ids"]})
 
 
@@ -139,16 +187,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     A null text counts as empty and has no ids. A null doc_id is kept; rows that repeat are encoded
     each; other columns are not read; an empty table gives an empty result."""
     blocks = materialise(text_rows(docs).mapInPandas(_blocks(pattern), _BLOCKS), "bpe-blocks")
-    places = blocks.select(F.col("block").alias("in_block"), F.posexplode("words").alias("place", "word"))
-    ids = places.select("word").distinct().mapInPandas(_encode_words(path, pattern), "word string, ids binary")
-    listed = places.join(ids, "word").select("in_block", "place", "ids")
-    # Blocks that are equal to the byte share a name; only one list of their words is needed.
-    return (
-        blocks.select("block", "docs")
-        .groupBy("block")
-        .cogroup(listed.dropDuplicates(["in_block", "place"]).groupBy("in_block"))
-        .applyInPandas(_reassemble, "doc_id bigint, ids binary")
-    )
+    asked = blocks.select(F.col("block").alias("in_block"), F.inline("asked"))
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_encode_words(path, pattern), "in_block string, bucket int, lengths binary, ids binary")
+    # Blocks that are equal to the byte share a name and are reassembled together.
+    kept = blocks.select("block", "doc_ids", "sizes", "places", "buckets")
+    return kept.groupBy("block").cogroup(answers.groupBy("in_block")).applyInPandas(_reassemble, "doc_id bigint, ids binary")
 
 
 def token_bytes(spark: SparkSession, path: str) -> DataFrame:
