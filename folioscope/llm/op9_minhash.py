@@ -11,8 +11,11 @@
    chance. Pairs whose estimate is more than SLACK below the threshold are let go; the others are
    confirmed on the full sets.
 5. Components of the confirmed links. Buckets whose members are still in different components are
-   then compared across components, in blocks, by bit counts; pairs that pass are confirmed too. A
-   pair within one component can't change the result. So nothing that shares a band is lost.
+   then compared across components, and pairs that pass the estimate are confirmed too; a pair within
+   one component can't change the result. So nothing that shares a band is lost. Buckets of up to
+   SMALL members are joined with themselves; the members of larger ones get signatures of FINE lanes,
+   which are compared in blocks by bit counts, so that of a large group only pairs close to the
+   threshold leave the comparison.
 
 With 32 bands of 4 lanes, a pair of similarity 0.8 shares no band with probability 5e-8, and its
 estimate over 128 lanes of 4 bits is SLACK too low with a probability of about 1e-6.
@@ -35,10 +38,15 @@ BANDS, ROWS, BITS = 32, 4, 4
 LANES = BANDS * ROWS
 WORDS = LANES * BITS // 64
 SLACK = 0.18
+#: Members of larger buckets get a finer signature for the comparison across components.
+SMALL = 32
+FINE = 1024
+FINE_SLACK = 0.065
 BLOCK = 1024
 _STEP = 4096
 _LOW = int("1" * (64 // BITS), 1 << BITS)
 
+_FINE = np.random.default_rng(20_25).integers(0, 1 << 63, FINE, np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = np.random.default_rng(20_24).integers(0, 1 << 63, LANES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -56,6 +64,10 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), packed.view(np.int64)
 
 
+def _print_a(s: np.ndarray) -> int:
+    return int(mix(s ^ np.uint64(0xA5A5)).sum(dtype=np.uint64).view(np.int64))
+
+
 def _sign(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -64,7 +76,7 @@ def _sign(k: int):
                 s = shingle_hashes(word_hashes(text or ""), k)
                 keys, bits = signature(s) if len(s) else (None, None)
                 # Two sums over the set, which don't depend on order, name the set.
-                a, b = (int(x.sum(dtype=np.uint64).view(np.int64)) for x in (mix(s ^ np.uint64(0xA5A5)), mix(s * np.uint64(0x9E3779B97F4A7C15))))
+                a, b = _print_a(s), int(mix(s * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64))
                 for c, v in zip(out, (len(s), a, b, keys, bits), strict=True):
                     out[c].append(v)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], **out})
@@ -76,7 +88,7 @@ def _sets(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_hashes(word_hashes(t or ""), k).view(np.int64) for t in batch["text"]]
-            prints = [int(mix(s.view(np.uint64) ^ np.uint64(0xA5A5)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+            prints = [_print_a(s.view(np.uint64)) for s in sets]
             yield pd.DataFrame({"id": batch["doc_id"], "print_a": prints, "shingles": sets})
 
     return run
@@ -95,17 +107,31 @@ def estimate(a: str, b: str) -> Column:
     return ((1 - differ / LANES) - chance) / (1 - chance)
 
 
-def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The same, of all rows of a with all rows of b."""
-    differ = np.zeros((len(a), len(b)), np.int16)
-    for i in range(WORDS):
-        x = a[:, i, None] ^ b[None, :, i]
-        any_bit = x.copy()
-        for s in range(1, BITS):
-            any_bit |= x >> np.uint64(s)
-        differ += np.bitwise_count(any_bit & np.uint64(_LOW))
+def _fine(k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            prints, bits = [], []
+            for text in batch["text"]:
+                s = shingle_hashes(word_hashes(text or ""), k)
+                least = np.full(FINE, ~np.uint64(0), np.uint64)
+                for at in range(0, len(s), 512):
+                    np.minimum(least, (s[None, at : at + 512] * _FINE[:, None]).min(axis=1), out=least)
+                lanes = (mix(least) & np.uint64((1 << BITS) - 1)).reshape(-1, 64 // BITS)
+                bits.append((lanes << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).view(np.int64))
+                prints.append(_print_a(s))
+            yield pd.DataFrame({"id": batch["doc_id"], "print_a": prints, "fine": bits})
+
+    return run
+
+
+def _similar(x: np.ndarray) -> np.ndarray:
+    """Corrected similarity from the last axis of XORed packed lanes."""
+    any_bit = x.copy()
+    for s in range(1, BITS):
+        any_bit |= x >> np.uint64(s)
+    differ = np.bitwise_count(any_bit & np.uint64(_LOW)).sum(axis=-1, dtype=np.int32)
     chance = 1 / (1 << BITS)
-    return ((1 - differ / LANES) - chance) / (1 - chance)
+    return ((1 - differ / (x.shape[-1] * 64 // BITS)) - chance) / (1 - chance)
 
 
 def _across(least: float):
@@ -115,29 +141,38 @@ def _across(least: float):
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": []})
         band = int(left["band"].iloc[0])
-        bits = [np.stack(x["bits"].to_numpy()).view(np.uint64) for x in (left, right)]
+        bits = [np.stack(x["fine"].to_numpy()).view(np.uint64) for x in (left, right)]
         keys = [np.stack(x["keys"].to_numpy()) for x in (left, right)]
         ids = [x["id"].to_numpy() for x in (left, right)]
         comps = [x["component"].to_numpy() for x in (left, right)]
-        found = []
-        for at in range(0, len(left), 128):
-            part = slice(at, at + 128)
-            ok = (_estimates(bits[0][part], bits[1]) >= least) & (comps[0][part, None] != comps[1][None, :]) & (ids[0][part, None] < ids[1][None, :])
-            i, j = np.nonzero(ok)
-            first = (keys[0][part][i] == keys[1][j]).argmax(axis=1) == band
-            found.append(np.stack([ids[0][part][i[first]], ids[1][j[first]]]))
+        found = [np.empty((2, 0), np.int64)]
+        for at in range(0, len(left), 64):
+            part = slice(at, at + 64)
+            # The first lanes rule most pairs out; the rest of the signature decides on the others.
+            rough = _similar(bits[0][part, None, :WORDS] ^ bits[1][None, :, :WORDS]) >= least - SLACK
+            i, j = np.nonzero(rough & (comps[0][part, None] != comps[1][None, :]) & (ids[0][part, None] < ids[1][None, :]))
+            i += at
+            first = (keys[0][i] == keys[1][j]).argmax(axis=1) == band
+            i, j = i[first], j[first]
+            for lo in range(0, len(i), 20_000):
+                some = slice(lo, lo + 20_000)
+                close = _similar(bits[0][i[some]] ^ bits[1][j[some]]) >= least - FINE_SLACK
+                found.append(np.stack([ids[0][i[some][close]], ids[1][j[some][close]]]))
         a, b = np.concatenate(found, axis=1)
         return pd.DataFrame({"a": a, "b": b})
 
     return run
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """Texts of documents by doc_id. Only where a doc_id repeats with different texts can it bring another class's text."""
+    return text_rows(docs).join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b: ids of classes) whose full sets reach the threshold, as u, v."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "print_a"), "id").select("id", "print_a")
-    texts = text_rows(docs).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sets = texts.mapInPandas(_sets(k), "id bigint, print_a bigint, shingles array<bigint>")
-    # Only where a doc_id repeats with different texts can the semi join find another class's text.
+    sets = _texts_of(ids, docs).mapInPandas(_sets(k), "id bigint, print_a bigint, shingles array<bigint>")
     sets = materialise(sets.join(ids, ["id", "print_a"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"), "sets")
     side = lambda n: sets.select(F.col("id").alias(n), F.col("shingles").alias(f"s_{n}"))
     both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
@@ -180,14 +215,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # Buckets that still hold more than one component.
     held = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low != high")
-    split = held.select("id", "band", "key", "component").join(mixed.select("key", "size"), "key").join(nodes.select("id", "keys", "bits"), "id")
-    split = materialise(split.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "mixed")
+    mixed_members = materialise(held.select("id", "band", "key", "component").join(mixed.select("key", "size"), "key"), "mixed")
+    few = mixed_members.where(F.col("size") <= SMALL)
+    one, two = few.select("key", F.col("id").alias("a"), F.col("component").alias("of_a")), few.select("key", F.col("id").alias("b"), F.col("component").alias("of_b"))
+    close = one.join(two, "key").where("a < b and of_a != of_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    close = close.join(bits("a"), "a").join(bits("b"), "b").where(estimate("bits_a", "bits_b") >= least).select("a", "b")
+
+    many = mixed_members.where(F.col("size") > SMALL)
+    fine = _texts_of(many, docs).mapInPandas(_fine(k), "id bigint, print_a bigint, fine array<bigint>")
+    fine = nodes.select("id", "print_a", "keys").join(fine, ["id", "print_a"]).dropDuplicates(["id"]).drop("print_a")
+    split = many.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    split = materialise(split.join(fine, "id"), "large")
     each = F.sequence(F.lit(0), F.col("blocks") - 1)
-    columns = ["id", "band", "component", "keys", "bits"]
+    columns = ["id", "band", "component", "keys", "fine"]
     left = split.withColumn("row", F.col("block")).withColumn("col", F.explode(each)).select("key", "row", "col", *columns)
     right = split.withColumn("col", F.col("block")).withColumn("row", F.explode(each)).select(F.col("key").alias("key2"), F.col("row").alias("row2"), F.col("col").alias("col2"), *[F.col(c).alias(c) for c in columns])
-    more = left.groupBy("key", "row", "col").cogroup(right.groupBy("key2", "row2", "col2")).applyInPandas(_across(least), "a bigint, b bigint")
-    more = materialise(more.distinct().join(stars, ["a", "b"], "left_anti"), "across")
+    large = left.groupBy("key", "row", "col").cogroup(right.groupBy("key2", "row2", "col2")).applyInPandas(_across(percent / 100), "a bigint, b bigint")
+    more = materialise(close.union(large.join(stars, ["a", "b"], "left_anti")).distinct(), "across")
     if not more.isEmpty():
         links = links.union(_confirm(more, docs, nodes, k, percent))
         found = components(links)
