@@ -40,7 +40,7 @@ MAGIC = b"FOLIOSST"
 BLOCK_BYTES = 256 * 1024
 BITS_A_KEY, HASHES = 10, 7
 #: The word caches of a process, kept from task to task, are emptied at these sizes, which bounds their memory and changes no result.
-MAX_CACHED_WORDS, MAX_CACHED_IDS = 1_200_000, 8_000_000
+MAX_CACHED_WORDS, MAX_CACHED_IDS = 2_400_000, 10_000_000
 _ENCODERS: dict = {}
 
 #: ASCII signs that no alternative of the pattern treats apart (the apostrophe is one that does).
@@ -59,7 +59,12 @@ class _Places(dict):
         self.encoder = encoder
 
     def __missing__(self, word: str) -> int:
-        return self.encoder._place(self, word, " " + word)
+        e = self.encoder
+        if word.isalpha() and word.isascii():  # the frequent case, without the ways of the others
+            ids = [t.id for t in e.model.tokenize(e.space + word)]
+        else:
+            ids = e._ids(" " + word)
+        return e._keep(self, word, ids)
 
 
 class Encoder:
@@ -80,6 +85,7 @@ class Encoder:
         self.size = whole.get_vocab_size()
         self.chars = self._byte_chars()
         self.mapped = dict(enumerate(self.chars))
+        self.space = self.chars[32]
         # The pattern that byte-level BPE of this kind cuts its words by (a fixed value of the format).
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.rare_space = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
@@ -138,7 +144,9 @@ class Encoder:
         return [t.id for t in self.model.tokenize(mapped)]
 
     def _place(self, into: dict[str, int], word: str, text: str) -> int:
-        ids = self._ids(text)
+        return self._keep(into, word, self._ids(text))
+
+    def _keep(self, into: dict[str, int], word: str, ids: list[int]) -> int:
         end = self.used + len(ids)
         if end > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty(max(len(self.flat), end), np.uint32)))
