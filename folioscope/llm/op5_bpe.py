@@ -5,8 +5,9 @@ keeps a list of its distinct pre-tokens, the frequent ones first, and for each o
 order, the place it has in that list: pre-tokens exploded with positions, the positions packed. The
 lists are dealt by the pre-tokens' hash into BUCKETS, and those of all blocks meet in one shuffle over
 the corpus; there each distinct pre-token is encoded once, and the ids are joined back to every block
-that asked. The documents are then reassembled by position. A frequent pre-token is asked for once by
-each block, so no key is hotter than the number of blocks; what moves is packed and compressed.
+that asked. The documents are then reassembled by position: the task that has a block's ids reads its
+positions from the block table, so that texts and positions never move. A frequent pre-token is asked
+for once by each block, so no key is hotter than the number of blocks; what moves is packed and compressed.
 
 Decoding. Ids are joined with the table of token bytes (the vocabulary, of bounded and checked size)
 and the documents' bytes put together by position.
@@ -32,8 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, pages_of, text_rows
+from .files import open_store
 
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 12_000_000
 BUCKETS = 1024
 MAX_VOCABULARY = 1_000_000
 
@@ -94,6 +96,8 @@ def _blocks(pattern: str):
             for b in np.flatnonzero(np.diff(borders)):
                 sizes, packed = _join(words[by[borders[b] : borders[b + 1]]].tolist())
                 asked.append({"bucket": int(b), "sizes": sizes, "words": packed})
+            if not asked:  # a block of empty texts still has to be answered
+                asked = [dict(zip(("bucket", "sizes", "words"), (0, *_join([])), strict=True))]
             return pd.DataFrame(
                 {"block": [name.hexdigest()], "doc_ids": [doc_ids], "sizes": [_pack(np.array([len(x) for x in places], np.uint32))], "places": [_pack(rank[flat])], "buckets": [_pack(bucket)], "asked": [asked]}
             )
@@ -139,7 +143,7 @@ def _encode_words(path: str, pattern: str):
                     found.append(got)
                 lengths.append(_pack(np.fromiter(map(len, found), np.uint32, len(found))))
                 ids.append(_pack(np.fromiter(chain.from_iterable(found), np.uint32)))
-            yield pd.DataFrame({"in_block": batch["in_block"], "bucket": batch["bucket"], "lengths": lengths, "ids": ids})
+            yield pd.DataFrame({"in_block": batch["in_block"], "path": batch["path"], "bucket": batch["bucket"], "lengths": lengths, "ids": ids})
 
     return run
 
@@ -159,25 +163,34 @@ def _pieces(values: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray, np
     return np.frombuffer(b"".join(values), dtype), np.concatenate(([0], np.cumsum(lengths)))[: len(values)].astype(np.int64), lengths
 
 
-def _reassemble(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """left: a block's documents (one row, or equal blocks); right: for each bucket, the ids of the words it asked for."""
+def _stored(path: str, block: str) -> Iterator[dict]:
+    """Rows of a block in its file of the block table, read one at a time."""
+    from pyarrow import parquet
+
+    store, at = open_store(path)
+    with store.open_input_file(at) as f:
+        for row in parquet.ParquetFile(f).iter_batches(batch_size=1, columns=["block", "doc_ids", "sizes", "places", "buckets"]):
+            if row.column("block")[0].as_py() == block:
+                yield {c: row.column(c)[0].as_py() for c in ("doc_ids", "sizes", "places", "buckets")}
+
+
+def _reassemble(key: tuple, answers: pd.DataFrame) -> pd.DataFrame:
+    """answers: for each bucket, the ids of the words that a block asked for, in the order of asking."""
+    block, path = key
+    answers = answers.drop_duplicates("bucket").sort_values("bucket")  # equal blocks ask alike
+    flat = np.concatenate([np.empty(0, np.uint32), *(_unpack(x) for x in answers["ids"])])
+    in_order = np.concatenate([np.empty(0, np.int64), *(_unpack(x) for x in answers["lengths"])]).astype(np.int64)
     out: dict[str, list] = {"doc_id": [], "ids": []}
-    if len(left):
-        buckets = _unpack(left["buckets"].iloc[0])
-        order = np.argsort(buckets, kind="stable")
-        right = right.drop_duplicates("bucket").sort_values("bucket")  # equal blocks ask alike
-        n = [_unpack(x) for x in right["lengths"]]
-        flat = np.concatenate([np.empty(0, np.uint32), *(_unpack(x) for x in right["ids"])])
-        lengths, starts = np.zeros(len(buckets), np.int64), np.zeros(len(buckets), np.int64)
-        in_order = np.concatenate([np.empty(0, np.int64), *n]).astype(np.int64)
+    for row in _stored(path, block):
+        order = np.argsort(_unpack(row["buckets"]), kind="stable")
+        lengths, starts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         lengths[order] = in_order
         starts[order] = np.cumsum(in_order) - in_order
-        for doc_ids, sizes, places in zip(left["doc_ids"], left["sizes"], left["places"], strict=True):
-            places, at = _unpack(places), 0
-            for doc_id, size in zip(doc_ids, _unpack(sizes).tolist(), strict=True):
-                out["doc_id"].append(None if pd.isna(doc_id) else int(doc_id))
-                out["ids"].append(_gather(flat, starts, lengths, places[at : at + size]).astype("<u4").tobytes())
-                at += size
+        places, at = _unpack(row["places"]), 0
+        for doc_id, size in zip(row["doc_ids"], _unpack(row["sizes"]).tolist(), strict=True):
+            out["doc_id"].append(doc_id)
+            out["ids"].append(_gather(flat, starts, lengths, places[at : at + size]).astype("<u4").tobytes())
+            at += size
     return pd.DataFrame({"doc_id": pd.array(out["doc_id"], "Int64"), "ids": out["ids"]})
 
 
@@ -187,11 +200,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     A null text counts as empty and has no ids. A null doc_id is kept; rows that repeat are encoded
     each; other columns are not read; an empty table gives an empty result."""
     blocks = materialise(text_rows(docs).mapInPandas(_blocks(pattern), _BLOCKS), "bpe-blocks")
-    asked = blocks.select(F.col("block").alias("in_block"), F.inline("asked"))
-    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_encode_words(path, pattern), "in_block string, bucket int, lengths binary, ids binary")
-    # Blocks that are equal to the byte share a name and are reassembled together.
-    kept = blocks.select("block", "doc_ids", "sizes", "places", "buckets")
-    return kept.groupBy("block").cogroup(answers.groupBy("in_block")).applyInPandas(_reassemble, "doc_id bigint, ids binary")
+    asked = blocks.select(F.col("block").alias("in_block"), F.col("_metadata.file_path").alias("path"), F.inline("asked"))
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_encode_words(path, pattern), "in_block string, path string, bucket int, lengths binary, ids binary")
+    return answers.groupBy("in_block", "path").applyInPandas(_reassemble, "doc_id bigint, ids binary")
 
 
 def token_bytes(spark: SparkSession, path: str) -> DataFrame:
