@@ -1,7 +1,591 @@
-"""Named queries and the SQL that must give the same rows."""
+"""Named queries over the test tables, and the SQL that must give the same rows.
+
+Document tables are derived (see ``views``). SQL is written on its own, from the meaning of each query."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import fixed, text
+from ..operators import enrich, grounding, rules, score, stores, trace
+from ..operators.ruleset import Ruleset, resolve, rule_table
+from ..session import table
+from . import views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 FLAGSHIP = "score_total_grade"
+NOW = datetime(1998, 1, 1, tzinfo=timezone.utc)
+
+_NONE = "CAST(NULL AS VARCHAR)"
+BODY = """body AS (SELECT *, CASE WHEN kind IN ('heading', 'paragraph', 'code', 'callout') THEN coalesce(text, '')
+    WHEN kind = 'list' THEN array_to_string(items, ' ')
+    WHEN kind = 'table' THEN array_to_string(list_concat(coalesce(headers, []), flatten(rows)), ' ')
+    WHEN kind = 'image' THEN coalesce(alt, caption, '')
+    WHEN kind = 'macro' THEN coalesce(rendered_text, '') ELSE coalesce(notes, '') END AS body FROM blocks_li)"""
+RICH = f"""{BODY},
+  rich AS (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY uri ORDER BY pos) AS section_id,
+    lag(body, 1) OVER (PARTITION BY uri ORDER BY pos) AS before1, lag(body, 2) OVER (PARTITION BY uri ORDER BY pos) AS before2,
+    lead(body, 1) OVER (PARTITION BY uri ORDER BY pos) AS after1 FROM body)"""
+STATS = f"""{RICH},
+  stats AS (SELECT d.uri, coalesce(sum(CASE WHEN r.kind <> 'code' THEN length(r.body) ELSE 0 END), 0) AS chars,
+    coalesce(max(CASE WHEN r.kind = 'heading' THEN 1 ELSE 0 END), 0) AS has_heading, count(r.id) AS n_blocks FROM docs_ord d LEFT JOIN rich r ON r.uri = d.uri GROUP BY d.uri)"""
+MENTIONS = f"""{BODY},
+  texts AS (SELECT uri, -1 AS pos, {_NONE} AS block_id, 'title' AS k, title AS body, doc_type FROM docs_ord
+    UNION ALL SELECT b.uri, b.pos, b.id, b.kind, b.body, d.doc_type FROM body b JOIN docs_ord d ON d.uri = b.uri WHERE b.body <> ''),
+  found AS (SELECT *, unnest(list_distinct(regexp_extract_all(body, 'REQ-\\d+'))) AS id, 'requirement' AS kind, 0 AS nth FROM texts
+    UNION ALL SELECT *, unnest(list_distinct(regexp_extract_all(body, 'TC-\\d+'))), 'test', 1 FROM texts
+    UNION ALL SELECT *, unnest(list_distinct(regexp_extract_all(body, '[A-Z]{{2,10}}-\\d+'))), 'ticket', 2 FROM texts),
+  mentions AS (SELECT uri, id, kind, block_id, pos, k IN ('title', 'heading') OR (doc_type = 'requirement' AND kind = 'requirement') AS defining, body
+    FROM (SELECT *, row_number() OVER (PARTITION BY uri, pos, id ORDER BY nth) AS n FROM found) WHERE n = 1),
+  defined AS (SELECT DISTINCT uri, id FROM mentions WHERE defining),
+  referenced AS (SELECT DISTINCT uri, id FROM mentions EXCEPT SELECT uri, id FROM defined)"""
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = views.with_views(sql)
+        return f
+
+    return put
+
+
+def _all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return views.documents(spark, sf_dir), views.blocks(spark, sf_dir), views.links(spark, sf_dir)
+
+
+# ---- the model: texts, sections, serialisation
+
+query("block_text", f"WITH {BODY} SELECT uri, pos, kind, body FROM body")(lambda s, d: views.blocks(s, d).select("uri", "pos", "kind", text.block_text().alias("body")))
+query("headings", "SELECT uri, pos, level, text FROM blocks_li WHERE kind = 'heading'")(lambda s, d: views.blocks(s, d).where("kind = 'heading'").select("uri", "pos", "level", "text"))
+
+
+@query("total_text_length", f"WITH {STATS} SELECT uri, CAST(chars AS BIGINT) AS chars FROM stats")
+def total_text_length(s, d):
+    docs, blocks, _ = _all(s, d)
+    return docs.select("uri").join(enrich.document_stats(enrich.enrich(blocks)), "uri", "left").select("uri", F.coalesce("text_chars", F.lit(0)).cast("long").alias("chars"))
+
+
+@query(
+    "sections",
+    f"""WITH {RICH} SELECT uri, CAST(section_id AS BIGINT) AS section_id, max(CASE WHEN kind = 'heading' THEN body END) AS heading,
+    CAST(sum(CASE WHEN kind = 'heading' THEN 0 ELSE length(body) END) AS BIGINT) AS chars FROM rich GROUP BY uri, section_id""",
+)
+def sections(s, d):
+    return enrich.sections(enrich.enrich(views.blocks(s, d))).select("uri", F.col("section_id").cast("long").alias("section_id"), "heading", "chars")
+
+
+@query("outline", "SELECT uri, string_agg(repeat('  ', level - 1) || '- ' || text, chr(10) ORDER BY pos) AS outline FROM blocks_li WHERE kind = 'heading' GROUP BY uri")
+def outline(s, d):
+    return enrich.outline(views.blocks(s, d))
+
+
+MARKDOWN = f"""{BODY}, md AS (SELECT uri, pos, id, kind, CASE kind
+    WHEN 'heading' THEN repeat('#', level) || ' ' || text WHEN 'paragraph' THEN text
+    WHEN 'list' THEN array_to_string(list_transform(range(1, len(items) + 1), lambda i: repeat('  ', depth) || CASE WHEN ordered THEN CAST(i AS VARCHAR) || '.' ELSE '-' END || ' ' || items[i]), chr(10))
+    WHEN 'table' THEN array_to_string(list_concat(list_concat(CASE WHEN coalesce(caption, '') = '' THEN [] ELSE ['표: ' || caption] END,
+      ['| ' || array_to_string(CASE WHEN len(headers) > 0 THEN headers ELSE list_transform(rows[1], lambda x: '') END, ' | ') || ' |',
+       '| ' || array_to_string(list_transform(CASE WHEN len(headers) > 0 THEN headers ELSE rows[1] END, lambda x: '---'), ' | ') || ' |']),
+      list_transform(rows, lambda r: '| ' || array_to_string(r, ' | ') || ' |')), chr(10))
+    WHEN 'code' THEN '```' || coalesce(lang, '') || chr(10) || text || chr(10) || '```'
+    WHEN 'image' THEN '[이미지: ' || CASE WHEN coalesce(alt, caption, '') = '' THEN 'alt 없음' ELSE coalesce(alt, caption) END || ']' || CASE WHEN coalesce(ocr_text, '') = '' THEN '' ELSE chr(10) || ocr_text END
+    WHEN 'callout' THEN '> [' || variant || '] ' || text
+    WHEN 'macro' THEN coalesce(rendered_text, '[매크로: ' || name || ' — 내용 추출 불가]')
+    ELSE '## 슬라이드 ' || slide_index || CASE WHEN coalesce(notes, '') = '' THEN '' ELSE chr(10) || '발표자 노트: ' || notes END END AS body FROM body)"""
+
+
+@query("markdown_serialize", f"WITH {MARKDOWN} SELECT uri, string_agg('<!--b:' || id || '--> ' || body, chr(10) || chr(10) ORDER BY pos) AS markdown FROM md GROUP BY uri")
+def markdown_serialize(s, d):
+    return enrich.markdown(views.blocks(s, d))
+
+
+@query(
+    "path_counters",
+    """WITH RECURSIVE h AS (SELECT uri, pos, level, row_number() OVER (PARTITION BY uri ORDER BY pos) AS n FROM blocks_li WHERE kind = 'heading'),
+  walk AS (SELECT uri, pos, n, list_transform(range(1, level + 1), lambda i: CASE WHEN i = level THEN 1 ELSE 0 END) AS path FROM h WHERE n = 1
+    UNION ALL SELECT h.uri, h.pos, h.n, list_transform(range(1, h.level + 1), lambda i: coalesce(w.path[i], 0) + CASE WHEN i = h.level THEN 1 ELSE 0 END) FROM walk w JOIN h ON h.uri = w.uri AND h.n = w.n + 1)
+  SELECT uri, pos, array_to_string(path, '.') AS path FROM walk""",
+)
+def path_counters(s, d):
+    return enrich.heading_paths(views.blocks(s, d)).select("uri", "pos", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
+
+
+@query(
+    "chunk_plan",
+    f"""WITH RECURSIVE {MARKDOWN},
+  secs AS (SELECT uri, section_id, string_agg('<!--b:' || id || '--> ' || body, chr(10) || chr(10) ORDER BY pos) AS md, count(*) AS n_blocks FROM
+    (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY uri ORDER BY pos) AS section_id FROM md) GROUP BY uri, section_id),
+  s AS (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY section_id) AS n, length(md) AS size FROM secs),
+  walk AS (SELECT uri, n, size AS cur, 0 AS k FROM s WHERE n = 1
+    UNION ALL SELECT s.uri, s.n, CASE WHEN w.cur + s.size > 1200 THEN s.size ELSE w.cur + s.size END, CASE WHEN w.cur + s.size > 1200 THEN w.k + 1 ELSE w.k END FROM walk w JOIN s ON s.uri = w.uri AND s.n = w.n + 1)
+  SELECT w.uri, w.k AS chunk_index, string_agg(s.md, chr(10) || chr(10) ORDER BY s.n) AS markdown, CAST(sum(s.n_blocks) AS BIGINT) AS n_blocks FROM walk w JOIN s ON s.uri = w.uri AND s.n = w.n GROUP BY w.uri, w.k""",
+)
+def chunk_plan(s, d):
+    out = enrich.chunks(views.blocks(s, d), 1200)
+    return out.select("uri", "chunk_index", "markdown", F.size("block_ids").cast("long").alias("n_blocks"))
+
+
+@query(
+    "truncate_blocks",
+    """SELECT b.uri, count(DISTINCT b.id) AS n_blocks, count(l.link_pos) AS n_links FROM (SELECT * FROM blocks_li WHERE pos < 3) b
+  LEFT JOIN links_li l ON l.uri = b.uri AND l.block_id = b.id GROUP BY b.uri""",
+)
+def truncate_blocks(s, d):
+    blocks, links = enrich.truncate(views.blocks(s, d), views.links(s, d), 3)
+    n = links.groupBy("uri").agg(F.count("*").alias("n_links"))
+    return blocks.groupBy("uri").agg(F.count("*").alias("n_blocks")).join(n, "uri", "left").select("uri", "n_blocks", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+@query(
+    "text_quotes",
+    f"""WITH {BODY}, q AS (SELECT uri, pos, CASE WHEN t = '' THEN kind ELSE t END AS q FROM (SELECT uri, pos, kind, trim(regexp_replace(CASE kind WHEN 'image' THEN coalesce(alt, caption, asset_ref) WHEN 'macro' THEN coalesce(rendered_text, name) WHEN 'slide' THEN 'slide' ELSE body END, '\\s+', ' ', 'g')) AS t FROM body))
+  SELECT uri, pos, substring(q, 1, 120) AS quote_exact, right(lag(q) OVER w, 30) AS quote_prefix, substring(lead(q) OVER w, 1, 30) AS quote_suffix FROM q WINDOW w AS (PARTITION BY uri ORDER BY pos)""",
+)
+def text_quotes(s, d):
+    return enrich.quotes(views.blocks(s, d))
+
+
+@query("doc_hash_groups", "SELECT count(*) AS n_docs, count(DISTINCT text) AS n_groups FROM documents")
+def doc_hash_groups(s, d):
+    """Documents of equal text have equal hashes and no others do."""
+    src = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("uri"), "text")
+    docs = src.select("uri", F.lit("t").alias("title"), F.lit("unknown").alias("doc_type"), F.array(F.lit("b"), F.lit("a")).alias("labels"), F.lit(None).cast("string").alias("owner"))
+    blocks = src.select("uri", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("uri", "pos", F.concat(F.lit("b"), (F.col("pos") + 1).cast("string")).alias("id"), F.lit("paragraph").alias("kind"), "text")
+    links = src.where("false").select("uri", F.lit(0).alias("link_pos"), *[F.lit("").alias(c) for c in ("text_", "href", "target", "status")]).withColumnRenamed("text_", "text")
+    return enrich.document_hash(docs, blocks, links).agg(F.count("*").alias("n_docs"), F.count_distinct("document_hash").alias("n_groups"))
+
+
+# ---- rules
+
+
+def _one(rule: str):
+    def run(s, d):
+        ruleset = Ruleset()
+        for r, c in ruleset.rules.items():
+            c.enabled = r == rule
+        out = rules.raw_findings(*_all(s, d), ruleset, NOW)
+        return out.select("uri", "block_id", "evidence")
+
+    return run
+
+
+_FLAT = "flatten(rows)"
+_LABELLED = "CASE WHEN unlabelled THEN [] ELSE raw_labels END"
+_SQUEEZED = "(SELECT uri, list(regexp_replace(lower(text), '\\s+', '', 'g')) AS heads FROM blocks_li WHERE kind = 'heading' GROUP BY uri)"
+
+
+def _lacking() -> str:
+    out = []
+    for doc_type, wanted in fixed.REQUIRED_SECTIONS.items():
+        for words in wanted:
+            test = " OR ".join(f"contains(h, '{''.join(w.lower().split())}')" for w in words)
+            out.append(f"(doc_type = '{doc_type}' AND len(list_filter(coalesce(heads, []), lambda h: {test})) = 0)")
+    return " OR ".join(out)
+
+
+_SETS = {k: ", ".join(f"'{w}'" for w in v) for k, v in (("generic", fixed.GENERIC_TITLES), ("vague", fixed.VAGUE_LINKS), ("macros", fixed.CONTENT_MACROS))}
+_BAD_ALT = lambda c: f"(length(trim(coalesce({c}, ''))) < 3 OR regexp_matches(trim(coalesce({c}, '')), '\\.(png|jpe?g|gif|svg|webp|bmp)$', 'i') OR regexp_matches(trim(coalesce({c}, '')), '^(image|img|screenshot|picture|캡처|캡쳐|그림|이미지|스크린샷)[\\s_-]*\\d*$', 'i'))"
+_HINT = "'표|차트|그래프|다이어그램|아키텍처|플로우|table|chart|diagram', 'i'"
+_MARK = "'\\bTBD\\b|\\bTODO\\b|\\bFIXME\\b|\\bXXX\\b|작성\\s?중|추후\\s?작성|미정|\\?{3,}'"
+_MONTHS = f"floor((epoch_ms(TIMESTAMP '{NOW:%Y-%m-%d %H:%M:%S}') - epoch_ms(try_cast(modified_at AS TIMESTAMP))) / {fixed.MONTH_MS})"
+
+RULE_SQL = {
+    "STR001": f"WITH {RICH}, h AS (SELECT *, lag(level) OVER (PARTITION BY uri ORDER BY pos) AS before_level FROM rich WHERE kind = 'heading') SELECT uri, id AS block_id, text AS evidence FROM h WHERE level > before_level + 1",
+    "STR002": f"WITH {STATS} SELECT uri, {_NONE} AS block_id, {_NONE} AS evidence FROM stats WHERE has_heading = 0 AND chars > 800",
+    "STR003": f"""WITH {RICH}, s AS (SELECT uri, section_id, sum(CASE WHEN kind = 'heading' THEN 0 ELSE length(body) END) AS chars, max(CASE WHEN kind = 'heading' THEN id END) AS hid, max(CASE WHEN kind = 'heading' THEN body END) AS h, arg_min(id, pos) AS first_id FROM rich GROUP BY uri, section_id)
+      SELECT uri, coalesce(hid, first_id) AS block_id, h AS evidence FROM s WHERE chars > 1500""",
+    "STR004": f"""WITH {RICH} SELECT r.uri, r.id AS block_id, r.asset_ref AS evidence FROM rich r WHERE r.kind = 'image' AND coalesce(r.ocr_text, '') = '' AND (regexp_matches(coalesce(r.before1, ''), {_HINT}) OR regexp_matches(coalesce(r.before2, ''), {_HINT}) OR regexp_matches(coalesce(r.after1, ''), {_HINT}))
+      AND NOT EXISTS (SELECT 1 FROM rich t WHERE t.uri = r.uri AND t.section_id = r.section_id AND t.kind = 'table')""",
+    "STR005": f"SELECT uri, id AS block_id, coalesce(alt, asset_ref) AS evidence FROM blocks_li WHERE kind = 'image' AND {_BAD_ALT('alt')} AND {_BAD_ALT('caption')}",
+    "STR006": "SELECT uri, id AS block_id, substring(text, 1, 60) AS evidence FROM blocks_li WHERE kind = 'code' AND coalesce(lang, '') = '' AND len(string_split(text, chr(10))) >= 3",
+    "STR007": f"SELECT uri, block_id, text AS evidence FROM links_li WHERE regexp_replace(lower(trim(text)), '[.!?]+$', '') IN ({_SETS['vague']}) OR regexp_matches(lower(trim(text)), '^https?://')",
+    "STR008": f"SELECT uri, id AS block_id, substring(array_to_string({_FLAT}, ' | '), 1, 60) AS evidence FROM blocks_li WHERE kind = 'table' AND (is_layout_table OR (len(coalesce(headers, [])) = 0 AND len({_FLAT}) <= 2))",
+    "STR009": "SELECT uri, id AS block_id, substring(array_to_string(rows[1], ' | '), 1, 60) AS evidence FROM blocks_li WHERE kind = 'table' AND NOT is_layout_table AND len(coalesce(headers, [])) = 0 AND len(rows) >= 2",
+    "STR010": "SELECT uri, id AS block_id, substring(array_to_string(items, ' '), 1, 60) AS evidence FROM blocks_li WHERE kind = 'list' AND depth > 3",
+    "STR011": f"WITH {STATS}, a AS (SELECT uri, arg_min(block_id, link_pos) AS block_id, string_agg(text, ', ' ORDER BY link_pos) AS names FROM links_li WHERE target = 'attachment' GROUP BY uri) SELECT a.uri, a.block_id, substring(a.names, 1, 60) AS evidence FROM a JOIN stats ON stats.uri = a.uri WHERE chars < 200",
+    "STR012": f"SELECT uri, id AS block_id, name AS evidence FROM blocks_li WHERE kind = 'macro' AND coalesce(rendered_text, '') = '' AND lower(name) IN ({_SETS['macros']})",
+    "STR013": "SELECT uri, id AS block_id, substring(text, 1, 60) AS evidence FROM blocks_li WHERE kind = 'paragraph' AND emphasized_as_heading",
+    "STR014": f"WITH {STATS} SELECT d.uri, {_NONE} AS block_id, {_NONE} AS evidence FROM docs_ord d JOIN stats ON stats.uri = d.uri WHERE source_kind = 'pdf' AND n_blocks = 0",
+    "META001": f"SELECT uri, {_NONE} AS block_id, title AS evidence FROM docs_ord WHERE lower(trim(title)) IN ({_SETS['generic']}) OR regexp_matches(title, '복사본|사본|백업|copy of|\\bcopy\\b|\\bold\\b|deprecated', 'i') OR length(trim(title)) < 5",
+    "META002": f"""WITH {STATS}, f AS (SELECT uri, min(section_id) AS s0 FROM rich GROUP BY uri),
+      g AS (SELECT r.uri, max(CASE WHEN r.kind = 'heading' AND r.section_id - f.s0 <= 1 AND regexp_matches(r.body, '요약|개요|한줄|한 줄|정리|배경|목적|tl;?dr|summary|overview|abstract|purpose', 'i') THEN 1 ELSE 0 END) AS good, sum(CASE WHEN r.section_id = 0 THEN length(r.body) ELSE 0 END) AS lead_chars, arg_min(r.id, r.pos) AS first_id FROM rich r JOIN f ON f.uri = r.uri GROUP BY r.uri)
+      SELECT g.uri, g.first_id AS block_id, {_NONE} AS evidence FROM g JOIN stats ON stats.uri = g.uri WHERE chars > 1200 AND good = 0 AND lead_chars < 100""",
+    "META003": f"SELECT uri, {_NONE} AS block_id, {_NONE} AS evidence FROM docs_ord WHERE len({_LABELLED}) = 0",
+    "META004": f"WITH {BODY} SELECT d.uri, {_NONE} AS block_id, {_NONE} AS evidence FROM docs_ord d WHERE coalesce(owner, '') = '' AND NOT EXISTS (SELECT 1 FROM body b WHERE b.uri = d.uri AND b.kind <> 'code' AND regexp_matches(b.body, '(작성자|담당자|책임자|owner|maintainer|responsible|poc)\\s*[:：]\\s*\\S', 'i'))",
+    "META005": f"SELECT uri, {_NONE} AS block_id, modified_at AS evidence FROM docs_ord WHERE {_MONTHS} >= 12",
+    "META006": "SELECT uri, block_id, href AS evidence FROM links_li WHERE status = 'broken'",
+    "META007": f"SELECT d.uri, {_NONE} AS block_id, {_NONE} AS evidence FROM docs_ord d LEFT JOIN {_SQUEEZED} h ON h.uri = d.uri WHERE {_lacking()}",
+    "META008": f"""WITH {BODY}, m AS (SELECT *, regexp_extract(body, {_MARK}, 0, 'i') AS hit, strpos(lower(body), lower(regexp_extract(body, {_MARK}, 0, 'i'))) AS spot FROM body WHERE kind <> 'code' AND regexp_matches(body, {_MARK}, 'i'))
+      SELECT uri, id AS block_id, substring(body, CAST(greatest(1, spot - 20) AS BIGINT), CAST(spot + 40 - greatest(1, spot - 20) AS BIGINT)) AS evidence FROM m WHERE NOT (kind = 'heading' AND length(trim(body)) = length(hit))""",
+}
+for _rule, _sql in RULE_SQL.items():
+    query(_rule.lower(), _sql)(_one(_rule))
+
+_SEVERITY = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{x[2]}'" for r, x in fixed.RULES.items()) + " END"
+_AXIS = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{x[1]}'" for r, x in fixed.RULES.items()) + " END"
+
+
+def _union(sqls: dict[str, str]) -> str:
+    """All rules as one statement: shared expressions are named once."""
+    parts = []
+    for rule, sql in sqls.items():
+        inner = views.with_views(sql)
+        parts.append(f"SELECT '{rule}' AS rule_id, * FROM ({inner})")
+    return " UNION ALL ".join(parts)
+
+
+FOUND = f"found AS (SELECT *, {_AXIS} AS axis, {_SEVERITY} AS severity FROM ({_union(RULE_SQL)}))"
+SCORED = f"""{FOUND}, by_rule AS (SELECT uri, axis, rule_id, severity, count(*) AS n FROM found GROUP BY ALL),
+  cost AS (SELECT uri, axis, sum(least(n, 3) * CASE severity WHEN 'error' THEN 15 WHEN 'warning' THEN 6 ELSE 2 END + greatest(n - 3, 0)) AS p FROM by_rule GROUP BY uri, axis),
+  axes AS (SELECT d.uri, CAST(greatest(0, 100 - coalesce(max(CASE WHEN axis = 'structure' THEN p END), 0)) AS INT) AS structure, CAST(greatest(0, 100 - coalesce(max(CASE WHEN axis = 'context' THEN p END), 0)) AS INT) AS context,
+    CAST(greatest(0, 100 - coalesce(max(CASE WHEN axis = 'metadata' THEN p END), 0)) AS INT) AS metadata FROM docs_ord d LEFT JOIN cost ON cost.uri = d.uri GROUP BY d.uri)"""
+
+
+def _found(s, d, ruleset: Ruleset | None = None) -> DataFrame:
+    return rules.findings(*_all(s, d), ruleset, NOW)
+
+
+query("findings_union", f"WITH {FOUND} SELECT uri, rule_id, axis, severity, block_id, evidence FROM found")(lambda s, d: _found(s, d).select("uri", "rule_id", "axis", "severity", "block_id", "evidence"))
+query("finding_ids", f"WITH {FOUND} SELECT rule_id, count(*) AS n, count(DISTINCT uri) AS n_docs, count(*) AS n_ids FROM found GROUP BY rule_id")(
+    lambda s, d: _found(s, d).groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("uri").alias("n_docs"), F.count_distinct("uri", "id").alias("n_ids"))
+)
+query("score_by_axis", f"WITH {SCORED} SELECT uri, structure, context, metadata FROM axes")(lambda s, d: score.scores(views.documents(s, d), _found(s, d)).select("uri", *fixed.AXES))
+query(
+    "score_total_grade",
+    f"""WITH {SCORED}, t AS (SELECT uri, CAST(floor(structure * 0.35 + context * 0.45 + metadata * 0.20 + 0.5 + 1e-9) AS INT) AS total FROM axes)
+  SELECT uri, total, CASE WHEN total >= 90 THEN 'A' WHEN total >= 75 THEN 'B' WHEN total >= 60 THEN 'C' ELSE 'D' END AS grade FROM t""",
+)(lambda s, d: score.scores(views.documents(s, d), _found(s, d)).select("uri", "total", "grade"))
+query("count_by_severity", f"WITH {FOUND} SELECT uri, count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM found GROUP BY uri")(
+    lambda s, d: score.count_by_severity(_found(s, d))
+)
+
+
+@query(
+    "finding_order",
+    f"""WITH {FOUND} SELECT CAST(row_number() OVER (ORDER BY uri, place, sev, rule_id, coalesce(evidence, '')) AS INT) AS nth, uri, rule_id FROM (
+    SELECT f.uri, f.rule_id, f.evidence, CASE WHEN f.block_id IS NULL THEN -1 ELSE coalesce(b.pos, 2147483647) END AS place, CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END AS sev
+    FROM found f LEFT JOIN blocks_li b ON b.uri = f.uri AND b.id = f.block_id) ORDER BY nth LIMIT 100""",
+)
+def finding_order(s, d):
+    """The first 100 findings in report order."""
+    blocks = views.blocks(s, d)
+    where = blocks.select("uri", F.col("id").alias("block_id"), "pos")
+    place = F.when(F.col("block_id").isNull(), -1).otherwise(F.coalesce("pos", F.lit(2**31 - 1)))
+    top = _found(s, d).join(where, ["uri", "block_id"], "left").withColumn("place", place).withColumn("sev", rules.severity_rank()).withColumn("e", F.coalesce("evidence", F.lit("")))
+    from pyspark.sql import Window
+
+    first = top.orderBy("uri", "place", "sev", "rule_id", "e").limit(100)
+    return first.select(F.row_number().over(Window.orderBy("uri", "place", "sev", "rule_id", "e")).alias("nth"), "uri", "rule_id")
+
+
+@query(
+    "ruleset_overrides",
+    f"""WITH {STATS} SELECT uri, 'STR002' AS rule_id, 'info' AS severity FROM stats WHERE has_heading = 0 AND chars > 2000
+  UNION ALL SELECT uri, 'STR010', 'error' FROM blocks_li WHERE kind = 'list' AND depth > 1
+  UNION ALL SELECT uri, 'META003', 'info' FROM docs_ord WHERE doc_type = 'design' AND len({_LABELLED}) = 0""",
+)
+def ruleset_overrides(s, d):
+    """Thresholds, severities, types and switches of a ruleset of one's own."""
+    rules_ = {r: {"enabled": False} for r in fixed.RULES if r not in ("STR002", "STR010", "META003")}
+    rules_ |= {"STR002": {"severity": "info", "options": {"minChars": 2000}}, "STR010": {"severity": "error", "options": {"maxDepth": 1}}, "META003": {"appliesTo": ["design"]}}
+    return _found(s, d, resolve({"id": "own", "name": "own", "version": 1, "rules": rules_})).select("uri", "rule_id", "severity")
+
+
+_RULE_ROWS = ", ".join(f"('{r}', '{x[0]}', '{x[1]}', '{x[2]}', {str(x[5]).lower()}, {str(x[6]).lower()})" for r, x in fixed.RULES.items())
+query("rule_catalog", f"SELECT * FROM (VALUES {_RULE_ROWS}) t(rule_id, name, axis, default_severity, llm, deterministic)")(
+    lambda s, d: rule_table(s).select("rule_id", "name", "axis", "default_severity", "llm", "deterministic")
+)
+
+
+@query("rules_evaluated", "SELECT doc_type, count(*) AS n_docs, CAST(max(CASE WHEN doc_type IN ('design', 'meeting-notes', 'requirement') THEN 33 ELSE 32 END) AS INT) AS with_model, 22 AS without FROM docs_ord GROUP BY doc_type")
+def rules_evaluated_(s, d):
+    r = rule_table(s).where("enabled")
+    applies = F.col("applies_to").isNull() | F.array_contains("applies_to", F.col("doc_type"))
+    docs = views.documents(s, d).groupBy("doc_type").agg(F.count("*").alias("n_docs"))
+    both = docs.join(F.broadcast(r), applies)  # 31 rules
+    n = lambda c: F.sum(F.col(c).cast("int")).cast("int")
+    return both.groupBy("doc_type", "n_docs").agg((n("deterministic") + n("llm")).alias("with_model"), n("deterministic").alias("without"))
+
+
+# ---- scalar transforms and joins
+
+query(
+    "link_classify",
+    "SELECT uri, link_pos, CASE WHEN starts_with(href, '#') THEN 'anchor' WHEN regexp_matches(href, '/download/(attachments|thumbnails)/') THEN 'attachment' WHEN starts_with(href, '/') THEN 'internal' WHEN starts_with(href, 'https://wiki.example') THEN 'internal' ELSE 'external' END AS target FROM links_li",
+)(lambda s, d: views.links(s, d).select("uri", "link_pos", text.link_target(F.col("href"), F.lit("https://wiki.example")).alias("target")))
+query(
+    "normalize_uri",
+    "SELECT page_id, CASE WHEN length(u) > 1 THEN regexp_replace(u, '/$', '') ELSE u END AS uri FROM (SELECT page_id, split_part(split_part(url, '#', 1), '?', 1) AS u FROM pages)",
+)(lambda s, d: table(s, d, "pages").select("page_id", text.normal_uri(F.col("url")).alias("uri")))
+
+
+_LABEL_CASE = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.LABEL_DOC_TYPES.items()) + " END"
+
+
+@query(
+    "doctype_from_label",
+    f"""SELECT uri, coalesce(arg_min(t, i) FILTER (t IS NOT NULL), 'unknown') AS doc_type, CASE WHEN count(t) > 0 THEN 0.9 ELSE 0.0 END AS confidence, CASE WHEN count(t) > 0 THEN 'label' ELSE 'llm' END AS origin
+  FROM (SELECT uri, i, {_LABEL_CASE} AS t FROM (SELECT uri, i, regexp_replace(lower(trim(labels[i])), '\\s+', '-', 'g') AS x FROM (SELECT uri, labels, unnest(range(1, len(labels) + 1)) AS i FROM (SELECT uri, {_LABELLED} AS labels FROM docs_ord)))
+    UNION ALL SELECT uri, 1000, NULL FROM docs_ord) GROUP BY uri""",
+)
+def doctype_from_label(s, d):
+    from ..sources.wiki import detected_type
+
+    return views.documents(s, d).select("uri", detected_type(F.col("labels"), F.lit("{}")).alias("t")).select("uri", "t.doc_type", "t.confidence", "t.origin")
+
+
+@query("doctype_override", "SELECT uri, CASE WHEN CAST(substring(uri, 5) AS BIGINT) % 3 = 0 THEN 'guide' ELSE doc_type END AS doc_type, CASE WHEN CAST(substring(uri, 5) AS BIGINT) % 3 = 0 THEN 'user' ELSE 'label' END AS origin FROM docs_ord")
+def doctype_override(s, d):
+    docs = views.documents(s, d).withColumn("doc_type_confidence", F.lit(0.5)).withColumn("doc_type_origin", F.lit("label"))
+    over = docs.where(F.substring("uri", 5, 20).cast("long") % 3 == 0).select("uri", F.lit("guide").alias("doc_type"))
+    return stores.with_overrides(docs, over).select("uri", "doc_type", F.col("doc_type_origin").alias("origin"))
+
+
+@query("finding_anchor_join", "SELECT l.uri, l.link_pos, b.pos, b.kind FROM links_li l LEFT JOIN blocks_li b ON b.uri = l.uri AND b.id = l.block_id WHERE l.status = 'broken'")
+def finding_anchor_join(s, d):
+    where = views.blocks(s, d).select("uri", F.col("id").alias("block_id"), "pos", "kind")
+    return views.links(s, d).where("status = 'broken'").join(where, ["uri", "block_id"], "left").select("uri", "link_pos", "pos", "kind")
+
+
+@query("links_to_check", "SELECT uri, href FROM (SELECT uri, href, row_number() OVER (PARTITION BY uri ORDER BY p) AS n FROM (SELECT uri, href, min(link_pos) AS p FROM links_li WHERE target IN ('internal', 'attachment') GROUP BY uri, href)) WHERE n <= 2")
+def links_to_check(s, d):
+    return stores.links_to_check(views.links(s, d), 2)
+
+
+@query("link_status_writeback", "SELECT uri, link_pos, CASE WHEN href = '/display/14/' THEN 'broken' ELSE status END AS status FROM links_li")
+def link_status_writeback(s, d):
+    links = views.links(s, d)
+    checked = links.where("href = '/display/14/'").select("uri", "href", F.lit("broken").alias("status")).distinct()
+    return stores.with_link_status(links, checked).select("uri", "link_pos", "status")
+
+
+query("html_escape", "SELECT conv_id, turn, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM conversations")(
+    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", text.html_escaped(F.col("text")).alias("html"))
+)
+query("days_ago", "SELECT o_orderkey, CAST(greatest(0, floor((epoch_ms(TIMESTAMP '1998-01-01 00:00:00') - epoch_ms(o_orderdate)) / 86400000)) AS BIGINT) AS days FROM orders")(
+    lambda s, d: table(s, d, "orders").select("o_orderkey", text.days_ago(F.col("o_orderdate").cast("timestamp"), F.lit(NOW)).cast("long").alias("days"))
+)
+query("column_letters", "SELECT p_partkey, CAST((ascii(chr(65 + CAST(p_partkey % 26 AS INT))) - 64) * 26 + ascii(chr(65 + CAST(p_partkey % 7 AS INT))) - 65 AS INT) AS n FROM part")(
+    lambda s, d: table(s, d, "part").select("p_partkey", text.column_number(F.concat(F.expr("chr(65 + p_partkey % 26)"), F.expr("chr(65 + p_partkey % 7)"))).alias("n"))
+)
+
+# ---- traces
+
+
+def _mentions(s, d) -> DataFrame:
+    return trace.mentions(views.documents(s, d), views.blocks(s, d))
+
+
+query("extract_ids", f"WITH {MENTIONS} SELECT uri, id, kind, block_id, defining, CASE WHEN length(body) <= 400 THEN body ELSE substring(body, 1, 400) || '…' END AS snippet FROM mentions")(
+    lambda s, d: _mentions(s, d).select("uri", "id", "kind", "block_id", "defining", "snippet")
+)
+query("defined_ids", f"WITH {MENTIONS} SELECT uri, id FROM defined")(lambda s, d: trace.defined_ids(_mentions(s, d)))
+query("referenced_ids", f"WITH {MENTIONS} SELECT uri, id FROM referenced")(lambda s, d: trace.referenced_ids(_mentions(s, d)))
+query(
+    "graph",
+    f"""WITH {MENTIONS} SELECT m.id, m.kind, coalesce(d.u, '') AS defined_by, coalesce(r.u, '') AS referenced_by FROM (SELECT id, min(kind) AS kind FROM mentions GROUP BY id) m
+  LEFT JOIN (SELECT id, string_agg(uri, ',' ORDER BY uri) AS u FROM defined GROUP BY id) d ON d.id = m.id LEFT JOIN (SELECT id, string_agg(uri, ',' ORDER BY uri) AS u FROM referenced GROUP BY id) r ON r.id = m.id""",
+)(lambda s, d: trace.graph(_mentions(s, d)).select("id", "kind", F.array_join("defined_by", ",").alias("defined_by"), F.array_join("referenced_by", ",").alias("referenced_by")))
+
+
+def _t(df: DataFrame) -> DataFrame:
+    return df.select("id", "severity", F.array_join("documents", ",").alias("documents"), "subject_id")
+
+
+TRACE_SQL = {
+    "trc001": f"WITH {MENTIONS} SELECT 'TRC001:' || id AS id, 'error' AS severity, string_agg(uri, ',' ORDER BY uri) AS documents, id AS subject_id FROM referenced r WHERE NOT EXISTS (SELECT 1 FROM defined d WHERE d.id = r.id) GROUP BY r.id",
+    "trc002": f"WITH {MENTIONS} SELECT 'TRC002:' || uri AS id, 'warning' AS severity, uri AS documents, {_NONE} AS subject_id FROM docs_ord d WHERE doc_type = 'design' AND NOT EXISTS (SELECT 1 FROM mentions m WHERE m.uri = d.uri AND m.kind = 'requirement')",
+    "trc003": f"""WITH {MENTIONS} SELECT 'TRC003:' || d.id AS id, 'warning' AS severity, string_agg(d.uri, ',' ORDER BY d.uri) AS documents, d.id AS subject_id FROM defined d WHERE d.id IN (SELECT id FROM mentions WHERE kind = 'requirement')
+      AND d.id NOT IN (SELECT r.id FROM referenced r WHERE r.uri IN (SELECT uri FROM mentions WHERE kind = 'test')) GROUP BY d.id""",
+    "trc004": f"WITH {MENTIONS} SELECT 'TRC004:' || id AS id, 'error' AS severity, string_agg(uri, ',' ORDER BY uri) AS documents, id AS subject_id FROM defined GROUP BY defined.id HAVING count(*) >= 2",
+    "trc005": f"""SELECT 'TRC005:' || uri || ':' || target AS id, 'info' AS severity, uri AS documents, {_NONE} AS subject_id FROM (SELECT DISTINCT uri, CASE WHEN length(u) > 1 THEN regexp_replace(u, '/$', '') ELSE u END AS target FROM (SELECT uri, split_part(split_part(href, '#', 1), '?', 1) AS u FROM links_li WHERE target = 'internal'))
+      WHERE target NOT IN (SELECT uri FROM docs_ord)""",
+}
+query("trc001", TRACE_SQL["trc001"])(lambda s, d: _t(trace.trc001(_mentions(s, d))))
+query("trc002", TRACE_SQL["trc002"])(lambda s, d: _t(trace.trc002(views.documents(s, d), _mentions(s, d))))
+query("trc003", TRACE_SQL["trc003"])(lambda s, d: _t(trace.trc003(_mentions(s, d))))
+query("trc004", TRACE_SQL["trc004"])(lambda s, d: _t(trace.trc004(_mentions(s, d))))
+query("trc005", TRACE_SQL["trc005"])(lambda s, d: _t(trace.trc005(views.documents(s, d), views.links(s, d))))
+query("trace_findings", " UNION ALL ".join(f"SELECT * FROM ({views.with_views(q)})" for q in TRACE_SQL.values()))(
+    lambda s, d: _t(trace.trace_findings(views.documents(s, d), _mentions(s, d), views.links(s, d)))
+)
+query("trace_summary", f"WITH {MENTIONS} SELECT (SELECT count(DISTINCT uri) FROM docs_ord) AS document_count, (SELECT count(DISTINCT id) FROM mentions) AS id_count")(
+    lambda s, d: trace.summary(views.documents(s, d), m := _mentions(s, d), trace.trc004(m)).select("document_count", "id_count")
+)
+_PAIRS = f"{MENTIONS}, du AS (SELECT DISTINCT uri, id FROM mentions WHERE kind <> 'ticket'), pairs AS (SELECT a.uri AS uri_a, b.uri AS uri_b, count(*) AS n_shared FROM du a JOIN du b ON a.id = b.id AND a.uri < b.uri GROUP BY a.uri, b.uri)"
+query("shared_id_pairs_considered", f"WITH {_PAIRS} SELECT count(*) AS considered FROM pairs")(lambda s, d: trace.shared_id_pairs(_mentions(s, d).where("kind <> 'ticket'")).agg(F.count("*").alias("considered")))
+query(
+    "shared_id_pairs_topk",
+    f"""WITH {_PAIRS}, top AS (SELECT * FROM pairs ORDER BY n_shared DESC, uri_a, uri_b LIMIT 20) SELECT t.uri_a, t.uri_b, t.n_shared, string_agg(a.id, ',' ORDER BY a.id) AS shared_ids
+  FROM top t JOIN du a ON a.uri = t.uri_a JOIN du b ON b.uri = t.uri_b AND b.id = a.id GROUP BY t.uri_a, t.uri_b, t.n_shared""",
+)(lambda s, d: trace.top_pairs(_mentions(s, d).where("kind <> 'ticket'")).select("uri_a", "uri_b", "n_shared", F.array_join("shared_ids", ",").alias("shared_ids")))
+
+# ---- model findings and their test
+
+
+def _answers(s, d) -> DataFrame:
+    """A made-up model's answers: one finding for each paragraph or heading, some of them wrong in known ways."""
+    b = views.blocks(s, d).where("kind in ('paragraph', 'heading')").withColumn("m", F.col("pos") + F.length("text"))
+    item = F.to_json(
+        F.struct(
+            F.expr("case m % 7 when 0 then 'STR001' when 1 then 'CTX007' else 'CTX001' end").alias("ruleId"), F.expr("case when m % 5 = 0 then 'b99' else id end").alias("blockId"),
+            F.expr("case when m % 3 = 0 then 'nowhere to be found at all' else concat(substring(text, 1, 8), ' ', substring(text, 9, 30)) end").alias("evidence"), F.lit("because").alias("why"),
+            F.expr("case when m % 4 = 0 then 0.3D else 0.9D end").alias("confidence"),
+        )
+    )
+    return b.select("uri", item.alias("item"), F.col("pos").alias("seq"))
+
+
+_ANSWERS = """ans AS (SELECT uri, pos AS seq, CASE m % 7 WHEN 0 THEN 'STR001' WHEN 1 THEN 'CTX007' ELSE 'CTX001' END AS rule_id, CASE WHEN m % 5 = 0 THEN 'b99' ELSE id END AS block_id, m % 3 = 0 AS lost, CASE WHEN m % 4 = 0 THEN 0.3 ELSE 0.9 END AS confidence,
+    trim(regexp_replace(substring(text, 1, 8) || ' ' || substring(text, 9, 30), '\\s+', ' ', 'g')) AS needle, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS hay
+    FROM (SELECT *, pos + length(text) AS m FROM blocks_li WHERE kind IN ('paragraph', 'heading'))),
+  near AS (SELECT *, NOT lost AND (contains(hay, needle) OR (length(hay) <= 2000 AND length(needle) <= length(hay)
+    AND len(list_filter(range(0, length(hay) - length(needle) + 1), lambda i: levenshtein(substring(hay, i + 1, length(needle)), needle) <= floor(length(needle) * 0.1 + 1e-9))) > 0)) AS held FROM ans),
+  judged AS (SELECT n.*, CASE WHEN rule_id = 'STR001' THEN 'unknown-rule' WHEN rule_id = 'CTX007' AND d.doc_type NOT IN ('design', 'meeting-notes', 'requirement') THEN 'doctype-mismatch' WHEN block_id = 'b99' THEN 'unknown-block'
+    WHEN confidence < 0.6 THEN 'low-confidence' WHEN NOT held THEN 'evidence-not-found' END AS reject_reason FROM near n JOIN docs_ord d ON d.uri = n.uri)"""
+query("verify_reasons", f"WITH {_ANSWERS} SELECT uri, seq, rule_id, reject_reason FROM judged")(
+    lambda s, d: grounding.verify(_answers(s, d).join(views.documents(s, d).select("uri"), "uri", "left_semi"), views.documents(s, d), views.blocks(s, d)).select("uri", "seq", "rule_id", "reject_reason")
+)
+query("dedup_max_confidence", f"WITH {_ANSWERS} SELECT uri, rule_id, block_id, max(confidence) AS confidence FROM judged WHERE reject_reason IS NULL GROUP BY uri, rule_id, block_id")(
+    lambda s, d: grounding.accepted(grounding.verify(_answers(s, d).join(views.documents(s, d).select("uri"), "uri", "left_semi"), views.documents(s, d), views.blocks(s, d))).select("uri", "rule_id", "block_id", F.col("confidence").cast("double").alias("confidence"))
+)
+query("evidence_exact", "SELECT conv_id, turn, contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(substring(text, 3, 25), '\\s+', ' ', 'g'))) AS held FROM conversations WHERE length(text) > 300")(
+    lambda s, d: table(s, d, "conversations").where("length(text) > 300").select("conv_id", "turn", text.evidence_found(F.substring("text", 3, 25), F.col("text")).alias("held"))
+)
+_NEEDLE = "trim(regexp_replace(replace(substring(text, 3, 40), 'e', 'o'), '\\s+', ' ', 'g'))"
+query(
+    "evidence_fuzzy",
+    f"""SELECT conv_id, turn, CASE WHEN n = '' THEN false WHEN contains(h, n) THEN true WHEN length(h) > 2000 OR length(n) > length(h) THEN false ELSE
+    len(list_filter(range(0, length(h) - length(n) + 1), lambda i: levenshtein(substring(h, i + 1, length(n)), n) <= floor(length(n) * 0.1 + 1e-9))) > 0 END AS held
+  FROM (SELECT conv_id, turn, {_NEEDLE} AS n, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS h FROM conversations)""",
+)(lambda s, d: table(s, d, "conversations").select("conv_id", "turn", text.evidence_found(F.replace(F.substring("text", 3, 40), F.lit("e"), F.lit("o")), F.col("text")).alias("held")))
+query("status_roll_up", "SELECT user_id, CASE WHEN count(*) FILTER (value > 20) = count(*) THEN 'ok' WHEN count(*) FILTER (value > 20) = 0 THEN 'failed' ELSE 'partial' END AS status FROM events GROUP BY user_id")(
+    lambda s, d: table(s, d, "events").withColumn("ok", F.col("value") > 20).groupBy("user_id").agg(score.roll_up().alias("status"))
+)
+query("chunk_prompts", f"WITH {BODY} SELECT count(DISTINCT uri) AS n_docs FROM body JOIN docs_ord USING (uri)")(lambda s, d: grounding.chunk_prompts(views.documents(s, d), views.blocks(s, d)).agg(F.count_distinct("uri").alias("n_docs")))
+
+# ---- stores
+
+
+def _reports(s, d) -> DataFrame:
+    """Orders as reports: one key for each customer and status."""
+    return table(s, d, "orders").select(
+        F.col("o_orderkey").alias("report_id"), F.col("o_custkey").cast("string").alias("document_hash"), F.col("o_orderstatus").alias("ruleset_id"), F.lit(1).alias("ruleset_version"), F.lit("p1").alias("prompt_version"),
+        F.concat(F.lit("doc-"), F.col("o_custkey").cast("string")).alias("document_uri"), F.col("o_orderdate").alias("created_at"),
+    )
+
+
+@query("report_upsert_latest", "SELECT o_custkey AS cust, o_orderstatus AS ruleset_id, max(o_orderdate) AS created_at FROM orders GROUP BY 1, 2")
+def report_upsert_latest(s, d):
+    r = _reports(s, d)
+    old, new = r.where("report_id % 2 = 0"), r.where("report_id % 2 = 1")
+    out = stores.upsert(old, new, stores.REPORT_KEY, "created_at", "report_id")
+    return out.select(F.col("document_hash").cast("long").alias("cust"), "ruleset_id", "created_at")
+
+
+@query("cache_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def cache_anti_join(s, d):
+    hashes = table(s, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("document_hash"))
+    return stores.not_cached(hashes, _reports(s, d), "F", 1, "p1").select("c_custkey")
+
+
+@query("index_latest_n", "SELECT uri, updated_at FROM (SELECT 'doc-' || o_custkey AS uri, max(o_orderdate) AS updated_at FROM orders GROUP BY 1) ORDER BY updated_at DESC, uri LIMIT 50")
+def index_latest_n(s, d):
+    index = _reports(s, d).groupBy(F.col("document_uri").alias("uri")).agg(F.max("created_at").alias("updated_at"))
+    return trace.newest(index, 50)
+
+
+@query("reports_newest_by_uri", "SELECT o_orderkey AS report_id FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 5")
+def reports_newest_by_uri(s, d):
+    r = _reports(s, d)
+    first = r.agg(F.min(F.col("document_hash").cast("long"))).first()[0]
+    return stores.newest_reports(r, f"doc-{first}", 5).select("report_id")
+
+
+@query("quota_daily", "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS calls, count(*) >= 2 AS denied FROM events GROUP BY 1, 2")
+def quota_daily(s, d):
+    return stores.calls_by_day(table(s, d, "events").select("user_id", "ts", F.lit(1).alias("calls")), 2).withColumn("day", F.col("day").cast("string"))
+
+
+@query("model_gate", "SELECT doc_id, CASE WHEN n_chars > 10000 THEN 'too-large' WHEN coalesce(calls, 0) >= 100 THEN 'quota' END AS gate FROM documents LEFT JOIN (SELECT user_id, count(*) AS calls FROM events GROUP BY 1) u ON u.user_id = doc_id % 100")
+def model_gate(s, d):
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("uri"), (F.col("doc_id") % 100).alias("user_id"), (F.col("n_chars") * 20).alias("chars"))
+    usage = table(s, d, "events").select("user_id", F.lit(1).alias("calls"))
+    return stores.model_gate(docs, usage, True, 100).select(F.col("uri").alias("doc_id"), "gate")
+
+
+# ---- sources: documents' lines, conversations, pages
+
+_LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)"
+
+
+@query("text_lines_source", f"WITH {_LINES} SELECT doc_id, count(*) AS n_blocks, CAST(sum(length(line)) AS BIGINT) AS chars FROM lines WHERE trim(line) <> '' GROUP BY doc_id")
+def text_lines_source(s, d):
+    from ..sources.lines import paragraphs
+
+    b = paragraphs(table(s, d, "documents"), "doc_id", "text")
+    return b.groupBy(F.col("uri").cast("long").alias("doc_id")).agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query(
+    "lint_documents",
+    f"WITH {_LINES}, t AS (SELECT doc_id, sum(length(line)) AS chars FROM lines WHERE trim(line) <> '' GROUP BY doc_id) SELECT doc_id, (CASE WHEN chars > 800 THEN 1 ELSE 0 END) + (CASE WHEN chars > 1500 THEN 1 ELSE 0 END) AS n FROM t WHERE chars > 800",
+)
+def lint_documents(s, d):
+    """Length rules over the plain documents, each line a paragraph."""
+    from ..sources.lines import paragraphs
+
+    src = table(s, d, "documents")
+    docs = src.select(F.col("doc_id").cast("string").alias("uri"), F.lit("unknown").alias("doc_type"), F.lit("A plain title").alias("title"), F.lit("docx").alias("source_kind"), F.lit("x").alias("owner"), F.array(F.lit("l")).alias("labels"), F.lit(None).cast("string").alias("modified_at"))
+    ruleset = Ruleset()
+    for r, c in ruleset.rules.items():
+        c.enabled = r in ("STR002", "STR003")
+    blocks = paragraphs(src, "doc_id", "text")
+    links = views.links(s, d).where("false")
+    return rules.raw_findings(docs, blocks, links, ruleset, NOW).groupBy(F.col("uri").cast("long").alias("doc_id")).agg(F.count("*").cast("int").alias("n"))
+
+
+@query("conversation_callouts", "SELECT conv_id, count(*) AS n_blocks, string_agg('> [' || role || '] ' || text, chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
+def conversation_callouts(s, d):
+    b = table(s, d, "conversations").select("conv_id", "turn", F.concat(F.lit("> ["), "role", F.lit("] "), "text").alias("v"))
+    return b.groupBy("conv_id").agg(F.count("*").alias("n_blocks"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "v"))), lambda x: x["v"]), "\n").alias("markdown"))
+
+
+@query("html_pages_blocks")
+def html_pages_blocks(s, d):
+    from ..sources.wiki import page_blocks
+
+    return page_blocks(table(s, d, "pages").select(F.col("url").alias("uri"), "html"), "html").select("uri", "pos", "id", "kind", "level", "text", F.array_join("items", "|").alias("items"))
+
+
+@query("html_pages_links")
+def html_pages_links(s, d):
+    from ..sources.wiki import page_links
+
+    return page_links(table(s, d, "pages").select(F.col("url").alias("uri"), "html"), "html", "https://")
+
+
+@query(
+    "pdf_line_islands",
+    """WITH i AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS seq FROM lineitem)
+  SELECT l_orderkey AS doc, count(DISTINCT seq) AS n_items FROM i GROUP BY l_orderkey""",
+)
+def pdf_line_islands(s, d):
+    """Every positioned item of a page ends up in exactly one line."""
+    from pyspark.sql import Window
+
+    from ..sources.pdf import lines
+
+    order = [c.strip() for c in views.ORDER.split(",")]
+    items = table(s, d, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("uri"), F.lit(1).alias("page"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).alias("seq"), F.lit("w").alias("str"),
+        F.col("l_suppkey").cast("double").alias("x"), (F.col("l_partkey") % 3 * 10).cast("double").alias("y"), F.lit(5.0).alias("w"), F.lit(10.0).alias("size"),
+    )
+    return lines(items).groupBy(F.col("uri").cast("long").alias("doc")).agg(F.sum("n_items").cast("long").alias("n_items"))
