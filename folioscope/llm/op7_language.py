@@ -35,7 +35,7 @@ FLOOR = 1e-7
 LONGEST = 12
 #: Words up to this length are scored together, longer ones alone.
 WIDE = 40
-MAX_CACHED = 400_000
+MAX_CACHED = 600_000
 UNKNOWN = "und"
 MARK = "▁"
 
@@ -52,17 +52,52 @@ def vocabulary(path: str) -> dict[str, int]:
     return {p: i + 1 for i, p in enumerate(kept)}
 
 
-def _cuts(words: list[str], pieces: dict[str, int]) -> np.ndarray:
+class Pieces:
+    """Finds pieces by a hash of their characters, for many substrings at once: two tables by address, the second
+    for pieces whose place in the first is taken. A find is one only if the whole 64-bit hashes agree."""
+
+    BITS = 20
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, numbers: dict[str, int]):
+        self.numbers = numbers
+        self.hashes = np.zeros(len(numbers) + 1, np.uint64)
+        self.tables = np.zeros((2, 1 << self.BITS), np.int32)
+        for piece, number in numbers.items():
+            h = np.zeros(1, np.uint64)
+            for c in piece:
+                h = self.step(h, np.uint64(ord(c)))
+            self.hashes[number] = h[0]
+        for number in range(1, len(self.hashes)):
+            free = [t for t in range(2) if self.tables[t, self.place(self.hashes[number], t)] == 0]
+            if not free:
+                raise ValueError("the vocabulary doesn't fit the tables; raise BITS")
+            self.tables[free[0], self.place(self.hashes[number], free[0])] = number
+
+    def step(self, h: np.ndarray, code: np.ndarray) -> np.ndarray:
+        h = (h + code + np.uint64(1)) * self.BASE
+        return h ^ (h >> np.uint64(29))
+
+    def place(self, h, table: int):
+        return (h >> np.uint64(64 - self.BITS)) if table == 0 else ((h >> np.uint64(20)) & np.uint64((1 << self.BITS) - 1))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        first = self.tables[0][self.place(h, 0)]
+        out = np.where(self.hashes[first] == h, first, 0)
+        second = self.tables[1][self.place(h, 1)]
+        return np.where(self.hashes[second] == h, second, out)
+
+
+def _cuts(words: list[str], pieces: Pieces) -> np.ndarray:
     """Piece numbers by word, end and length of the piece; 0 where there is none. Words have one length."""
     n, size = len(words), len(words[0])
+    codes = np.array(words, f"<U{size}").view(np.uint32).reshape(n, size).astype(np.uint64)
     out = np.zeros((n, size + 1, LONGEST + 1), np.int32)
-    get = pieces.get
-    for row, w in enumerate(words):
-        for end in range(1, size + 1):
-            for length in range(1, min(LONGEST, end) + 1):
-                p = get(w[end - length : end])
-                if p:
-                    out[row, end, length] = p
+    h = np.zeros((n, size), np.uint64)
+    for length in range(1, min(LONGEST, size) + 1):
+        # Column i holds the hash of the substring of this length that starts at i.
+        h = pieces.step(h[:, : size - length + 1], codes[:, length - 1 :])
+        out[:, length:, length] = pieces.find(h)
     return out
 
 
@@ -80,14 +115,14 @@ def _forward(cuts: np.ndarray, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
-def _long_word(word: str, pieces: dict[str, int], p: np.ndarray) -> np.ndarray:
+def _long_word(word: str, numbers: dict[str, int], p: np.ndarray) -> np.ndarray:
     """The same sum for one word of any length, rescaled at each place; log of the total."""
     window = [np.ones(p.shape[1])]
     scale = np.zeros(p.shape[1])
     for end in range(1, len(word) + 1):
-        now = window[-1] * np.maximum(p[pieces.get(word[end - 1], 0)], FLOOR)
+        now = window[-1] * np.maximum(p[numbers.get(word[end - 1], 0)], FLOOR)
         for length in range(2, min(LONGEST, end) + 1):
-            i = pieces.get(word[end - length : end])
+            i = numbers.get(word[end - length : end])
             if i:
                 now = now + window[-length] * p[i]
         window = [*window[-LONGEST + 1 :], now]
@@ -98,77 +133,94 @@ def _long_word(word: str, pieces: dict[str, int], p: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, langs: list[str], pieces: dict[str, int], p: np.ndarray, prior: np.ndarray):
+    def __init__(self, langs: list[str], pieces: Pieces, p: np.ndarray, prior: np.ndarray):
         self.langs, self.pieces, self.p, self.prior = langs, pieces, p, prior
-        self.cache: dict[str, np.ndarray] = {}
+        self._forget()
 
-    def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
+    def _forget(self) -> None:
+        """Row 0 is for words without a letter."""
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1, len(self.langs)))
 
-    def words(self, words: list[str]) -> None:
-        """Scores the words, of any form, that the cache lacks."""
-        if len(self.cache) > MAX_CACHED:
-            self.cache.clear()
-        by_size: dict[int, list[str]] = defaultdict(list)
-        parts: dict[str, list[str]] = {}
-        score: dict[str, np.ndarray] = {}
-        for w in words:
-            parts[w] = [MARK + x for x in _LETTERS.findall(w.lower())]
-            for x in parts[w]:
-                if x not in score:
-                    score[x] = None
-                    by_size[len(x)].append(x)
+    def __getstate__(self):
+        return {"langs": self.langs, "pieces": self.pieces, "p": self.p, "prior": self.prior}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self._forget()
+
+    def _score(self, parts: list[str]) -> np.ndarray:
+        """Log probabilities of runs of letters, by language."""
+        out = np.zeros((len(parts), len(self.langs)))
+        by_size: dict[int, list[int]] = defaultdict(list)
+        for i, x in enumerate(parts):
+            by_size[len(x)].append(i)
         for size, some in by_size.items():
             if size > WIDE:
-                for x in some:
-                    score[x] = _long_word(x, self.pieces, self.p)
+                for i in some:
+                    out[i] = _long_word(parts[i], self.pieces.numbers, self.p)
                 continue
             for at in range(0, len(some), 2048):
-                part = some[at : at + 2048]
-                total = np.log(_forward(_cuts(part, self.pieces), self.p)[:, -1])
-                score.update(zip(part, total, strict=True))
-        for w, of in parts.items():
-            self.cache[w] = sum((score[x] for x in of), np.zeros(len(self.langs))) if of else None
+                block = some[at : at + 2048]
+                out[block] = np.log(_forward(_cuts([parts[i] for i in block], self.pieces), self.p)[:, -1])
+        return out
+
+    def words(self, words: list[str]) -> None:
+        """Scores words, of any form, and keeps them: a word is the product of its runs of letters."""
+        numbers: dict[str, int] = {}
+        owner, part = [], []
+        for i, w in enumerate(words):
+            for x in [w] if w.isalpha() else _LETTERS.findall(w):
+                owner.append(i)
+                part.append(numbers.setdefault(MARK + x.lower(), len(numbers)))
+        new = np.zeros((len(words), len(self.langs)))
+        if part:
+            np.add.at(new, owner, self._score(list(numbers))[part])
+        first = len(self.table)
+        lettered = np.zeros(len(words), bool)
+        lettered[owner] = True
+        self.table = np.concatenate((self.table, new))
+        self.rows.update((w, first + i if has else 0) for i, (w, has) in enumerate(zip(words, lettered.tolist(), strict=True)))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         counts = [Counter((t or "").split()) for t in texts]
-        missing = {w for c in counts for w in c if w not in self.cache}
-        if len(self.cache) + len(missing) > MAX_CACHED:
-            self.cache.clear()
-            missing = {w for c in counts for w in c}
-        self.words(list(missing))
+        missing = list({w for c in counts for w in c if w not in self.rows})
+        if len(self.rows) + len(missing) > MAX_CACHED:
+            self._forget()
+            missing = list({w for c in counts for w in c})
+        if missing:
+            self.words(missing)
         out = []
         for c in counts:
-            found = [(self.cache[w], n) for w, n in c.items()]
-            found = [x for x in found if x[0] is not None]
-            if not found or not self.langs:
+            rows = np.fromiter(map(self.rows.__getitem__, c), np.int64, len(c))
+            if not rows.any() or not self.langs:
                 out.append((UNKNOWN, 0.0))
                 continue
-            total = np.log(self.prior) + np.array([n for _, n in found], float) @ np.stack([x for x, _ in found])
+            total = np.log(self.prior) + np.fromiter(c.values(), np.float64, len(c)) @ self.table[rows]
             share = np.exp(total - total.max())
             best = int(share.argmax())
             out.append((self.langs[best], float(share[best] / share.sum())))
         return out
 
 
-def learn(counts: dict[str, dict[str, int]], documents: dict[str, int], pieces: dict[str, int]) -> Model:
+def learn(counts: dict[str, dict[str, int]], documents: dict[str, int], vocabulary: dict[str, int]) -> Model:
     """counts: word (with its mark) and count, by language; a language's prior is its share of the documents read."""
-    langs = sorted(counts)
-    p = np.zeros((len(pieces) + 1, len(langs)))
+    langs, pieces = sorted(counts), Pieces(vocabulary)
+    p = np.zeros((len(vocabulary) + 1, len(langs)))
     for at, lang in enumerate(langs):
         by_size: dict[int, list[str]] = defaultdict(list)
         for w in counts[lang]:
             if len(w) <= WIDE:
                 by_size[len(w)].append(w)
         blocks = [(_cuts(ws[i : i + 4096], pieces), np.array([counts[lang][w] for w in ws[i : i + 4096]], float)) for ws in by_size.values() for i in range(0, len(ws), 4096)]
-        expected = np.zeros(len(pieces) + 1)
+        expected = np.zeros(len(vocabulary) + 1)
         for cuts, n in blocks:
             np.add.at(expected, cuts.ravel(), np.repeat(n, cuts[0].size))
         for _ in range(ROUNDS):
             expected[0] = 0
             q = ((expected + 1e-3) / (expected.sum() + 1e-3 * len(expected)))[:, None]
             q[0] = 0
-            expected = np.zeros(len(pieces) + 1)
+            expected = np.zeros(len(vocabulary) + 1)
             for cuts, n in blocks:
                 alpha = _forward(cuts, q)[:, :, 0]
                 beta = np.zeros_like(alpha)
