@@ -1,0 +1,72 @@
+import json
+
+from helpers import frame, heading, para, tables
+from pyspark.sql import functions as F
+
+from folioscope.functions.text import evidence_found, normal_uri
+from folioscope.operators import grounding, trace
+from folioscope.operators.ruleset import resolve
+
+
+def corpus(spark):
+    docs = {
+        "w/4001": [para("REQ-001 and REQ-002: at most 3 retries."), para("REQ-003 holds")], "w/4002": [heading(1, "REQ-003 in detail"), para("REQ-002 allows 5 retries, REQ-003")],
+        "w/4003": [heading(1, "TC-101 and TC-102"), para("They test REQ-001 and REQ-003")], "w/4004": [para("See REQ-014")],
+    }
+    meta = {"w/4001": {"doc_type": "requirement"}, "w/4002": {"doc_type": "design"}, "w/4003": {"doc_type": "guide"}, "w/4004": {"doc_type": "guide"}}
+    return tables(spark, docs, {"w/4002": [{"href": "w/4900/?x#y"}, {"href": "w/4001"}]}, meta)
+
+
+def test_trace_corpus(spark):
+    documents, blocks, links = corpus(spark)
+    m = trace.mentions(documents, blocks).cache()
+    found = {r["id"]: r["documents"] for r in trace.trace_findings(documents, m, links).collect()}
+    assert found == {"TRC001:REQ-014": ["w/4004"], "TRC003:REQ-002": ["w/4001"], "TRC004:REQ-003": ["w/4001", "w/4002"], "TRC005:w/4002:w/4900": ["w/4002"]}
+    assert m.select("id").distinct().count() == 6
+    pairs = [(r["uri_a"][-1], r["uri_b"][-1], r["shared_ids"]) for r in trace.top_pairs(m).orderBy("uri_a", "uri_b").collect()]
+    assert pairs == [("1", "2", ["REQ-002", "REQ-003"]), ("1", "3", ["REQ-001", "REQ-003"]), ("2", "3", ["REQ-003"])]
+    assert trace.top_pairs(m, 1).count() == 1 and trace.shared_id_pairs(m).count() == 3
+
+    top = trace.top_pairs(m)
+    answer = json.dumps({"contradictions": [{"subjectId": "REQ-002", "quoteA": "at most 3 retries", "quoteB": "allows 5 retries", "why": "w", "confidence": 0.9}, {"subjectId": "REQ-003", "quoteA": "not there at all, really", "quoteB": "REQ-003", "why": "w", "confidence": 0.9}]})
+    answers = spark.createDataFrame([("w/4001", "w/4002", f"```json\n{answer}\n```")], "uri_a string, uri_b string, answer string")
+    got = grounding.contradictions(answers, trace.pair_snippets(m, top), top).collect()
+    assert [r["id"] for r in got] == ["TRC006:w/4001:w/4002:REQ-002"]
+
+
+def test_ids_and_uris(spark):
+    rows = spark.createDataFrame([("REQ-1 TC-2 PROJ-3 REQ-1 XREQ-12",)], "t string").select(F.inline(trace.matched_ids(F.col("t")))).collect()
+    assert {(r["id"], r["kind"]) for r in rows} == {("REQ-1", "requirement"), ("TC-2", "test"), ("PROJ-3", "ticket"), ("REQ-12", "requirement"), ("XREQ-12", "ticket")}
+    got = spark.createDataFrame([("https://wiki/pages/12/?a=1#sec",), ("/",)], "u string").select(normal_uri(F.col("u"))).collect()
+    assert [r[0] for r in got] == ["https://wiki/pages/12", "/"]
+
+
+def test_evidence(spark):
+    long = "a" * 2001 + " the word"
+    cases = [("the words", "so the  words stand", True), ("the wards are here", "that the words are here now", True), ("", "text", False), (" ", "text", False), ("longer than it", "short", False), ("the wird", long, False), ("the word", long, True), ("nothing like it", "something else", False), (None, "x", False), ("x", None, False)]
+    got = spark.createDataFrame([(i, n, h) for i, (n, h, _) in enumerate(cases)], "i int, n string, h string").select("i", evidence_found(F.col("n"), F.col("h")).alias("e")).orderBy("i").collect()
+    assert [bool(r["e"]) for r in got] == [c for _, _, c in cases]
+
+
+def test_verification_reasons(spark):
+    docs = {"d": [para("The service retries three times before it fails.")]}
+    t = tables(spark, docs, meta={"d": {"doc_type": "guide"}})
+    good = {"ruleId": "CTX001", "blockId": "b1", "evidence": "retries three times", "why": "w", "confidence": 0.9}
+    items = [good, good | {"blockId": "b99"}, good | {"ruleId": "CTX999"}, good | {"ruleId": "STR001"}, good | {"ruleId": "CTX002"}, good | {"ruleId": "CTX007"}, good | {"confidence": 0.3}, good | {"evidence": "nothing of the kind is said"}, {"ruleId": "CTX001"}, good | {"confidence": 0.7, "ruleId": "CTX003"}, good | {"confidence": 0.95, "ruleId": "CTX003", "suggestion": {"before": "not in it at all", "after": "x"}}]
+    answers = spark.createDataFrame([("d", json.dumps({"findings": items})), ("d2", "no json")], "uri string, answer string")
+    ruleset = resolve({"id": "r", "name": "r", "version": 1, "rules": {"CTX002": {"enabled": False}}})
+    v = grounding.verify(grounding.candidates(answers), t[0], t[1], ruleset).cache()
+    reasons = [r["reject_reason"] for r in v.where("uri = 'd'").orderBy("seq").collect()]
+    assert sorted(map(str, reasons)) == sorted(map(str, [None, "unknown-block", "unknown-rule", "unknown-rule", "rule-disabled", "doctype-mismatch", "low-confidence", "evidence-not-found", "schema-invalid", None, None]))
+    assert [r["reject_reason"] for r in v.where("uri = 'd2'").collect()] == ["schema-invalid"]
+    kept = {r["rule_id"]: (r["confidence"], r["before"]) for r in grounding.accepted(v, ruleset).collect()}
+    assert kept == {"CTX001": (0.9, None), "CTX003": (0.95, None)}
+
+
+def test_prompts_and_provider(spark):
+    t = tables(spark, {"d": [heading(1, "Part"), para("x" * 300)] * 3})
+    p = grounding.chunk_prompts(t[0], t[1], limit=500)
+    assert p.count() == 3 and grounding.summary_prompts(t[1], 500).count() == 1
+    got = grounding.ask(p, lambda system, user: json.dumps({"n": len(user)}) if "Part" in user else 1 / 0, tasks=2).collect()
+    assert all(r["ok"] for r in got)
+    assert frame(spark, [], "a string").count() == 0
