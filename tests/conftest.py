@@ -12,7 +12,7 @@ DATA = "/root/testdata"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", cores=4)
+    session = local_session("tests", cores=2)
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     ship(session)
