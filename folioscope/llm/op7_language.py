@@ -132,6 +132,14 @@ def _long_word(word: str, numbers: dict[str, int], p: np.ndarray) -> np.ndarray:
     return scale
 
 
+def _runs(word: str) -> list[str]:
+    """Runs of letters (characters of the letter categories, which other word characters aren't)."""
+    if word.isalpha():
+        return [word]
+    found = _LETTERS.findall(word)
+    return found if all(map(str.isalpha, found)) else "".join(c if c.isalpha() else " " for c in word).split()
+
+
 class Model:
     def __init__(self, langs: list[str], pieces: Pieces, p: np.ndarray, prior: np.ndarray):
         self.langs, self.pieces, self.p, self.prior = langs, pieces, p, prior
@@ -170,7 +178,7 @@ class Model:
         numbers: dict[str, int] = {}
         owner, part = [], []
         for i, w in enumerate(words):
-            for x in [w] if w.isalpha() else _LETTERS.findall(w):
+            for x in _runs(w):
                 owner.append(i)
                 part.append(numbers.setdefault(MARK + x.lower(), len(numbers)))
         new = np.zeros((len(words), len(self.langs)))

@@ -143,7 +143,7 @@ def test_quality_neighbours_against_brute_force():
 
 def test_language(spark):
     rows = [(i, prose(i, 40, WORDS if i % 2 else GERMAN), "en" if i % 2 else "de") for i in range(80)]
-    odd = [(100, None, "en"), (101, "", None), (102, "123 !?", "de"), (103, "garten " * 20_000, None), (104, "ж" * 3000, None), (None, "river stone", "en"), (1, rows[1][1], "en")]
+    odd = [(100, None, "en"), (101, "", None), (102, "123 !? ² Ⅷ _", "de"), (103, "garten " * 20_000, None), (104, "ж" * 3000, None), (None, "river stone", "en"), (1, rows[1][1], "en")]
     docs = documents(spark, rows + odd).withColumn("lang_pred", F.lit("clash"))
     got = op7_language.identify(docs, public.path("piece_bpe_32k.model")).collect()
     by = {r["doc_id"]: r for r in got}
