@@ -14,12 +14,11 @@ bounds the model; every document is scored on its whole text.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import islice
 from operator import eq
-import re
 
 import numpy as np
 import pandas as pd
@@ -36,53 +35,44 @@ POWER = 4
 REJECT = 0.3
 WORD_WEIGHT = 0.2
 BLOCK = 256
+#: The number that counts words like the word before.
+_REPEATS = 0
+MAX_CACHED = 600_000
 
 _SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S).sub
 _SHAPES = DIMS // 2
-_slots: dict[bytes, int] = {}
-
-
-def _slot(term: bytes, low: int, size: int) -> int:
-    """A term's number; kept for the terms seen, up to a bound that changes no result."""
-    found = _slots.get(term)
-    if found is None:
-        if len(_slots) > 300_000:
-            _slots.clear()
-        found = _slots[term] = low + zlib.crc32(term) % size
-    return found
-
-
-def terms(text: str | None) -> dict[int, float]:
-    """Number and weighted log count of each term."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    words = data.split()
-    if not words:
-        return {}
-    shapes = _RUNS(rb"\1", data.translate(_SHAPE)).split()
-    repeats = sum(map(eq, words, words[1:]))
-    counted: Counter = Counter()
-    for shape, n in Counter(shapes).items():
-        counted[_slot(b"s" + shape[:40], 0, _SHAPES)] += n
-    for (a, b), n in Counter(pairwise(shapes)).items():
-        counted[_slot(b"p" + a[:20] + b" " + b[:20], 0, _SHAPES)] += n
-    if repeats:
-        counted[_slot(b"r", 0, _SHAPES)] += 4 * repeats
-    size = len(words)
-    out = {slot: n / size for slot, n in counted.items()}
-    for word, n in Counter(words).items():
-        slot = _slot(b"w" + word.lower(), _SHAPES, DIMS - _SHAPES)
-        out[slot] = out.get(slot, 0.0) + WORD_WEIGHT * n / size
-    # Shares rather than counts, so that a text's length plays no part; the log damps common terms.
-    return {slot: float(np.log1p(100 * x)) for slot, x in out.items()}
+_LOW = (1 << 32) - 1
+
+
+class _Words(dict):
+    """For each word (bytes) a hash of its shape and, above it, the number of the word itself."""
 
+    def __missing__(self, word: bytes) -> int:
+        shape = zlib.crc32(_RUNS(rb"\1", word[:4096].translate(_SHAPE))[:40])
+        found = self[word] = shape | (zlib.crc32(word.lower()) % (DIMS - _SHAPES) + _SHAPES) << 32
+        return found
 
-def _matrix(rows: list[dict[int, float]]) -> np.ndarray:
-    out = np.zeros((len(rows), DIMS), np.float32)
-    for i, row in enumerate(rows):
-        if row:
-            out[i, list(row)] = list(row.values())
-    return out
+
+_words = _Words()
+
+
+def terms(text: str | None) -> np.ndarray:
+    """Weighted log counts of the terms; all zero for a text without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    size = len(words)
+    if not size:
+        return np.zeros(DIMS, np.float32)
+    if len(_words) > MAX_CACHED:
+        _words.clear()  # bounds memory and changes no result
+    packed = np.fromiter(map(_words.__getitem__, words), np.int64, size)
+    shape, word = packed & _LOW, packed >> 32
+    pair = (shape[:-1] * 1_000_003 + shape[1:] * 8_191) % 2_147_483_647 % _SHAPES
+    repeats = sum(map(eq, words, islice(words, 1, None)))
+    out = np.bincount(shape % _SHAPES, minlength=DIMS) + np.bincount(pair, minlength=DIMS) + WORD_WEIGHT * np.bincount(word, minlength=DIMS)
+    out[_REPEATS] += 4 * repeats
+    # Shares rather than counts, so that a text's length plays no part; the log damps common terms.
+    return np.log1p(100 / size * out).astype(np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -94,12 +84,12 @@ class Model:
     def __init__(self, idf: np.ndarray, basis: np.ndarray, vectors: np.ndarray, labels: np.ndarray):
         self.idf, self.basis, self.vectors, self.labels = idf, basis, vectors, labels
 
-    def latent(self, rows: list[dict[int, float]]) -> np.ndarray:
-        return _unit(_unit(_matrix(rows) * self.idf) @ self.basis)
+    def latent(self, rows: np.ndarray) -> np.ndarray:
+        return _unit(_unit(rows * self.idf) @ self.basis)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """0 for a text without words, whose vector is zero; the labels' mean where no neighbour is similar at all."""
-        rows = [terms(t) for t in texts]
+        rows = np.stack([terms(t) for t in texts])
         if not len(self.labels):
             return np.zeros(len(rows))
         cosines = self.latent(rows) @ self.vectors.T
@@ -108,27 +98,28 @@ class Model:
         weight = np.maximum(np.take_along_axis(cosines, top, axis=1), 0).astype(float) ** POWER
         total = weight.sum(axis=1)
         vote = np.divide((weight * self.labels[top]).sum(axis=1), total, out=np.full(len(rows), float(self.labels.mean())), where=total > 0)
-        return np.where([bool(r) for r in rows], np.clip(vote, 0, 1), 0.0)
+        return np.where(rows.any(axis=1), np.clip(vote, 0, 1), 0.0)
 
 
-def learn(rows: list[dict[int, float]], labels: list[int]) -> Model:
+def learn(x: np.ndarray, labels: list[int]) -> Model:
     """Truncated decomposition by a randomised range finder with a fixed seed."""
-    x = _matrix(rows)
-    idf = np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
+    n = len(x)
+    idf = np.log((1 + n) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
     x = _unit(x * idf)
-    rank = max(1, min(RANK, *x.shape)) if len(rows) else 1
+    rank = max(1, min(RANK, *x.shape)) if n else 1
     draw = np.random.default_rng(7).normal(size=(DIMS, rank + 8)).astype(np.float32)
     y = x @ draw
     for _ in range(3):
-        y = np.linalg.qr(x @ (x.T @ y))[0] if len(rows) else y
-    basis = np.linalg.svd(y.T @ x, full_matrices=False)[2][:rank].T if len(rows) else draw[:, :1]
+        y = np.linalg.qr(x @ (x.T @ y))[0] if n else y
+    basis = np.linalg.svd(y.T @ x, full_matrices=False)[2][:rank].T if n else draw[:, :1]
     return Model(idf, np.ascontiguousarray(basis, np.float32), _unit(_unit(x) @ basis.astype(np.float32)), np.array(labels, float))
 
 
 def _fit_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [terms(t) for t in batch["t"]]
-        yield pd.DataFrame({"id": batch["id"], "q": batch["q"], "slots": [list(r) for r in found], "weights": [list(r.values()) for r in found]})
+        slots = [np.flatnonzero(x) for x in found]
+        yield pd.DataFrame({"id": batch["id"], "q": batch["q"], "slots": slots, "weights": [x[i] for x, i in zip(found, slots, strict=True)]})
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -139,9 +130,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("t")).where("t is not null")
     ship(docs.sparkSession)
     # Terms of FIT_ROWS documents at most, of DIMS numbers each at most.
-    rows = texts.join(F.broadcast(chosen), "id").mapInPandas(_fit_terms, "id bigint, q int, slots array<int>, weights array<double>").toPandas()
+    rows = texts.join(F.broadcast(chosen), "id").mapInPandas(_fit_terms, "id bigint, q int, slots array<int>, weights array<float>").toPandas()
     rows = rows.sort_values(["id", "q"], kind="stable")
-    return learn([dict(zip(s, w, strict=True)) for s, w in zip(rows["slots"], rows["weights"], strict=True)], rows["q"].tolist())
+    x = np.zeros((len(rows), DIMS), np.float32)
+    for i, (slots, weights) in enumerate(zip(rows["slots"], rows["weights"], strict=True)):
+        x[i, slots] = weights
+    return learn(x, rows["q"].tolist())
 
 
 def quality_column(spark: SparkSession, model: Model, text: str = "text") -> Column:

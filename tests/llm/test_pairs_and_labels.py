@@ -132,11 +132,11 @@ def test_quality(spark):
 
 
 def test_quality_neighbours_against_brute_force():
-    rows = [op1_quality.terms(prose(i, 40)) for i in range(30)]
+    rows = np.stack([op1_quality.terms(prose(i, 40)) for i in range(30)])
     m = op1_quality.learn(rows, [i % 2 for i in range(30)])
     texts = [prose(100 + i, 40) for i in range(5)]
     for t, s in zip(texts, m.score(texts), strict=True):
-        v = m.latent([op1_quality.terms(t)])[0].astype(float)
+        v = m.latent(op1_quality.terms(t)[None])[0].astype(float)
         best = sorted(((max(float(v @ x), 0) ** op1_quality.POWER, y) for x, y in zip(m.vectors, m.labels, strict=True)), key=lambda x: -x[0])[: op1_quality.NEAREST]
         assert abs(s - sum(w * y for w, y in best) / sum(w for w, _ in best)) < 1e-4
 
