@@ -331,7 +331,7 @@ _LABEL_CASE = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.LA
 
 @query(
     "doctype_from_label",
-    f"""SELECT uri, coalesce(arg_min(t, i) FILTER (t IS NOT NULL), 'unknown') AS doc_type, CASE WHEN count(t) > 0 THEN 0.9 ELSE 0.0 END AS confidence, CASE WHEN count(t) > 0 THEN 'label' ELSE 'llm' END AS origin
+    f"""SELECT uri, coalesce(arg_min(t, i) FILTER (t IS NOT NULL), 'unknown') AS doc_type, CAST(CASE WHEN count(t) > 0 THEN 0.9 ELSE 0.0 END AS DOUBLE) AS confidence, CASE WHEN count(t) > 0 THEN 'label' ELSE 'llm' END AS origin
   FROM (SELECT uri, i, {_LABEL_CASE} AS t FROM (SELECT uri, i, regexp_replace(lower(trim(labels[i])), '\\s+', '-', 'g') AS x FROM (SELECT uri, labels, unnest(range(1, len(labels) + 1)) AS i FROM (SELECT uri, {_LABELLED} AS labels FROM docs_ord)))
     UNION ALL SELECT uri, 1000, NULL FROM docs_ord) GROUP BY uri""",
 )
@@ -453,7 +453,7 @@ _ANSWERS = """ans AS (SELECT uri, pos AS seq, CASE m % 7 WHEN 0 THEN 'STR001' WH
 query("verify_reasons", f"WITH {_ANSWERS} SELECT uri, seq, rule_id, reject_reason FROM judged")(
     lambda s, d: grounding.verify(_answers(s, d).join(views.documents(s, d).select("uri"), "uri", "left_semi"), views.documents(s, d), views.blocks(s, d)).select("uri", "seq", "rule_id", "reject_reason")
 )
-query("dedup_max_confidence", f"WITH {_ANSWERS} SELECT uri, rule_id, block_id, max(confidence) AS confidence FROM judged WHERE reject_reason IS NULL GROUP BY uri, rule_id, block_id")(
+query("dedup_max_confidence", f"WITH {_ANSWERS} SELECT uri, rule_id, block_id, CAST(max(confidence) AS DOUBLE) AS confidence FROM judged WHERE reject_reason IS NULL GROUP BY uri, rule_id, block_id")(
     lambda s, d: grounding.accepted(grounding.verify(_answers(s, d).join(views.documents(s, d).select("uri"), "uri", "left_semi"), views.documents(s, d), views.blocks(s, d))).select("uri", "rule_id", "block_id", F.col("confidence").cast("double").alias("confidence"))
 )
 query("evidence_exact", "SELECT conv_id, turn, contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(substring(text, 3, 25), '\\s+', ' ', 'g'))) AS held FROM conversations WHERE length(text) > 300")(
