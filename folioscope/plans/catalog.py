@@ -436,7 +436,7 @@ def _answers(s, d) -> DataFrame:
     item = F.to_json(
         F.struct(
             F.expr("case m % 7 when 0 then 'STR001' when 1 then 'CTX007' else 'CTX001' end").alias("ruleId"), F.expr("case when m % 5 = 0 then 'b99' else id end").alias("blockId"),
-            F.expr("case when m % 3 = 0 then 'nowhere to be found at all' else concat(substring(text, 1, 8), ' ', substring(text, 9, 30)) end").alias("evidence"), F.lit("because").alias("why"),
+            F.expr("case when m % 3 = 0 then 'nowhere to be found' when m % 3 = 1 then substring(text, 1, 38) else concat(substring(text, 1, 8), ' ', substring(text, 9, 12)) end").alias("evidence"), F.lit("because").alias("why"),
             F.expr("case when m % 4 = 0 then 0.3D else 0.9D end").alias("confidence"),
         )
     )
@@ -444,7 +444,7 @@ def _answers(s, d) -> DataFrame:
 
 
 _ANSWERS = """ans AS (SELECT uri, pos AS seq, CASE m % 7 WHEN 0 THEN 'STR001' WHEN 1 THEN 'CTX007' ELSE 'CTX001' END AS rule_id, CASE WHEN m % 5 = 0 THEN 'b99' ELSE id END AS block_id, m % 3 = 0 AS lost, CASE WHEN m % 4 = 0 THEN 0.3 ELSE 0.9 END AS confidence,
-    trim(regexp_replace(substring(text, 1, 8) || ' ' || substring(text, 9, 30), '\\s+', ' ', 'g')) AS needle, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS hay
+    trim(regexp_replace(CASE WHEN m % 3 = 1 THEN substring(text, 1, 38) ELSE substring(text, 1, 8) || ' ' || substring(text, 9, 12) END, '\\s+', ' ', 'g')) AS needle, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS hay
     FROM (SELECT *, pos + length(text) AS m FROM blocks_li WHERE kind IN ('paragraph', 'heading'))),
   near AS (SELECT *, NOT lost AND (contains(hay, needle) OR (length(hay) <= 2000 AND length(needle) <= length(hay)
     AND len(list_filter(range(0, length(hay) - length(needle) + 1), lambda i: levenshtein(substring(hay, i + 1, length(needle)), needle) <= floor(length(needle) * 0.1 + 1e-9))) > 0)) AS held FROM ans),

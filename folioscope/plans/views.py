@@ -22,7 +22,7 @@ SELECT concat('doc-', l_orderkey) AS uri, pos, concat('b', pos + 1) AS id, kind,
   CASE WHEN kind = 'heading' THEN concat(CASE l_partkey % 9 WHEN 0 THEN 'Overview of REQ-' WHEN 1 THEN 'Steps for TC-' WHEN 2 THEN 'TODO' WHEN 3 THEN 'Decision ' WHEN 4 THEN 'Purpose ' ELSE 'Part ' END,
        CASE WHEN l_partkey % 9 = 2 THEN '' ELSE CAST(l_partkey % 20000 AS VARCHAR(20)) END)
     WHEN kind = 'paragraph' THEN concat(CASE l_suppkey % 8 WHEN 0 THEN 'See the table. ' WHEN 1 THEN 'owner: team a. ' WHEN 2 THEN 'TBD: to be written. ' WHEN 3 THEN concat('Needs REQ-', CAST(l_partkey % 20000 AS VARCHAR(20)), ' and TC-', CAST(l_suppkey % 1000 AS VARCHAR(20)), '. ') ELSE 'Plain text. ' END,
-       repeat('Words of a paragraph. ', CAST(l_quantity AS INT) * 2))
+       repeat('Words of a paragraph. ', CAST(l_quantity AS INT)))
     WHEN kind = 'code' THEN concat('line 1', repeat('{chr(10)}line', l_partkey_n % 5), ' TODO')
     WHEN kind = 'callout' THEN concat('Mind AB-', CAST(l_suppkey AS VARCHAR(20)), ' and UTF-8') END AS text,
   CASE WHEN kind = 'paragraph' THEN l_partkey % 7 = 0 END AS emphasized_as_heading,
