@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import materialise, pages_of, text_rows
 from .files import open_store
 
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 8_000_000
 BUCKETS = 1024
 MAX_VOCABULARY = 1_000_000
 
@@ -174,35 +174,43 @@ def _stored(path: str, block: str) -> Iterator[dict]:
                 yield {c: row.column(c)[0].as_py() for c in ("doc_ids", "sizes", "places", "buckets")}
 
 
-def _reassemble(key: tuple, answers: pd.DataFrame) -> pd.DataFrame:
-    """answers: for each bucket, the ids of the words that a block asked for, in the order of asking."""
-    block, path = key
-    answers = answers.drop_duplicates("bucket").sort_values("bucket")  # equal blocks ask alike
-    flat = np.concatenate([np.empty(0, np.uint32), *(_unpack(x) for x in answers["ids"])])
-    in_order = np.concatenate([np.empty(0, np.int64), *(_unpack(x) for x in answers["lengths"])]).astype(np.int64)
-    out: dict[str, list] = {"doc_id": [], "ids": []}
-    for row in _stored(path, block):
-        order = np.argsort(_unpack(row["buckets"]), kind="stable")
-        lengths, starts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        lengths[order] = in_order
-        starts[order] = np.cumsum(in_order) - in_order
-        places, at = _unpack(row["places"]), 0
-        for doc_id, size in zip(row["doc_ids"], _unpack(row["sizes"]).tolist(), strict=True):
-            out["doc_id"].append(doc_id)
-            out["ids"].append(_gather(flat, starts, lengths, places[at : at + size]).astype("<u4").tobytes())
-            at += size
-    return pd.DataFrame({"doc_id": pd.array(out["doc_id"], "Int64"), "ids": out["ids"]})
-
-
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 32-bit), one row for each row of ``docs``.
+def _reassemble(table=None):
+    """Documents of a block from its answers: for each bucket, the ids of the words that it asked for, in the order of
+    asking. With the token-byte table the ids are decoded in the same task."""
+
+    def run(key: tuple, answers: pd.DataFrame) -> pd.DataFrame:
+        block, path = key
+        answers = answers.drop_duplicates("bucket").sort_values("bucket")  # equal blocks ask alike
+        flat = np.concatenate([np.empty(0, np.uint32), *(_unpack(x) for x in answers["ids"])])
+        in_order = np.concatenate([np.empty(0, np.int64), *(_unpack(x) for x in answers["lengths"])]).astype(np.int64)
+        doc_ids, ids = [], []
+        for row in _stored(path, block):
+            order = np.argsort(_unpack(row["buckets"]), kind="stable")
+            lengths, starts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+            lengths[order] = in_order
+            starts[order] = np.cumsum(in_order) - in_order
+            places, at = _unpack(row["places"]), 0
+            for doc_id, size in zip(row["doc_ids"], _unpack(row["sizes"]).tolist(), strict=True):
+                doc_ids.append(doc_id)
+                ids.append(_gather(flat, starts, lengths, places[at : at + size]).astype("<u4").tobytes())
+                at += size
+        out = pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "ids": pd.Series(ids, dtype=object)})
+        return out if table is None else _decoded(out, table.value)
+
+    return run
+
+
+def encode(docs: DataFrame, path: str, pattern: str, decode_too: bool = False) -> DataFrame:
+    """doc_id and ids (binary, little-endian unsigned 32-bit), one row for each row of ``docs``; with ``decode_too``
+    also what ``decode`` adds.
 
     A null text counts as empty and has no ids. A null doc_id is kept; rows that repeat are encoded
     each; other columns are not read; an empty table gives an empty result."""
     blocks = materialise(text_rows(docs).mapInPandas(_blocks(pattern), _BLOCKS), "bpe-blocks")
     asked = blocks.select(F.col("block").alias("in_block"), F.col("_metadata.file_path").alias("path"), F.inline("asked"))
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_encode_words(path, pattern), "in_block string, path string, bucket int, lengths binary, ids binary")
-    return answers.groupBy("in_block", "path").applyInPandas(_reassemble, "doc_id bigint, ids binary")
+    table = _shared_table(docs.sparkSession, path) if decode_too else None
+    return answers.groupBy("in_block", "path").applyInPandas(_reassemble(table), "doc_id bigint, ids binary" + ", n_tokens bigint, decoded binary" * decode_too)
 
 
 def token_bytes(spark: SparkSession, path: str) -> DataFrame:
@@ -211,39 +219,43 @@ def token_bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(table, "id bigint, bytes binary")
 
 
-def _decoder(table):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, flat, starts, lengths = table.value
-        flat = np.frombuffer(flat, np.uint8)
-        for batch in batches:
-            decoded, counts = [], []
-            for packed in batch["ids"]:
-                ids = np.frombuffer(packed, "<u4")
-                at = np.searchsorted(known, ids)
-                if len(ids) and (at.max(initial=0) >= len(known) or (known[at] != ids).any()):
-                    raise ValueError("an id is not in the vocabulary")
-                decoded.append(_gather(flat, starts, lengths, at).tobytes())
-                counts.append(len(ids))
-            yield batch.assign(n_tokens=counts, decoded=decoded)
+def _shared_table(spark: SparkSession, path: str):
+    """The token-byte table for a join by id in the tasks: sorted ids, and their bytes as one string with places."""
+    table = sorted((i, b) for b, i in ranks_of(path).items())
+    flat, starts, lengths = _pieces([b for _, b in table], "u1")
+    return spark.sparkContext.broadcast((np.array([i for i, _ in table], np.uint32), flat.tobytes(), starts, lengths))
 
-    return run
+
+def _decoded(batch: pd.DataFrame, table: tuple) -> pd.DataFrame:
+    known, flat, starts, lengths = table
+    flat = np.frombuffer(flat, np.uint8)
+    decoded, counts = [], []
+    for packed in batch["ids"]:
+        ids = np.frombuffer(packed, "<u4")
+        at = np.searchsorted(known, ids)
+        if len(ids) and (at.max(initial=0) >= len(known) or (known[at] != ids).any()):
+            raise ValueError("an id is not in the vocabulary")
+        decoded.append(_gather(flat, starts, lengths, at).tobytes())
+        counts.append(len(ids))
+    return batch.assign(n_tokens=np.array(counts, np.int64), decoded=pd.Series(decoded, index=batch.index, dtype=object))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds n_tokens and decoded (binary) to doc_id and ids.
 
-    The join with the token-byte table is a lookup by id in the broadcast table (sorted ids and
-    their bytes), whose size is that of the vocabulary."""
-    spark = encoded.sparkSession
-    table = sorted((i, b) for b, i in ranks_of(path).items())
-    flat, starts, lengths = _pieces([b for _, b in table], "u1")
-    shared = spark.sparkContext.broadcast((np.array([i for i, _ in table], np.uint32), flat.tobytes(), starts, lengths))
-    return encoded.select("doc_id", "ids").mapInPandas(_decoder(shared), "doc_id bigint, ids binary, n_tokens bigint, decoded binary")
+    The join with the token-byte table is a lookup by id in the broadcast table, whose size is that of the vocabulary."""
+    shared = _shared_table(encoded.sparkSession, path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _decoded(batch, shared.value)
+
+    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id bigint, ids binary, n_tokens bigint, decoded binary")
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids themselves."""
-    out = decode(encode(docs, path, pattern), path)
+    out = encode(docs, path, pattern, decode_too=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
 

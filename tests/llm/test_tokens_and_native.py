@@ -45,6 +45,8 @@ def test_bpe_round_trip(spark, monkeypatch, block):
         text = "no id" if r["doc_id"] is None else TEXTS[r["doc_id"]] or ""
         ids = enc.encode_ordinary(text)
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(text.encode())), text
+    apart = op5_bpe.decode(op5_bpe.encode(documents(spark), path, public.PATTERN), path).collect()
+    assert sorted(sha(r["decoded"]) for r in apart) == sorted(r["decoded_sha256"] for r in rows)
     assert op5_bpe.encode_and_decode(documents(spark).limit(0), path, public.PATTERN).count() == 0
 
 
