@@ -41,6 +41,8 @@ SLACK = 0.18
 #: Members of larger buckets get a finer signature for the comparison across components.
 SMALL = 32
 FINE = 1024
+#: Identifiers (8 bytes each) that are broadcast at most; beyond it they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 FINE_SLACK = 0.065
 BLOCK = 1024
 _STEP = 4096
@@ -166,7 +168,10 @@ def _across(least: float):
 
 def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """Texts of documents by doc_id. Only where a doc_id repeats with different texts can it bring another class's text."""
-    return text_rows(docs).join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = materialise(ids.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+    # Few identifiers go to the texts; many meet them in a shuffle.
+    few = wanted.count() <= BROADCAST_IDS
+    return text_rows(docs).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
