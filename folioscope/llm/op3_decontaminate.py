@@ -1,13 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased. One pass over the texts
-joins their n-grams with those of the test items and keeps, of the documents that share any, the
-stretches of words around them. The n-grams are counted over all documents; the rarer half of each
-item's n-grams, by those counts, are its seeds, so that an item is never left without seeds however
-common it is. Stretches that hold a seed are scored by local alignment with the item: a match
-counts 1, a substitution or a gap costs PENALTY. The score is the best sum over the item's length;
-from LEAK on the document leaks the item. A word changed, dropped or put in costs little, so
-edited copies score high.
+joins their n-grams with those of the test items and takes the stretches of words around them.
+Every n-gram of an item is a seed, however common it is or however few of them occur. A stretch is
+scored by local alignment with the item: a match counts 1, a substitution or a gap costs PENALTY.
+The score is the best sum over the item's length; from LEAK on the document leaks the item. A word
+changed, dropped or put in costs little, so edited copies score high. Only stretches that lack so
+many of the item's words that they can't reach LEAK, whatever their order, are not aligned.
 
 Items travel to the executors in parts of at most PART_BYTES of text, one pass for each part.
 """
@@ -25,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, pages_of, text_rows
+from .common import pages_of, text_rows
 
 GRAM = 3
 LEAK = 0.4
@@ -44,7 +43,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Items:
-    """The test items of one part: vocabulary, words, n-grams and (after counting) seeds."""
+    """The test items of one part: vocabulary, words and n-grams."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.ids = [i for i, _ in items]
@@ -77,12 +76,10 @@ class Items:
         words = words_of(text)
         return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
-    def choose(self, counts: dict[int, int]) -> None:
-        """Seeds: the rarer half (rounded up) of each item's distinct n-grams, the earlier first where counts tie."""
-        self.seeds: set[int] = set()
-        for grams in self.grams:
-            first = {int(g): p for p, g in reversed(list(enumerate(grams)))}
-            self.seeds.update(sorted(first, key=lambda g: (counts.get(g, 0), first[g]))[: -(-len(first) // 2)])
+    def reached(self, item: int, words: np.ndarray) -> bool:
+        """Whether so many words of the item are among these that an alignment can score LEAK: each match adds 1 at most."""
+        target = self.words[item]
+        return np.count_nonzero(np.isin(target, words)) / len(target) >= LEAK
 
 
 def local_scores(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,48 +101,44 @@ def local_scores(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.
     return best, at
 
 
-def meetings(items: Items, text: str | None) -> tuple[list[int], list[dict]]:
-    """The items' n-grams in a text, and the stretches of it around them, one for each item and place.
+def meetings(items: Items, text: str | None) -> list[tuple[int, int, np.ndarray]]:
+    """The stretches of a text around the items' n-grams, one for each item and place, that can reach LEAK.
 
-    A stretch has the item's number, where it starts, its words as numbers of the vocabulary (-1: none) and
-    the n-grams it was found by; stretches of an item that overlap are merged."""
+    A stretch has the item's number, where it starts and its words as numbers of the vocabulary (-1: none);
+    stretches of an item that overlap are merged."""
     words = items.look(text)
     grams = items.keys(words)
     if not len(grams) or not len(items.all):
-        return [], []
+        return []
     at = np.searchsorted(items.all, grams)
     at[at == len(items.all)] = 0
     places = np.flatnonzero(items.all[at] == grams)
-    if not len(places):
-        return [], []
     spans = defaultdict(list)
     for pos, g in zip(places.tolist(), grams[places].tolist(), strict=True):
         for item, p in items.at[g]:
             size = len(items.words[item])
             slack = MARGIN + size // 4
-            spans[item].append((max(0, pos - p - slack), min(len(words), pos - p + size + slack), g))
+            spans[item].append((max(0, pos - p - slack), min(len(words), pos - p + size + slack)))
     out = []
     for item, found in spans.items():
         found.sort()
-        low, high, by = found[0][0], found[0][1], set()
-        for a, b, g in found:
+        low, high = found[0]
+        for a, b in found:
             if a > high:
-                out.append((item, low, high, by))
-                low, high, by = a, b, set()
+                out.append((item, low, high))
+                low, high = a, b
             high = max(high, b)
-            by.add(g)
-        out.append((item, low, high, by))
-    stretches = [{"item": i, "low": lo, "words": words[lo:hi].astype("<i4").tobytes(), "grams": sorted(by)} for i, lo, hi, by in out]
-    return np.unique(grams[places]).tolist(), stretches
+        out.append((item, low, high))
+    stretches = [(item, low, words[low:high].astype(np.int32)) for item, low, high in out]
+    return [x for x in stretches if items.reached(x[0], x[2])]
 
 
-def _align(items: Items, rows: list[list[dict]]) -> list[list[dict]]:
+def _align(items: Items, rows: list[list[tuple[int, int, np.ndarray]]]) -> list[list[dict]]:
     """For each row, given its stretches, the items that leak into it, each at its best alignment."""
     jobs = defaultdict(list)
     for row, stretches in enumerate(rows):
-        for x in stretches:
-            if not items.seeds.isdisjoint(x["grams"]):
-                jobs[x["item"]].append((row, x["low"], np.frombuffer(x["words"], "<i4")))
+        for item, low, words in stretches:
+            jobs[item].append((row, low, words))
     best: list[dict[int, tuple[float, int]]] = [{} for _ in rows]
     for item, found in jobs.items():
         target = items.words[item]
@@ -169,28 +162,16 @@ def _align(items: Items, rows: list[list[dict]]) -> list[list[dict]]:
     return [[{"item_id": items.ids[i], "score": s, "word": w} for i, (s, w) in sorted(b.items())] for b in best]
 
 
-def _meet(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = shared.value
-        for batch in batches:
-            out = {"doc_id": [], "text_hash": [], "grams": [], "stretches": []}
-            for doc_id, text_hash, text in zip(batch["doc_id"], batch["text_hash"], batch["text"], strict=True):
-                grams, stretches = meetings(items, text)
-                if grams:
-                    for k, v in zip(out, (None if pd.isna(doc_id) else int(doc_id), text_hash, grams, stretches), strict=True):
-                        out[k].append(v)
-            yield pd.DataFrame(out | {"doc_id": pd.array(out["doc_id"], "Int64")})
-
-    return run
-
-
 def _aligned(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items = shared.value
         for batch in batches:
             for at in range(0, len(batch), 256):
                 some = batch.iloc[at : at + 256]
-                yield some[["doc_id", "text_hash"]].assign(hits=_align(items, some["stretches"].tolist()))
+                hits = _align(items, [meetings(items, text) for text in some["text"]])
+                held = [bool(h) for h in hits]
+                ids = pd.array([None if pd.isna(i) else int(i) for i in some["doc_id"][held]], "Int64")
+                yield pd.DataFrame({"doc_id": ids, "text_hash": some["text_hash"][held].to_numpy(), "hits": pd.Series([h for h in hits if h], dtype=object)})
 
     return run
 
@@ -217,17 +198,7 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in item_parts(benchmark):
         if not len(items.all):
             continue
-        met = materialise(
-            rows.mapInPandas(
-                _meet(spark.sparkContext.broadcast(items)),
-                "doc_id bigint, text_hash bigint, grams array<bigint>, stretches array<struct<item:int,low:int,words:binary,grams:array<bigint>>>",
-            ),
-            "meetings",
-        )
-        # One row for each n-gram of the part at most.
-        counts = met.select(F.explode("grams").alias("gram")).groupBy("gram").count().collect()
-        items.choose({r["gram"]: r["count"] for r in counts})
-        out = out.union(met.mapInPandas(_aligned(spark.sparkContext.broadcast(items)), f"doc_id bigint, text_hash bigint, hits {_HIT}"))
+        out = out.union(rows.mapInPandas(_aligned(spark.sparkContext.broadcast(items)), f"doc_id bigint, text_hash bigint, hits {_HIT}"))
     return out.select("doc_id", "text_hash", F.explode("hits").alias("hit")).select("doc_id", "text_hash", "hit.item_id", "hit.score", "hit.word")
 
 

@@ -186,6 +186,17 @@ def test_decontamination(spark):
     assert op3_decontaminate.leaked_items(docs.limit(0), bench).count() == 0 and op3_decontaminate.leaked_items(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_where_most_trigrams_are_absent_or_common(spark):
+    """An edited copy as an item's only trace, a back half as another's, and back halves that a whole copy makes common."""
+    edited_item, half_item, common_item = (prose(s, 32) for s in (21, 22, 23))
+    edited = " ".join("other" if i % 4 == 3 else w for i, w in enumerate(edited_item.split()))
+    back = lambda t: " ".join(t.split()[14:])
+    rows = [(1, prose(60, 90) + " " + edited, "en"), (2, back(half_item) + " " + prose(61, 90), "en"), (3, common_item, "en"), *((i, back(common_item), "en") for i in range(4, 9)), (9, prose(62, 300), "en")]
+    bench = spark.createDataFrame([(31, edited_item), (32, half_item), (33, common_item)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in op3_decontaminate.leaked_items(documents(spark, rows), bench).collect())
+    assert got == [(1, 31), (2, 32), *((i, 33) for i in range(3, 9))]
+
+
 def test_alignment_against_brute_force():
     rng = np.random.default_rng(3)
     item = rng.integers(0, 6, 12)
