@@ -1,7 +1,8 @@
 """MinHash near-duplicates with b-bit signatures.
 
-1. Each text's distinct word shingles are hashed; texts with equal sets form a class, whose
-   smallest doc_id stands for it. Only classes go on, so exact copies make no pairs.
+1. Each text's distinct word shingles are hashed; texts with equal sets form a class, which is named
+   by a print of the set (a doc_id that repeats may have several texts) and has its smallest doc_id.
+   Only classes go on, so exact copies make no pairs.
 2. A class has LANES minima. BANDS groups of them give band keys; only the low BITS bits of each
    minimum are kept, packed into a few longs.
 3. Classes that share a band key are candidates. A bucket isn't paired out: its members are paired
@@ -91,7 +92,7 @@ def _sets(k: int):
         for batch in batches:
             sets = [shingle_hashes(word_hashes(t or ""), k).view(np.int64) for t in batch["text"]]
             prints = [_print_a(s.view(np.uint64)) for s in sets]
-            yield pd.DataFrame({"id": batch["doc_id"], "print_a": prints, "shingles": sets})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "id": prints, "shingles": sets})
 
     return run
 
@@ -121,7 +122,7 @@ def _fine(k: int):
                 lanes = (mix(least) & np.uint64((1 << BITS) - 1)).reshape(-1, 64 // BITS)
                 bits.append((lanes << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).view(np.int64))
                 prints.append(_print_a(s))
-            yield pd.DataFrame({"id": batch["doc_id"], "print_a": prints, "fine": bits})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "id": prints, "fine": bits})
 
     return run
 
@@ -167,18 +168,18 @@ def _across(least: float):
 
 
 def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """Texts of documents by doc_id. Only where a doc_id repeats with different texts can it bring another class's text."""
-    wanted = materialise(ids.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+    """Texts of documents by doc_id. Where a doc_id repeats with different texts, other classes' texts come too."""
+    wanted = materialise(ids.select("doc_id").distinct(), "wanted")
     # Few identifiers go to the texts; many meet them in a shuffle.
     few = wanted.count() <= BROADCAST_IDS
     return text_rows(docs).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b: ids of classes) whose full sets reach the threshold, as u, v."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "print_a"), "id").select("id", "print_a")
-    sets = _texts_of(ids, docs).mapInPandas(_sets(k), "id bigint, print_a bigint, shingles array<bigint>")
-    sets = materialise(sets.join(ids, ["id", "print_a"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"), "sets")
+    """Those of the pairs (a, b: names of classes) whose full sets reach the threshold, as u, v."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "doc_id"), "id").select("id", "doc_id")
+    sets = _texts_of(ids, docs).mapInPandas(_sets(k), "doc_id bigint, id bigint, shingles array<bigint>")
+    sets = materialise(sets.join(ids, ["id", "doc_id"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"), "sets")
     side = lambda n: sets.select(F.col("id").alias(n), F.col("shingles").alias(f"s_{n}"))
     both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     union = F.size("s_a") + F.size("s_b") - both
@@ -186,28 +187,30 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percen
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id and kept (doc_id = component_id) for each row of ``docs``.
+    """doc_id, text_hash, n_shingles, group, component_id and kept (doc_id = component_id) for each row of ``docs``.
+
+    group names the linked texts, component_id is the smallest doc_id among them.
 
     A text without words (null, empty, white space) has no shingles and is linked with nothing; one of
     fewer than k words has its whole sequence as its only shingle. Rows that repeat a doc_id are one
-    document where a text is the same, and of a doc_id's texts each may link it. A row with a null
-    doc_id gets the component of equal texts that have one, else null, and is kept only then. Other
-    columns are not read. An empty table gives an empty result."""
+    document where a text is the same; different texts of a doc_id are linked only if they are similar. A row
+    with a null doc_id gets the component of equal texts that have one, else null, and is kept only then.
+    group is null without shingles and where no equal text has a doc_id. Other columns are not read. An empty table gives an empty result."""
     signed = materialise(
         text_rows(docs).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).mapInPandas(_sign(k), "doc_id bigint, text_hash bigint, n_shingles bigint, print_a bigint, print_b bigint, keys array<bigint>, bits array<bigint>"),
         "signatures",
     )
     prints = ["print_a", "print_b"]
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*prints).agg(F.min("doc_id").alias("id"))
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*prints).agg(F.min("doc_id").alias("doc_id"))
     nodes = materialise(
-        classes.join(signed.select(F.col("doc_id").alias("id"), *prints, "keys", "bits"), ["id", *prints]).dropDuplicates(["id", *prints]), "classes"
+        classes.join(signed.select("doc_id", *prints, "keys", "bits"), ["doc_id", *prints]).dropDuplicates(["doc_id", *prints]).withColumn("id", F.col("print_a")), "classes"
     )
     bands = nodes.select("id", F.posexplode("keys").alias("band", "key"))
 
     sizes = bands.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
     members = materialise(bands.join(sizes, "key").select("id", "band", "key", "least", "n"), "members")
     weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
-    central = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("central"))
+    central = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", F.bitwise_not("id"))).alias("central"))
     to_least = members.select("id", F.col("least").alias("hub"))
     to_central = members.select("id", "key").join(central, "key").select("id", F.col("central").alias("hub"))
     stars = to_least.union(to_central).where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
@@ -227,8 +230,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     close = close.join(bits("a"), "a").join(bits("b"), "b").where(estimate("bits_a", "bits_b") >= least).select("a", "b")
 
     many = mixed_members.where(F.col("size") > SMALL)
-    fine = _texts_of(many, docs).mapInPandas(_fine(k), "id bigint, print_a bigint, fine array<bigint>")
-    fine = nodes.select("id", "print_a", "keys").join(fine, ["id", "print_a"]).dropDuplicates(["id"]).drop("print_a")
+    fine = _texts_of(many.select("id").distinct().join(nodes.select("id", "doc_id"), "id"), docs).mapInPandas(_fine(k), "doc_id bigint, id bigint, fine array<bigint>")
+    fine = nodes.select("id", "doc_id", "keys").join(fine, ["id", "doc_id"]).dropDuplicates(["id"]).drop("doc_id")
     split = many.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     split = materialise(split.join(fine, "id"), "large")
     each = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -241,22 +244,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         links = links.union(_confirm(more, docs, nodes, k, percent))
         found = components(links)
 
-    of_class = nodes.select("id", *prints).join(found, "id", "left").select(*prints, F.coalesce("component", "id").alias("component_id"))
+    linked = nodes.select("id", "doc_id").join(found, "id")
+    least_id = linked.groupBy("component").agg(F.min("doc_id").alias("least_id"))
+    named = linked.join(least_id, "component").select("id", "component", "least_id")
+    of_class = nodes.select("id", "doc_id", *prints).join(named, "id", "left")
+    of_class = of_class.select(*prints, F.coalesce("component", "id").alias("group"), F.coalesce("least_id", "doc_id").alias("component_id"))
     out = signed.select("doc_id", "text_hash", "n_shingles", *prints).join(of_class, prints, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("group")).alias("group"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(pages_of(spark, sf_dir, "documents"), k=4, percent=80).drop("text_hash")
+    return near_duplicates(pages_of(spark, sf_dir, "documents"), k=4, percent=80).drop("text_hash", "group")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with all columns, less the rows whose text another row stands for: of each group that of the
-    smallest doc_id stays, once. Rows of null doc_id stay if no row with one has an equal text."""
+    smallest doc_id stays, once; rows without a group all stay, equal ones once. Rows of null doc_id stay if no
+    row with one has an equal text."""
     found = materialise(near_duplicates(docs, k, percent), "groups")
-    told = F.when(F.col("doc_id").isNull(), F.col("text_hash"))
-    stay = found.where("kept").groupBy("doc_id", "component_id", told).agg(F.min("text_hash").alias("stay_hash")).select(F.col("doc_id").alias("stay_id"), "stay_hash").distinct()
+    told = F.when(F.col("group").isNull(), F.col("text_hash"))
+    stay = found.where("kept").groupBy("doc_id", "group", told).agg(F.min("text_hash").alias("stay_hash")).select(F.col("doc_id").alias("stay_id"), "stay_hash").distinct()
     hashed = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["stay_id"]) & (hashed == stay["stay_hash"]), "left_semi")
     if found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():

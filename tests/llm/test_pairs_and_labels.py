@@ -89,6 +89,17 @@ def test_near_duplicate_rows_that_repeat_or_lack_ids(spark):
     assert op9_minhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_ids_with_different_texts(spark):
+    """A doc_id's texts are compared and kept one by one, whichever of them a task reads first."""
+    a, b, c = prose(31, 100), prose(32, 100), prose(33, 100)
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, b), (2, near(b)), (5, c), (6, near(c)), (6, a), (7, c), (8, ""), (8, near(a) + " words")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in op9_minhash.near_duplicates(documents(spark, [(i, t, "en") for i, t in rows])).collect())
+    assert got == [(1, 96, 1, True), (1, 96, 1, True), (2, 97, 1, False), (5, 96, 5, True), (6, 96, 1, False), (6, 97, 5, False), (7, 96, 5, False), (8, 0, 8, True), (8, 98, 1, False)]
+    kept = op9_minhash.one_of_each(documents(spark, [(i, t, "en") for i, t in rows])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, a), (1, b), (5, c), (8, "")])
+
+
 def test_signature_estimate():
     rng = np.random.default_rng(0)
     for j in (0.2, 0.5, 0.8):
