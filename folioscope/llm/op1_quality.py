@@ -2,7 +2,8 @@
 
 A text's terms are the shapes of its words (letters, capitals and digits each as one sign, runs
 written once, other characters as they are), pairs of neighbouring shapes, words that repeat the word
-before, and, with less weight, the words themselves; all hashed to DIMS numbers, weighted by a log of
+before, and, with less weight, the words themselves; a shape of more than PIECE signs is cut into
+consecutive pieces that each count as a shape; all hashed to DIMS numbers, weighted by a log of
 their count and by how few training texts have them. A truncated singular value decomposition of the
 labelled texts' vectors gives a latent space of RANK dimensions. The labelled latent vectors (at most
 FIT_ROWS) are broadcast; every document's exact cosines with all of them are computed in blocks, and
@@ -35,6 +36,8 @@ POWER = 4
 REJECT = 0.3
 WORD_WEIGHT = 0.2
 BLOCK = 256
+#: Signs of a shape that are one term.
+PIECE = 40
 #: The number that counts words like the word before.
 _REPEATS = 0
 MAX_CACHED = 600_000
@@ -43,16 +46,29 @@ _SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48
 _RUNS = re.compile(rb"(.)\1+", re.S).sub
 _SHAPES = DIMS // 2
 _LOW = (1 << 32) - 1
+#: Marks words whose shape has several pieces.
+_LONG = 1 << 62
 
 
 class _Words(dict):
     """For each word (bytes) a hash of its shape and, above it, the number of the word itself."""
 
+    def __init__(self):
+        self.pieces: dict[bytes, list[int]] = {}
+
     def __missing__(self, word: bytes) -> int:
-        shape = zlib.crc32(_RUNS(rb"\1", word[:4096].translate(_SHAPE))[:40])
-        found = self[word] = shape | (zlib.crc32(word.lower()) % (DIMS - _SHAPES) + _SHAPES) << 32
+        shape = _RUNS(rb"\1", word.translate(_SHAPE))
+        found = zlib.crc32(shape[:PIECE]) | (zlib.crc32(word.lower()) % (DIMS - _SHAPES) + _SHAPES) << 32
+        if len(shape) > PIECE:
+            self.pieces[word] = [zlib.crc32(shape[i : i + PIECE]) for i in range(0, len(shape), PIECE)]
+            found |= _LONG
+        self[word] = found
         return found
 
+    def clear(self) -> None:
+        super().clear()
+        self.pieces.clear()
+
 
 _words = _Words()
 
@@ -66,13 +82,16 @@ def terms(text: str | None) -> np.ndarray:
     if len(_words) > MAX_CACHED:
         _words.clear()  # bounds memory and changes no result
     packed = np.fromiter(map(_words.__getitem__, words), np.int64, size)
-    shape, word = packed & _LOW, packed >> 32
+    long = packed >= _LONG
+    shape, word = packed & _LOW, (packed & ~_LONG) >> 32
+    if long.any():
+        shape = np.array([p for w, s, several in zip(words, shape.tolist(), long.tolist(), strict=True) for p in (_words.pieces[w] if several else (s,))], np.int64)
     pair = (shape[:-1] * 1_000_003 + shape[1:] * 8_191) % 2_147_483_647 % _SHAPES
     repeats = sum(map(eq, words, islice(words, 1, None)))
     out = np.bincount(shape % _SHAPES, minlength=DIMS) + np.bincount(pair, minlength=DIMS) + WORD_WEIGHT * np.bincount(word, minlength=DIMS)
     out[_REPEATS] += 4 * repeats
     # Shares rather than counts, so that a text's length plays no part; the log damps common terms.
-    return np.log1p(100 / size * out).astype(np.float32)
+    return np.log1p(100 / len(shape) * out).astype(np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -142,6 +142,13 @@ def test_quality(spark):
     assert all(r["score"] == 0 for r in op1_quality.classify(docs, labels.limit(0)).collect())
 
 
+def test_quality_reads_the_whole_of_long_words():
+    """Texts of one long word that differ behind its start only, by shapes and pairs of shapes."""
+    head, n = "aB3-" * 1500, op1_quality._SHAPES
+    one, two = op1_quality.terms(head + "x.Y;" * 500), op1_quality.terms(head + "7=q/" * 500)
+    assert (one[:n] != two[:n]).sum() > 1
+
+
 def test_quality_neighbours_against_brute_force():
     rows = np.stack([op1_quality.terms(prose(i, 40)) for i in range(30)])
     m = op1_quality.learn(rows, [i % 2 for i in range(30)])
