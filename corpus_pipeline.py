@@ -51,7 +51,8 @@ STAGES = [
     ("byte-level BPE", encode),
 ]
 
-#: No stage of these can be said in SQL but near-dedup; the tests hold run() against a brute-force version.
+#: No stage of these can be said in SQL but near-dedup. The tests try the first four stages one by one, each on all
+#: documents; run() and the byte-level BPE stage in its place are not held against a brute-force version.
 ORACLE_SQL = None
 
 
