@@ -14,18 +14,19 @@ shard. A shard is, in this order (all numbers little-endian):
   footer      offset and count of the index, offset and bytes of the filter, documents, ids (6 x u64),
               bytes of an id (u32), crc32 of index and filter (u32), magic (8 bytes)
 
-``lookup`` finds a document by filter, binary search in the index, and a scan of one block.
+``Store`` finds a document by the shards' key ranges, filter, binary search in the index, and a scan of
+one block.
 ``read`` streams all shards; places before a document are known from the shards' totals.
 """
 
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ MAGIC = b"FOLIOSST"
 BLOCK_BYTES = 256 * 1024
 BITS_A_KEY, HASHES = 10, 7
 #: The word caches of a process, kept from task to task, are emptied at these sizes, which bounds their memory and changes no result.
-MAX_CACHED_WORDS, MAX_CACHED_IDS = 2_400_000, 10_000_000
+MAX_CACHED_WORDS, MAX_CACHED_BYTES = 2_400_000, 60_000_000
 _ENCODERS: dict = {}
 
 #: ASCII signs that no alternative of the pattern treats apart (the apostrophe is one that does).
@@ -49,40 +50,53 @@ _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _FOOTER = struct.Struct("<6QII8s")
 _ENTRY = struct.Struct("<BBI")
 _INDEX = struct.Struct("<9sQII")
-_MANIFEST = "shard string, first_id bigint, first_null boolean, documents bigint, ids bigint"
+_MANIFEST = "shard string, first_key binary, last_key binary, documents bigint, ids bigint"
 
 
-class _Places(dict):
-    """Places of words that follow a space; a word not yet known is encoded when it is asked for."""
+class _Words(dict):
+    """Ids, as bytes, of words that follow a space; a word not yet known is encoded when it is asked for."""
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> bytes:
         e = self.encoder
         if word.isalpha() and word.isascii():  # the frequent case, without the ways of the others
-            ids = [t.id for t in e.model.tokenize(e.space + word)]
+            ids = e.pack([t.id for t in e.model.tokenize(e.space + word)])
         else:
             ids = e._ids(" " + word)
-        return e._keep(self, word, ids)
+        e.cached += len(word) + len(ids)
+        self[word] = ids
+        return ids
 
 
 class Encoder:
-    """Encodes whole texts with a tokenizers file of byte-level BPE, a word at a time.
+    """Encodes whole texts as the library does with a tokenizers file of byte-level BPE, a word at a time.
 
     A space between two characters that are not white space always begins a token, so text may be
     cut there; a piece's ids don't depend on what is around it. Each distinct piece is encoded once
-    by the library's model. Special tokens' strings are ordinary text."""
+    by the library's model. A text that holds the string of one of the file's added tokens is encoded
+    by the library as a whole. Files of another kind are refused."""
 
     def __init__(self, path: str):
+        import json
         import re
 
         import regex
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(path)
-        self.model = whole.model
-        self.size = whole.get_vocab_size()
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        cuts = said["pre_tokenizer"] or {}
+        known = (cuts.get("type"), cuts.get("add_prefix_space"), cuts.get("use_regex", True)) == ("ByteLevel", False, True)
+        plain = not any(said["model"].get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        if said["model"].get("type") != "BPE" or said["normalizer"] or said["truncation"] or said["padding"] or not known or not plain:
+            raise ValueError(f"{path}: not byte-level BPE without normaliser and prefix space")
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.added = [x["content"] for x in said["added_tokens"]]
+        self.size = self.whole.get_vocab_size()
+        self.width = 2 if self.size <= 1 << 16 else 4
         self.chars = self._byte_chars()
         self.mapped = dict(enumerate(self.chars))
         self.space = self.chars[32]
@@ -100,18 +114,21 @@ class Encoder:
         return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
 
     def clear(self) -> None:
-        self.index: dict[str, int] = _Places(self)
-        self.first: dict[str, int] = {}
-        self.known: dict[str, list[int]] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.used = 0
-        self.starts, self.lengths = array("q"), array("q")
+        self.words: dict[str, bytes] = _Words(self)
+        self.known: dict[str, bytes] = {}
+        self.cached = 0
+
+    def pack(self, ids: list[int]) -> bytes:
+        out = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def odd(self, text: str) -> bool:
         """Whether a space may stand at an end of the text or beside other white space."""
         return text[:1] == " " or text[-1:] == " " or any(x in text for x in ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")) or self.rare_space(text) is not None
 
-    def _ids(self, text: str) -> list[int]:
+    def _ids(self, text: str) -> bytes:
         core = text[1:] if text[:1] == " " else text
         if core.isalpha():
             return self._piece(text)
@@ -124,59 +141,33 @@ class Encoder:
             pieces = self.pieces(text)
         if len(pieces) == 1:
             return self._piece(text)
-        out: list[int] = []
+        out = []
         for piece in pieces:
-            place = self.index.get(piece[1:]) if piece[0] == " " else None
-            if place is not None:
-                out += self.flat[self.starts[place] : self.starts[place] + self.lengths[place]].tolist()
-                continue
-            ids = self.known.get(piece)
+            ids = self.words.get(piece[1:]) if piece[0] == " " else None
+            if ids is None:
+                ids = self.known.get(piece)
             if ids is None:
                 ids = self.known[piece] = self._piece(piece)
-            out += ids
-        return out
+                self.cached += len(piece) + len(ids)
+            out.append(ids)
+        return b"".join(out)
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():
-            mapped = piece.replace(" ", self.chars[32])
+            mapped = piece.replace(" ", self.space)
         else:
             mapped = piece.encode("utf-8").decode("latin-1").translate(self.mapped)
-        return [t.id for t in self.model.tokenize(mapped)]
-
-    def _place(self, into: dict[str, int], word: str, text: str) -> int:
-        return self._keep(into, word, self._ids(text))
-
-    def _keep(self, into: dict[str, int], word: str, ids: list[int]) -> int:
-        end = self.used + len(ids)
-        if end > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty(max(len(self.flat), end), np.uint32)))
-        self.flat[self.used : end] = ids
-        place = into[word] = len(self.starts)
-        self.starts.append(self.used)
-        self.lengths.append(len(ids))
-        self.used = end
-        return place
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) + len(self.known) > MAX_CACHED_WORDS or self.used > MAX_CACHED_IDS:
+        return self.pack([t.id for t in self.model.tokenize(mapped)])
+
+    def encode(self, text: str) -> bytes:
+        """The ids, ``width`` bytes each, little-endian."""
+        if any(x in text for x in self.added):
+            return self.pack(self.whole.encode(text, add_special_tokens=False).ids)
+        if len(self.words) + len(self.known) > MAX_CACHED_WORDS or self.cached > MAX_CACHED_BYTES:
             self.clear()
-        placed = []
-        for text in texts:
-            words = self.cut(text) if self.odd(text) else text.split(" ")
-            places = np.empty(len(words) if text else 0, np.int64)
-            if text:
-                head = self.first.get(words[0])
-                places[0] = self._place(self.first, words[0], words[0]) if head is None else head
-                places[1:] = np.fromiter(map(self.index.__getitem__, islice(words, 1, None)), np.int64, len(words) - 1)
-            placed.append(places)
-        starts, lengths = np.frombuffer(self.starts, np.int64) if self.starts else np.empty(0, np.int64), np.frombuffer(self.lengths, np.int64) if self.starts else np.empty(0, np.int64)
-        out = []
-        for at in placed:
-            n = lengths[at]
-            total = int(n.sum())
-            begin = np.repeat(starts[at] - (np.cumsum(n) - n), n)
-            out.append(self.flat[begin + np.arange(total)])
-        return out
+        words = iter(self.cut(text) if self.odd(text) else text.split(" "))
+        first = next(words)
+        return (self._ids(first) if first else b"") + b"".join(map(self.words.__getitem__, words))
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -216,7 +207,11 @@ class ShardWriter:
         self.at += len(data)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        key, value = key_of(doc_id), ids.astype(f"<u{self.width}").tobytes()
+        self.put(doc_id, ids.astype(f"<u{self.width}").tobytes())
+
+    def put(self, doc_id: int | None, value: bytes) -> None:
+        """The same for ids that are bytes of the right width."""
+        key = key_of(doc_id)
         shared = 0
         if self.block:
             while shared < 9 and key[shared] == self.last[shared]:
@@ -228,7 +223,7 @@ class ShardWriter:
         self.last = key
         self.keys.append(_filter_key(doc_id))
         self.documents += 1
-        self.ids += len(ids)
+        self.ids += len(value) // self.width
         if self.block_bytes >= BLOCK_BYTES:
             self._flush()
 
@@ -265,6 +260,7 @@ class Shard:
         if zlib.crc32(index + self.filter) != crc:
             raise ValueError(f"{uri}: index or filter is damaged")
         self.index = [_INDEX.unpack_from(index, i * _INDEX.size) for i in range(blocks)]
+        self.firsts = [x[0] for x in self.index]
         self.unpack = zstandard.ZstdDecompressor()
 
     def block(self, i: int) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -288,16 +284,10 @@ class Shard:
         probes = _probes(np.array([_filter_key(doc_id)], np.uint64), len(self.filter) * 8)[0]
         if not all(self.filter[int(p) >> 3] >> (7 - (int(p) & 7)) & 1 for p in probes):
             return []
-        key, firsts = key_of(doc_id), [x[0] for x in self.index]
-        found: list[np.ndarray] = []
-        i = bisect_right(firsts, key) - 1
-        while i > 0 and firsts[i] == key:  # equal keys may begin in the block before
-            i -= 1
-        for j in range(max(i, 0), len(firsts)):
-            if firsts[j] > key:
-                break
-            found += [ids for k, ids in self.block(j) if k == key]
-        return found
+        key = key_of(doc_id)
+        # Equal keys may begin in the block before the first that begins with the key.
+        low, high = max(bisect_left(self.firsts, key) - 1, 0), bisect_right(self.firsts, key)
+        return [ids for j in range(low, high) for k, ids in self.block(j) if k == key]
 
 
 def _writer(folder: str, path: str, end_id: int):
@@ -306,29 +296,27 @@ def _writer(folder: str, path: str, end_id: int):
         done: dict = {}
 
         def write(out) -> None:
-            shard = ShardWriter(out, 2 if encoder.size <= 1 << 16 else 4)
-            end = np.array([end_id], np.uint32)
+            shard = ShardWriter(out, encoder.width)
+            end = encoder.pack([end_id])
             for batch in batches:
-                if not done and len(batch):
-                    first = batch["doc_id"].iloc[0]
-                    done["first"] = None if pd.isna(first) else int(first)
-                for at in range(0, len(batch), 128):
-                    rows = batch.iloc[at : at + 128]
-                    for doc_id, ids in zip(rows["doc_id"], encoder.encode([t or "" for t in rows["text"]]), strict=True):
-                        shard.add(None if pd.isna(doc_id) else int(doc_id), np.concatenate((ids, end)))
+                for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                    i = None if pd.isna(doc_id) else int(doc_id)
+                    done.setdefault("first", key_of(i))
+                    done["last"] = i
+                    shard.put(i, encoder.encode(text or "") + end)
             shard.close()
             done["counts"] = shard.documents, shard.ids
 
         uri = write_whole(folder, "shard", write)
         documents, ids = done["counts"]
         if documents:
-            yield pd.DataFrame({"shard": [uri], "first_id": pd.array([done["first"]], "Int64"), "first_null": [done["first"] is None], "documents": [documents], "ids": [ids]})
+            yield pd.DataFrame({"shard": [uri], "first_key": [done["first"]], "last_key": [key_of(done["last"])], "documents": [documents], "ids": [ids]})
 
     return run
 
 
 def write(docs: DataFrame, path: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
-    """Writes the shards and returns their list: shard, documents, ids, start (ids in all shards before it).
+    """Writes the shards and returns their list: shard, first_key and last_key, documents, ids, start (ids in all shards before it).
 
     The list has one row a shard and is gathered on the driver; documents never are. Null doc_ids
     come first; rows that share a doc_id are kept and ordered by a hash of their text; a null text counts
@@ -338,9 +326,9 @@ def write(docs: DataFrame, path: str, end_id: int = 0, folder: str | None = None
     rows = text_rows(docs).withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     shards = dealt.mapInPandas(_writer(folder, path, end_id), _MANIFEST).toPandas()
-    shards = shards.sort_values(["first_null", "first_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    shards = shards.sort_values(["first_key", "last_key"], kind="stable").reset_index(drop=True)
     shards["start"] = shards["ids"].cumsum() - shards["ids"]
-    return spark.createDataFrame(shards[["shard", "documents", "ids", "start"]], "shard string, documents bigint, ids bigint, start bigint")
+    return spark.createDataFrame(shards, f"{_MANIFEST}, start bigint")
 
 
 def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -363,8 +351,24 @@ def read(shards: DataFrame) -> DataFrame:
     return shards.repartition(n, "shard").mapInPandas(_reader, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def lookup(shards: list[str], doc_id: int | None) -> list[np.ndarray]:
-    return [ids for uri in shards for ids in Shard(uri).get(doc_id)]
+class Store:
+    """The shards' list, kept in order of keys, for lookups that open only shards whose range holds the key."""
+
+    def __init__(self, shards: DataFrame):
+        rows = sorted(((bytes(r["first_key"]), bytes(r["last_key"]), r["shard"]) for r in shards.collect()), key=lambda x: x[:2])
+        self.first, self.last, self.uris = ([x[i] for x in rows] for i in range(3))
+        self.open: dict[str, Shard] = {}
+
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of every document of that identifier."""
+        key, found = key_of(doc_id), []
+        # Ranges don't overlap but at equal keys, so both ends are in order.
+        for i in range(bisect_left(self.last, key), bisect_right(self.first, key)):
+            uri = self.uris[i]
+            if uri not in self.open:
+                self.open[uri] = Shard(uri)
+            found += self.open[uri].get(doc_id)
+        return found
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
