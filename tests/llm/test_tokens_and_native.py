@@ -15,7 +15,7 @@ from folioscope.llm.files import write_whole
 public = pytest.importorskip("public_tokenizers")
 TEXTS = [
     "", None, "Hello world", " leading", "trailing ", "two  spaces", "tab\tand\nnew \n lines\r\n", "don't we'll I'M", "naïve façade 你好 мир 😀", "x" * 3000, "a1b2 c3,d4... (e5)!", "\u00a0nbsp\u2003em", "\x1c odd \x85 space", "$$$ ### ***", "word,word;word", "' 'quoted' '", "end.\n\n\n",
-    "été, où? ça!", "mixed—dash “quotes”", "🏳️‍🌈 flag", "١٢٣ arabic-digits ٤", "<|endoftext|> is text",
+    "été, où? ça!", "mixed—dash “quotes”", "🏳️‍🌈 flag", "١٢٣ arabic-digits ٤", "<|endoftext|> is a token", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|ended", "caf\u00e9<|endoftext|>  two  ",
 ]
 
 
@@ -55,17 +55,24 @@ def test_packing():
         assert op5_bpe._unpack(op5_bpe._pack(np.array(n, np.uint32))).tolist() == n
 
 
-def test_token_counts(spark):
+def test_token_counts(spark, monkeypatch):
     path, enc = rank_encoding()
     end = len(op5_bpe.ranks_of(path))
-    got = sorted((r["doc_id"] or -1, r["n_tokens"]) for r in op2_token_counts.count_document_tokens(documents(spark), path, public.PATTERN, end).collect())
-    want = sorted([(i or -1, len(enc.encode_ordinary(t or ""))) for i, t in enumerate(TEXTS)] + [(-1, len(enc.encode_ordinary("no id"))), (2, 2)])
-    assert [n for _, n in got] and sorted(n for _, n in got) == sorted(n for _, n in want)
+    monkeypatch.setattr(op2_token_counts, "BLOCK_IDS", 100)
+    long = [(1000, "many words " * 50_000), (1000, None)]
+    docs = documents(spark).select("doc_id", "text").union(spark.createDataFrame(long, "doc_id long, text string"))
+    got = op2_token_counts.count_document_tokens(docs, path, public.PATTERN, end)
+    joins = re.findall(r"(\w+Join) \[(?:name|file)#\d+L?, (?:number|first)", got._jdf.queryExecution().executedPlan().toString())
+    assert joins and set(joins) == {"SortMergeJoin"}
+    key = lambda r: (r[0] is None, r)
+    want = [(r["doc_id"], len(enc.encode_ordinary(r["text"] or ""))) for r in docs.collect()]
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in got.collect()), key=key) == sorted(want, key=key)
     assert op2_token_counts.count_document_tokens(documents(spark).limit(0), path, public.PATTERN, end).count() == 0
 
 
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
-def test_separator_scan_across_blocks(spark, tmp_path, block):
+def test_separator_scan_across_blocks(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(op2_token_counts, "RUN", 2)
     streams = [[9, 1, 2, 9, 9, 3, 4, 5, 6, 7, 8, 9], [1, 2, 3], [9], [1, 9, 2, 9, 3]]
     files = []
     for s in streams:
@@ -83,7 +90,6 @@ def test_token_shards(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     shards = op6_token_output.write(documents(spark), public.path("byte_bpe_50k.json"))
     rows = sorted(op6_token_output.read(shards).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in rows] == [None, 0, 1, 2, 2, *range(3, len(TEXTS))]
@@ -92,12 +98,33 @@ def test_token_shards(spark):
         ids = [*t.encode("no id" if r["doc_id"] is None else TEXTS[r["doc_id"]] or "", add_special_tokens=False).ids, 0]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), r
         start += len(ids)
-    uris = [r["shard"] for r in shards.collect()]
-    assert len(op6_token_output.lookup(uris, 2)) == 2 and len(op6_token_output.lookup(uris, None)) == 1 and op6_token_output.lookup(uris, 10**6) == []
-    assert op6_token_output.lookup(uris, 9)[0].tolist() == [*t.encode(TEXTS[9], add_special_tokens=False).ids, 0]
+    store = op6_token_output.Store(shards)
+    assert len(store.get(2)) == 2 and len(store.get(None)) == 1 and store.get(10**6) == []
+    assert store.get(9)[0].tolist() == [*t.encode(TEXTS[9], add_special_tokens=False).ids, 0]
     assert op6_token_output.read(op6_token_output.write(documents(spark).limit(0), public.path("byte_bpe_50k.json"))).count() == 0
 
 
+def test_shards_of_ranges_and_other_files(spark, tmp_path):
+    """Lookups open only shards whose range holds the key, equal keys in two shards included; other kinds of files are refused."""
+    import json
+
+    path = public.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i // 3, f"w{i} " * (i % 7)) for i in range(-30, 300)], "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shards = op6_token_output.write(docs, path).cache()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    store = op6_token_output.Store(shards)
+    assert len(store.uris) > 1 and all(len(store.get(i)) == 3 for i in range(-10, 100))
+    store = op6_token_output.Store(shards)
+    assert store.get(50) and len(store.open) <= 2 and store.get(1000) == []
+    said = json.load(open(path))
+    for k, v in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", said["pre_tokenizer"] | {"add_prefix_space": True})):
+        other = tmp_path / f"{k}.json"
+        other.write_text(json.dumps(said | {k: v}))
+        with pytest.raises(ValueError):
+            op6_token_output.Encoder(str(other))
+
+
 def test_shard_blocks_and_damage(tmp_path, monkeypatch):
     monkeypatch.setattr(op6_token_output, "BLOCK_BYTES", 40)
     ids = [-5, -1, 0, 1, 1, 1, 2, 255, 256, 1 << 40]
