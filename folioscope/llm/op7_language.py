@@ -7,11 +7,13 @@ over its words (runs of letters, lower-cased, each with the vocabulary's mark of
 
 The piece probabilities are learned by expectation-maximisation: a forward and a backward pass give
 each piece's expected count in the training words. A character that no piece covers costs the same
-in all languages.
+in all languages. Words are a table; each round is a job over it that sums expected counts by language
+and piece, as whole numbers of 1 / UNIT, so that neither order nor partitions change a sum.
 
-Training reads at most FIT_DOCS documents of each language (those whose identifiers hash lowest) and
-of their words the FIT_WORDS most frequent; these bounds, and the vocabulary, bound the model.
-Everything else sees every text whole.
+Training reads about FIT_DOCS documents of each language (those whose identifier and text hash lowest),
+and all their words, whatever their number or length. The prior counts all labelled documents that
+aren't held out. Everything else sees every text whole. The model is bounded by the vocabulary and
+MAX_LANGUAGES; more languages than that are refused.
 """
 
 from __future__ import annotations
@@ -22,20 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, pages_of, ship
+from .common import drop_table, held_out, materialise, pages_of, ship
 
 FIT_DOCS = 2_000
-FIT_WORDS = 40_000
+MAX_LANGUAGES = 100
 ROUNDS = 3
+UNIT = 1 << 16
 #: A probability for pieces that a language's training words don't show, and for uncovered characters.
 FLOOR = 1e-7
-LONGEST = 12
 #: Words up to this length are scored together, longer ones alone.
 WIDE = 40
-MAX_CACHED = 600_000
+#: Words and their characters that a process keeps scores of.
+MAX_CACHED, MAX_CACHED_CHARS = 600_000, 8_000_000
 UNKNOWN = "und"
 MARK = "▁"
 
@@ -48,7 +51,7 @@ def vocabulary(path: str) -> dict[str, int]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {p.lower() for p in map(model.id_to_piece, range(model.get_piece_size()))}
-    kept = sorted(p for p in pieces if 0 < len(p) <= LONGEST and all(c == MARK or c.isalpha() for c in p))
+    kept = sorted(p for p in pieces if p and all(c == MARK or c.isalpha() for c in p))
     return {p: i + 1 for i, p in enumerate(kept)}
 
 
@@ -61,6 +64,7 @@ class Pieces:
 
     def __init__(self, numbers: dict[str, int]):
         self.numbers = numbers
+        self.longest = max(map(len, numbers), default=1)
         self.hashes = np.zeros(len(numbers) + 1, np.uint64)
         self.tables = np.zeros((2, 1 << self.BITS), np.int32)
         for piece, number in numbers.items():
@@ -92,9 +96,9 @@ def _cuts(words: list[str], pieces: Pieces) -> np.ndarray:
     """Piece numbers by word, end and length of the piece; 0 where there is none. Words have one length."""
     n, size = len(words), len(words[0])
     codes = np.array(words, f"<U{size}").view(np.uint32).reshape(n, size).astype(np.uint64)
-    out = np.zeros((n, size + 1, LONGEST + 1), np.int32)
+    out = np.zeros((n, size + 1, pieces.longest + 1), np.int32)
     h = np.zeros((n, size), np.uint64)
-    for length in range(1, min(LONGEST, size) + 1):
+    for length in range(1, min(pieces.longest, size) + 1):
         # Column i holds the hash of the substring of this length that starts at i.
         h = pieces.step(h[:, : size - length + 1], codes[:, length - 1 :])
         out[:, length:, length] = pieces.find(h)
@@ -103,35 +107,107 @@ def _cuts(words: list[str], pieces: Pieces) -> np.ndarray:
 
 def _forward(cuts: np.ndarray, p: np.ndarray) -> np.ndarray:
     """alpha[word, place, language]; p[0] is zero, and a single character has FLOOR at least."""
-    n, places, _ = cuts.shape
+    n, places, longest = cuts.shape
     alpha = np.zeros((n, places, p.shape[1]))
     alpha[:, 0] = 1
     for end in range(1, places):
         alpha[:, end] = alpha[:, end - 1] * np.maximum(p[cuts[:, end, 1]], FLOOR)
-        for length in range(2, min(LONGEST, end) + 1):
+        for length in range(2, min(longest - 1, end) + 1):
             ids = cuts[:, end, length]
             if ids.any():
                 alpha[:, end] += alpha[:, end - length] * p[ids]
     return alpha
 
 
-def _long_word(word: str, numbers: dict[str, int], p: np.ndarray) -> np.ndarray:
+def _long_word(word: str, pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """The same sum for one word of any length, rescaled at each place; log of the total."""
+    numbers, longest = pieces.numbers, pieces.longest
     window = [np.ones(p.shape[1])]
     scale = np.zeros(p.shape[1])
     for end in range(1, len(word) + 1):
         now = window[-1] * np.maximum(p[numbers.get(word[end - 1], 0)], FLOOR)
-        for length in range(2, min(LONGEST, end) + 1):
+        for length in range(2, min(longest, end) + 1):
             i = numbers.get(word[end - length : end])
             if i:
                 now = now + window[-length] * p[i]
-        window = [*window[-LONGEST + 1 :], now]
+        window = [*window[-longest + 1 :], now]
         top = now.copy()
         scale += np.log(top)
         window = [x / top for x in window]
     return scale
 
 
+def _expected_of_long(word: str, pieces: Pieces, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces and their expected counts in one word of any length, by passes over logarithms."""
+    numbers, size = pieces.numbers, len(word)
+    cuts = [[(n, i) for n in range(1, min(pieces.longest, end) + 1) if (i := numbers.get(word[end - n : end], 0)) or n == 1] for end in range(size + 1)]
+    price = [np.log([max(q[i], FLOOR) if n == 1 else q[i] for n, i in c]) for c in cuts]
+    alpha = np.zeros(size + 1)
+    for end in range(1, size + 1):
+        alpha[end] = np.logaddexp.reduce(price[end] + alpha[[end - n for n, _ in cuts[end]]])
+    beta = np.full(size + 1, -np.inf)
+    beta[size] = 0
+    ids, counts = [], []
+    for end in range(size, 0, -1):
+        starts = [end - n for n, _ in cuts[end]]
+        beta[starts] = np.logaddexp(beta[starts], price[end] + beta[end])
+        ids += [i for _, i in cuts[end]]
+        counts.append(np.exp(alpha[starts] + price[end] + beta[end] - alpha[size]))
+    return np.array(ids, np.int64), np.concatenate(counts)
+
+
+def _all_pieces(cuts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pieces of each word, all counted once: where the first round starts."""
+    flat = cuts.reshape(len(cuts), -1)
+    return [(flat, np.ones_like(flat, float))]
+
+
+def _expected(cuts: np.ndarray, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Arrays of pieces by word, and how often each is expected under the probabilities q."""
+    alpha = _forward(cuts, q[:, None])[:, :, 0]
+    beta = np.zeros_like(alpha)
+    beta[:, -1] = 1
+    out = []
+    places = alpha.shape[1]
+    for start in range(places - 2, -1, -1):
+        for length in range(1, min(cuts.shape[2] - 1, places - 1 - start) + 1):
+            ids = cuts[:, start + length, length]
+            share = q[ids] if length > 1 else np.maximum(q[ids], FLOOR)
+            after = share * beta[:, start + length]
+            beta[:, start] += after
+            out.append((ids[:, None], (alpha[:, start] * after / alpha[:, -1])[:, None]))
+    return out
+
+
+def expected_counts(words: dict[str, int], pieces: Pieces, q: np.ndarray | None) -> np.ndarray:
+    """Expected counts of all pieces, in units of 1 / UNIT, over words (with their mark) and their counts; q None: the first round."""
+    out = np.zeros(len(pieces.hashes))
+
+    def add(ids: np.ndarray, shares: np.ndarray, n: np.ndarray) -> None:
+        # Whole numbers below 2**53, so that sums of them are exact.
+        out[:] += np.bincount(ids.ravel(), np.rint(shares * UNIT * n).ravel(), len(out))
+
+    by_size: dict[int, list[str]] = defaultdict(list)
+    for w in words:
+        by_size[len(w)].append(w)
+    for size, some in by_size.items():
+        if size > WIDE:
+            for w in some:
+                if q is None:
+                    add(*((x := _cuts([w], pieces).ravel()), np.ones(len(x)), np.float64(words[w])))
+                else:
+                    add(*_expected_of_long(w, pieces, q), np.float64(words[w]))
+            continue
+        for at in range(0, len(some), 4096):
+            block = some[at : at + 4096]
+            n = np.array([words[w] for w in block], float)[:, None]
+            cuts = _cuts(block, pieces)
+            for ids, shares in _all_pieces(cuts) if q is None else _expected(cuts, q):
+                add(ids, shares, n)
+    out[0] = 0
+    return out
+
+
 def _runs(word: str) -> list[str]:
     """Runs of letters (characters of the letter categories, which other word characters aren't)."""
     if word.isalpha():
@@ -148,7 +224,9 @@ class Model:
     def _forget(self) -> None:
         """Row 0 is for words without a letter."""
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((1, len(self.langs)))
+        self.chars = 0
+        self.table = np.zeros((1 << 12, len(self.langs)))
+        self.used = 1
 
     def __getstate__(self):
         return {"langs": self.langs, "pieces": self.pieces, "p": self.p, "prior": self.prior}
@@ -166,7 +244,7 @@ class Model:
         for size, some in by_size.items():
             if size > WIDE:
                 for i in some:
-                    out[i] = _long_word(parts[i], self.pieces.numbers, self.p)
+                    out[i] = _long_word(parts[i], self.pieces, self.p)
                 continue
             for at in range(0, len(some), 2048):
                 block = some[at : at + 2048]
@@ -184,16 +262,19 @@ class Model:
         new = np.zeros((len(words), len(self.langs)))
         if part:
             np.add.at(new, owner, self._score(list(numbers))[part])
-        first = len(self.table)
+        first, self.used = self.used, self.used + len(words)
+        self.chars += sum(map(len, words))
         lettered = np.zeros(len(words), bool)
         lettered[owner] = True
-        self.table = np.concatenate((self.table, new))
+        if self.used > len(self.table):
+            self.table = np.concatenate((self.table, np.zeros((max(self.used, len(self.table)), len(self.langs)))))
+        self.table[first : self.used] = new
         self.rows.update((w, first + i if has else 0) for i, (w, has) in enumerate(zip(words, lettered.tolist(), strict=True)))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         counts = [Counter((t or "").split()) for t in texts]
         missing = list({w for c in counts for w in c if w not in self.rows})
-        if len(self.rows) + len(missing) > MAX_CACHED:
+        if len(self.rows) + len(missing) > MAX_CACHED or self.chars > MAX_CACHED_CHARS:
             self._forget()
             missing = list({w for c in counts for w in c})
         if missing:
@@ -211,58 +292,76 @@ class Model:
         return out
 
 
-def learn(counts: dict[str, dict[str, int]], documents: dict[str, int], vocabulary: dict[str, int]) -> Model:
-    """counts: word (with its mark) and count, by language; a language's prior is its share of the documents read."""
-    langs, pieces = sorted(counts), Pieces(vocabulary)
-    p = np.zeros((len(vocabulary) + 1, len(langs)))
-    for at, lang in enumerate(langs):
-        by_size: dict[int, list[str]] = defaultdict(list)
-        for w in counts[lang]:
-            if len(w) <= WIDE:
-                by_size[len(w)].append(w)
-        blocks = [(_cuts(ws[i : i + 4096], pieces), np.array([counts[lang][w] for w in ws[i : i + 4096]], float)) for ws in by_size.values() for i in range(0, len(ws), 4096)]
-        expected = np.zeros(len(vocabulary) + 1)
-        for cuts, n in blocks:
-            np.add.at(expected, cuts.ravel(), np.repeat(n, cuts[0].size))
-        for _ in range(ROUNDS):
-            expected[0] = 0
-            q = ((expected + 1e-3) / (expected.sum() + 1e-3 * len(expected)))[:, None]
-            q[0] = 0
-            expected = np.zeros(len(vocabulary) + 1)
-            for cuts, n in blocks:
-                alpha = _forward(cuts, q)[:, :, 0]
-                beta = np.zeros_like(alpha)
-                beta[:, -1] = 1
-                places = alpha.shape[1]
-                for start in range(places - 2, -1, -1):
-                    for length in range(1, min(LONGEST, places - 1 - start) + 1):
-                        ids = cuts[:, start + length, length]
-                        share = q[ids, 0] if length > 1 else np.maximum(q[ids, 0], FLOOR)
-                        beta[:, start] += share * beta[:, start + length]
-                        np.add.at(expected, ids, n * alpha[:, start] * share * beta[:, start + length] / alpha[:, -1])
-        expected[0] = 0
-        p[:, at] = np.maximum(expected / max(expected.sum(), 1.0), FLOOR)
+def probabilities(counts: np.ndarray, last: bool = False) -> np.ndarray:
+    """From expected counts [piece, language]; the last ones have FLOOR where training shows nothing."""
+    if last:
+        p = np.maximum(counts / np.maximum(counts.sum(axis=0), 1.0), FLOOR)
+    else:
+        p = (counts / UNIT + 1e-3) / (counts.sum(axis=0) / UNIT + 1e-3 * len(counts))
     p[0] = 0
+    return p
+
+
+def learn(counts: dict[str, dict[str, int]], documents: dict[str, int], vocabulary: dict[str, int]) -> Model:
+    """The same as ``fit`` on one machine. counts: word (with its mark) and count, by language; documents gives the prior."""
+    langs, pieces = sorted(documents), Pieces(vocabulary)
+    p = None
+    for r in range(ROUNDS + 1):
+        found = [expected_counts(counts.get(x, {}), pieces, None if p is None else p[:, at]) for at, x in enumerate(langs)]
+        p = probabilities(np.stack(found, axis=1) if langs else np.zeros((len(pieces.hashes), 0)), r == ROUNDS)
     seen = np.array([documents[x] for x in langs], float)
-    return Model(langs, pieces, p, seen / seen.sum() if len(langs) else seen)
+    return Model(langs, pieces, p, seen / seen.sum() if langs else seen)
 
 
-def fit(docs: DataFrame, path: str) -> Model:
-    """Learns from text and lang of documents that aren't held out; rows without lang or text teach nothing."""
+def _summed(shared):
+    """Of a task's words: language, piece and expected count, one row for each pair that occurs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces, p = shared.value
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, some in batch.groupby("at"):
+                found = expected_counts(dict(zip(some["w"], some["n"], strict=True)), pieces, None if p is None else p[:, at])
+                totals[at] = totals.get(at, 0) + found
+        for at, total in totals.items():
+            where = np.flatnonzero(total)
+            yield pd.DataFrame({"at": int(at), "piece": where, "units": total[where].astype(np.int64)})
+
+    return run
+
+
+def training_words(docs: DataFrame) -> tuple[dict[str, int], DataFrame]:
+    """Documents a language, of all rows that may teach, and the words of the chosen rows: at (the language's place), w (with its mark), n."""
+    spark = docs.sparkSession
     marked = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("t"), F.col("lang").alias("l"))
     marked = marked.where("l is not null and t is not null and id is not null").where(~held_out(F.col("id")))
-    order = Window.partitionBy("l").orderBy(F.xxhash64("id"), "id")
-    chosen = marked.select("id", "l").withColumn("n", F.row_number().over(order)).where(F.col("n") <= FIT_DOCS).select("id", "l")
-    # At most FIT_DOCS identifiers of each language.
-    texts = marked.join(F.broadcast(chosen), ["id", "l"], "left_semi")
-    words = texts.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w")).groupBy("l", "w").count()
-    top = Window.partitionBy("l").orderBy(F.desc("count"), "w")
-    rows = words.withColumn("n", F.row_number().over(top)).where(F.col("n") <= FIT_WORDS).select("l", "w", "count").toPandas()
-    documents = {r["l"]: r["count"] for r in chosen.groupBy("l").count().collect()}
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, w, n in zip(rows["l"], rows["w"], rows["count"], strict=True):
-        counts[lang][MARK + w] = int(n)
-    return learn(counts, documents, vocabulary(path))
+    found = marked.groupBy("l").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    documents = {r["l"]: r["count"] for r in sorted(found, key=lambda r: r["l"])}
+    shares = spark.createDataFrame([(l, at, FIT_DOCS / n) for at, (l, n) in enumerate(documents.items())], "l string, at int, share double")
+    # A number from 0 to 1 for each row, so that about FIT_DOCS rows fall below a language's share; no rows meet in one task.
+    drawn = F.pmod(F.xxhash64("id", "t"), F.lit(1 << 32)) / (1 << 32)
+    chosen = marked.join(F.broadcast(shares), "l").where(drawn < F.col("share"))
+    words = chosen.select("at", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w")).groupBy("at", "w").agg(F.count("*").alias("n"))
+    return documents, words.select("at", F.concat(F.lit(MARK), "w").alias("w"), "n")
+
+
+def fit(docs: DataFrame, path: str) -> Model:
+    """Learns from text and lang of documents that aren't held out; rows without lang, text or doc_id teach nothing."""
+    spark = docs.sparkSession
+    documents, words = training_words(docs)
+    langs, pieces = list(documents), Pieces(vocabulary(path))
+    words = materialise(words, "language-words")
+    p = None
+    for r in range(ROUNDS + 1):
+        sums = words.mapInPandas(_summed(spark.sparkContext.broadcast((pieces, p))), "at int, piece int, units bigint").groupBy("at", "piece").agg(F.sum("units").alias("units")).toPandas()
+        counts = np.zeros((len(pieces.hashes), len(langs)))
+        counts[sums["piece"], sums["at"]] = sums["units"]
+        p = probabilities(counts, r == ROUNDS)
+    drop_table(words)
+    seen = np.array(list(documents.values()), float)
+    return Model(langs, pieces, p, seen / seen.sum() if langs else seen)
 
 
 def language_column(spark: SparkSession, model: Model, text: str = "text") -> Column:

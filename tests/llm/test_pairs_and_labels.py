@@ -187,7 +187,34 @@ def test_segmentations_against_enumeration():
 
     for w in ("▁abab", "▁zab", "▁b", "▁" + "ab" * 6):
         want = [np.log(ways(w, k)) for k in range(2)]
-        assert np.allclose(m._score([w])[0], want) and np.allclose(op7_language._long_word(w, vocabulary, m.p), want)
+        assert np.allclose(m._score([w])[0], want) and np.allclose(op7_language._long_word(w, m.pieces, m.p), want)
+        ids, counts = op7_language._expected_of_long(w, m.pieces, m.p[:, 0])
+        want = op7_language.expected_counts({w: 1}, m.pieces, m.p[:, 0])
+        assert np.allclose(np.bincount(ids, counts, len(want))[1:], want[1:] / op7_language.UNIT, atol=1e-4)
+
+
+def test_language_is_learned_alike_by_jobs_and_on_one_machine(spark):
+    """All pieces and words take part, long ones too, and the prior is of all labelled rows."""
+    path = public.path("piece_bpe_32k.model")
+    vocabulary = op7_language.vocabulary(path)
+    assert max(map(len, vocabulary)) > 12
+    rows = [(i, prose(i, 40, WORDS) + " relationship " + "ab" * (30 + i), "en") for i in range(40)] + [(i, prose(i, 40, GERMAN), "de") for i in range(40, 60)]
+    docs = documents(spark, rows)
+    seen, words = op7_language.training_words(docs)
+    assert seen == {"de": sum(not held(i) for i in range(40, 60)), "en": sum(not held(i) for i in range(40))}
+    langs = list(seen)
+    counts = {x: {} for x in langs}
+    for r in words.collect():
+        counts[langs[r["at"]]][r["w"]] = r["n"]
+    one, many = op7_language.learn(counts, seen, vocabulary), op7_language.fit(docs, path)
+    assert one.langs == many.langs and (one.p == many.p).all() and (one.prior == many.prior).all()
+    assert one.p[vocabulary["▁relationship"], 1] > 100 * op7_language.FLOOR
+
+
+def test_language_of_ties_and_of_runs_without_spaces():
+    vocabulary = {p: i + 1 for i, p in enumerate(["▁", "a", "b", "ab"])}
+    m = op7_language.learn({"y": {"▁ab": 3}, "x": {"▁ab": 3}}, {"y": 2, "x": 2}, vocabulary)
+    assert m.predict(["ab ab"]) == [("x", 0.5)] and m.predict(["ab" * 20_000])[0] == ("x", 0.5)
 
 
 def test_decontamination(spark):
