@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op8_url_filters": op8_url_filters.ORACLE,
     "op9_minhash": op9_minhash.ORACLE,
+    "op10_license_scan": op10_license_scan.ORACLE,
 }

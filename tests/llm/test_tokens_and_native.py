@@ -163,8 +163,27 @@ def test_url_filters(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == u[1:], u[0][:60]
     assert op8_url_filters.filter_urls(df.limit(0)).count() == 0
     loose = (op8_url_filters.Rule("*oo*", "block"),)
-    assert loose[0].tokens() == [] and [r["verdict"] for r in op8_url_filters.filter_urls(spark.createDataFrame([(1, "http://foo/"), (1, "http://foo/"), (2, "http://f/")], "page_id long, url string"), loose).orderBy("page_id").collect()] == ["block", "block", "allow"]
-    assert op8_url_filters.Rule("||com/en/", "block").tokens() == ["com", "en"] and op8_url_filters.Rule("||example.com/en/7", "allow").tokens() == ["com", "en", "example"]
+    twice = spark.createDataFrame([(1, "http://foo/"), (1, "http://foo/"), (2, "http://f/")], "page_id long, url string")
+    assert [r["verdict"] for r in op8_url_filters.filter_urls(twice, loose).orderBy("page_id").collect()] == ["block", "block", "allow"]
+    rules = (op8_url_filters.Rule("||com/en/", "block"), op8_url_filters.Rule("||example.com/en/7", "allow"), *loose)
+    table = op8_url_filters.rule_table(op8_url_filters.rules_frame(spark, rules)).collect()
+    assert [sorted(r["token"] for r in table if r["rule_no"] == i) for i in range(3)] == [["com", "en"], ["com", "en", "example"], [""]]
+    same = (op8_url_filters.Rule("||a.b/c", "allow", True), op8_url_filters.Rule("||b/c*d", "block", True), op8_url_filters.Rule("||a.b/?", "block", True))
+    assert op8_url_filters.filter_urls(spark.createDataFrame([(1, "http://a.b/cd")], "page_id long, url string"), same).first()["rule"] == "a.b/c"
+
+
+def test_many_url_rules_from_a_file(spark, tmp_path, monkeypatch):
+    """Tens of thousands of rules, which run only where their rarest token stands, by broadcast and by shuffle."""
+    path = tmp_path / "rules.txt"
+    path.write_text("! remark\n[list]\n\n" + "".join(f"||host{i}.example^\n" for i in range(20_000)) + "@@||host7.example/open^\n/banner*.gif$image\n")
+    rules = op8_url_filters.read_rules(spark, str(path))
+    urls = [f"http://www.host{i}.example/x" for i in range(19_000, 21_000)] + ["http://host7.example/open/a", "http://host7.example/", "http://q.org/a/Banner-1.GIF", "http://host1.examples/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = ["block" if i < 20_000 else "allow" for i in range(19_000, 21_000)] + ["allow", "block", "block", "allow"]
+    for most in (op8_url_filters.MAX_RULES, 10):
+        monkeypatch.setattr(op8_url_filters, "MAX_RULES", most)
+        got = sorted((r["page_id"], r["verdict"], r["n_rules_run"]) for r in op8_url_filters.filter_urls(pages, rules).collect())
+        assert [v for _, v, _ in got] == want and max(n for _, _, n in got) <= 3
 
 
 def test_license_scan(spark):
@@ -189,3 +208,27 @@ def test_license_scan(spark):
     assert by[7]["labels"] == "mit" and by[7]["score"] == 1 and by[7]["base_labels"] == "" and by[8]["labels"] == "mit" and 0.7 <= by[8]["score"] < 1
     assert all(0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) for r in got)
     assert op10_license_scan.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_license_spans_are_verified(spark):
+    """A whole text with edits is found; the same words pulled apart, or in another order, are not."""
+    mit = next(t for t in op10_license_scan.LONGER if t.label == "mit" and len(t.words) > 150)
+    w = mit.words
+    edits = " ".join(x for i, x in enumerate(w) if i % 25 != 7)
+    apart = " ".join(f"{a} {b} foreign" for a, b in zip(w[::2], w[1::2], strict=False))
+    apart4 = " ".join(" ".join(w[i : i + 4]) + " one two three four five six" for i in range(0, len(w), 4))
+    mixed = " ".join(" ".join(w[i : i + 5]) for i in sorted(range(0, len(w), 5), key=lambda i: (i * 7) % 11))
+    twice = mit.text + " other " * 30 + mit.text
+    rows = [(1, mit.text), (2, edits), (3, apart), (4, apart4), (5, mixed), (6, twice), (7, "of the software " * 20_000)]
+    got = {r["doc_id"]: r for r in op10_license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in range(1, 8)] == ["mit", "mit", "", "", "", "mit", ""]
+    assert got[1]["score"] == got[6]["score"] == 1 and 0.8 < got[2]["score"] < 1
+
+
+def test_license_oracle(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = [t.text for t in op10_license_scan.LONGER] + [" ".join(x for i, x in enumerate(t.words) if i % 9) for t in op10_license_scan.LONGER] + [None, "", "cc by", "x cc by cc by mit license"]
+    df = spark.createDataFrame([(i, "intro " * (i % 4) + t if t else t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in op10_license_scan.scan_licenses(df).collect())
+    documents = df.toPandas()  # noqa: F841
+    assert got == sorted(duckdb.sql(op10_license_scan.ORACLE).fetchall(), key=lambda r: r[0])
