@@ -283,6 +283,48 @@ def test_neighbours(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in op4_neighbours.neighbours(few).collect()] == [(0, 1, 1)]
 
 
+def test_neighbours_of_extreme_magnitudes_and_lengths(spark):
+    """Sizes near the limits of double precision change no cosine; vectors of another length are no candidates."""
+    rows = [(0, [1e-200, 0.0]), (1, [2.0**-700, 2.0**-703]), (2, [1.0, 0.5]), (3, [2.0**700, 2.0**697]), (4, [3e-310, 0.0]), (50, [1.0, 0.0, 0.0]), (51, [1.0, 2.0, 0.0]), (100, [2.0]), (150, [])]
+    got = {}
+    for r in op4_neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    near = 8 / np.sqrt(65)
+    assert [i for i, _ in got[0]] == [4, 1, 3, 2] and np.allclose([x for _, x in got[0]], [1, near, near, 2 / np.sqrt(5)])
+    assert [i for i, _ in got[50]] == [51] and set(got) == {0, 50}
+
+
+def test_neighbours_stop_early(spark):
+    """On isotropic vectors, the hardest case, recall is 0.9 at least and most vectors are never verified; groups are cut small."""
+    x = np.random.default_rng(7).normal(size=(6000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = op4_neighbours.neighbours(df, cell_rows=900).collect()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit, share = 0, []
+    for q in range(0, 6000, 50):
+        c = u @ u[q]
+        c[q] = -9
+        mine = [r for r in rows if r["query_id"] == q]
+        assert sorted(r["rank"] for r in mine) == [1, 2, 3, 4, 5]
+        hit += len({r["vec_id"] for r in mine} & set(np.argsort(-c)[:5].tolist()))
+        share.append(mine[0]["verified"] / 6000)
+    assert hit >= 0.9 * 5 * 120 and np.mean(share) < 0.45
+
+
+def test_neighbours_in_parts_of_crowded_cells(spark, monkeypatch):
+    """Cells beyond their rows, and crowds of queries beyond theirs, are searched in parts with the same result."""
+    monkeypatch.setattr(op4_neighbours, "MAX_DEPTH", 1)
+    monkeypatch.setattr(op4_neighbours, "QUERY_ROWS", 7)
+    x = np.random.default_rng(8).normal(size=(500, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in op4_neighbours.neighbours(df, every=5, cell_rows=60).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = sum(len(got[q] & {i for i in np.argsort(-(u @ u[q]))[:6].tolist() if i != q}) for q in range(0, 500, 5))
+    assert len(got) == 100 and hit >= 0.9 * 500
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
