@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, pages_of, text_rows
 
 FRAME = 64
+BITS = 63
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LONG = 4
 DRIFT = 0.15
@@ -142,8 +143,8 @@ def template_tables(spark: SparkSession, templates: tuple[Template, ...]) -> tup
     grams, whole = [], []
     for i, t in enumerate(templates):
         words = t.words
-        if len(words) < 2:
-            raise ValueError(f"template {t.text!r}: 2 words at least")
+        if not 2 <= len(words) <= (BITS if t.base else MAX_WORDS):
+            raise ValueError(f"template {t.text!r}: 2 words at least, {BITS} at most in a base phrase")
         for p in range(len(words) - t.k + 1):
             grams.append({"template": i, "t_pos": p, "k": t.k, "t_gram": " ".join(words[p : p + 2]), "t_rest": " ".join(words[p + 2 : p + t.k])})
         # Diagonals are spread so that those within the drift lie within FRAME of each other, and base ones apart.
@@ -176,9 +177,10 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = BASE + LONG
     voted = (
         places.withColumn("hash", F.xxhash64("gram"))
         .join(table, meets, "left")
-        .groupBy(*key, "template", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
+        .groupBy(*key, "template", (F.col("pos") - F.col("t_pos")).alias("diagonal"), F.expr(f"t_pos div {BITS}").cast("int").alias("part"))
         .agg(
-            F.collect_set("t_pos").alias("votes"),
+            # Template positions as bits, in parts of BITS.
+            F.bit_or(F.expr(f"shiftleft(1L, t_pos % {BITS})")).alias("votes"),
             # The last word starts no bigram and so matches nothing: such rows count the copies of the document.
             F.count(F.when(F.coalesce(F.col("pos") == F.col("n_words") - 1, F.lit(True)), 1)).alias("copies"),
         )
@@ -188,11 +190,11 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = BASE + LONG
     merged = Window.partitionBy(*key, "template").orderBy("place").rangeBetween(-FRAME, FRAME)
     near = (
         voted.withColumn("place", F.col("diagonal").cast("long") * F.col("spread"))
-        .withColumn("near", F.sum(F.size("votes")).over(merged))
+        .withColumn("near", F.sum(F.bit_count("votes")).over(merged))
         .withColumn("top", F.max(F.struct("near", -F.col("diagonal"))).over(merged))
-        .withColumn("around", F.collect_list(F.struct("diagonal", "votes")).over(merged))
+        .withColumn("around", F.collect_list(F.struct("diagonal", "part", "votes")).over(merged))
     )
-    candidate = F.when(F.col("base"), F.size("votes") == F.col("size")).otherwise((F.col("near") >= SEEDS * F.col("size")) & (F.col("top") == F.struct("near", -F.col("diagonal"))))
+    candidate = F.when(F.col("base"), F.bit_count("votes") == F.col("size")).otherwise((F.col("near") >= SEEDS * F.col("size")) & (F.col("top") == F.struct("near", -F.col("diagonal"))))
     score = F.when(~F.coalesce(candidate, F.lit(False)), 0.0).when(F.col("base"), 1.0).otherwise(_likeness())
     spans = near.withColumn("likeness", score).withColumn("found", F.col("likeness") >= COVER)
     is_base = F.col("found") & F.col("base")
@@ -216,8 +218,9 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = BASE + LONG
 def _likeness() -> Column:
     """1 less the edit distance, as a share of the template, of the template and the words of a span's matches in the order of the text."""
     return F.expr(
-        "1 - levenshtein(whole, array_join(transform(array_sort(array_distinct(flatten(flatten(transform(around, d -> transform(d.votes, t -> "
-        "transform(sequence(0, span_k - 1), j -> struct(d.diagonal + t + j AS pos, words[t + j] AS word)))))))), x -> x.word), ' ')) / length(whole)"
+        "1 - levenshtein(whole, array_join(transform(array_sort(array_distinct(flatten(flatten(transform(around, d -> "
+        f"transform(filter(sequence(0, {BITS - 1}), b -> getbit(d.votes, b) = 1), t -> transform(sequence(0, span_k - 1), j -> "
+        f"struct(d.diagonal + d.part * {BITS} + t + j AS pos, words[d.part * {BITS} + t + j] AS word)))))))), x -> x.word), ' ')) / length(whole)"
     )
 
 
