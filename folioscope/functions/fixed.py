@@ -51,6 +51,31 @@ RULES = {
     "META007": ("missing-required-section", "metadata", "error", {}, None, True, True),
     "META008": ("draft-marker", "metadata", "warning", {}, None, False, True),
 }
+#: Rule id: why what it finds harms a reader or a machine that reads.
+WHY = {
+    "STR001": "Sections are nested by their headings' levels; where a level is skipped, what belongs to what is lost.",
+    "STR002": "Without headings a long text can't be cut into parts that stand for themselves.",
+    "STR003": "A section that long holds several subjects, and is cut at places that mean nothing.",
+    "STR004": "What is there only as an image can't be searched or quoted.",
+    "STR005": "Without a describing text an image says nothing to who can't see it.",
+    "STR006": "Without its language code is neither highlighted nor understood for what it is.",
+    "STR007": "Out of its sentence such a link doesn't say where it leads.",
+    "STR008": "A table for layout is read as data, and its reading order is lost.",
+    "STR009": "Without a header row the columns' meaning must be guessed.",
+    "STR010": "Depths of that kind are lost when a list becomes plain text.",
+    "STR011": "Attachments aren't read with the page, so that the page is as good as empty.",
+    "STR012": "What the macro shows is not in the text, only its name is.",
+    "STR013": "Emphasised lines aren't headings to a machine, so the section isn't seen.",
+    "STR014": "A scan without a text layer has no text to read.",
+    "META001": "The title decides whether a document is found.",
+    "META002": "Without a summary one must read it all to know what it is about.",
+    "META003": "Labels narrow a search to the right kind of documents.",
+    "META004": "Without an owner nobody is asked when something is wrong or old.",
+    "META005": "A document not touched for so long may no longer hold.",
+    "META006": "Who follows the link finds nothing.",
+    "META007": "Readers of this kind of document look for these sections.",
+    "META008": "Unfinished text is taken for what holds.",
+}
 PENALTY = {"error": 15, "warning": 6, "info": 2}
 FULL_HITS = 3
 WEIGHTS = {"structure": 0.35, "context": 0.45, "metadata": 0.20}
@@ -141,6 +166,8 @@ BLUEPRINTS = (
 ID_PATTERNS = ((r"REQ-\d+", "requirement"), (r"TC-\d+", "test"), (r"[A-Z]{2,10}-\d+", "ticket"))
 SNIPPET_CHARS = 400
 MAX_PAIRS = 20
+#: An identifier in more documents than this makes no pairs of documents by itself (see trace.top_pairs).
+COMMON_IDS = 300
 #: Rule id: severity and what it says.
 TRACE_RULES = {
     "TRC001": ("error", "an identifier is referred to that no document defines"),

@@ -93,8 +93,11 @@ def evidence_found(needle: Column, text: Column) -> Column:
     size = F.length(n)
     last = F.length(h) - size
     off = F.floor(size * (1 - fixed.FUZZY) + 1e-9).cast("int")
-    near = F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.levenshtein(F.substr(h, i, size), n) <= off)
-    return F.when(size == 0, False).when(F.contains(h, n), True).when((F.length(h) > fixed.FUZZY_CHARS) | (last < 0), False).otherwise(near)
+    # Of a quotation cut in one piece more than there may be edits, one at least is word for word in a similar window.
+    cut = lambda j: F.floor(size * j / (off + 1)).cast("int")
+    likely = F.exists(F.sequence(F.lit(0), off), lambda j: F.contains(h, F.substr(n, cut(j) + 1, cut(j + 1) - cut(j))))
+    near = F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.call_function("levenshtein", F.substr(h, i, size), n, off) >= 0)
+    return F.when(size == 0, False).when(F.contains(h, n), True).when((F.length(h) > fixed.FUZZY_CHARS) | (last < 0), False).when(~likely, False).otherwise(near)
 
 
 def link_target(href: Column, base_url: Column) -> Column:
@@ -111,7 +114,7 @@ def link_target(href: Column, base_url: Column) -> Column:
 def normal_uri(uri: Column) -> Column:
     """Without fragment, query and slashes at the end, but for a string of one character."""
     cut = F.regexp_replace(uri, "(?s)[#?].*$", "")
-    return F.when(F.length(cut) > 1, F.regexp_replace(cut, "/$", "")).otherwise(cut)
+    return F.when(F.length(cut) > 1, F.regexp_replace(cut, "/+$", "")).otherwise(cut)
 
 
 def html_escaped(c: Column) -> Column:

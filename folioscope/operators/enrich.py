@@ -45,18 +45,41 @@ def sections(enriched: DataFrame) -> DataFrame:
     )
 
 
+def section_values(enriched: DataFrame) -> DataFrame:
+    """Adds the values of ``sections`` to each row, and whether it is the section's first: windows on the blocks' partitioning."""
+    w = Window.partitionBy("uri", "section_id")
+    rest = ~is_heading()
+    return (
+        enriched.withColumn("heading", F.max(F.when(is_heading(), F.col("body"))).over(w))
+        .withColumn("heading_id", F.max(F.when(is_heading(), F.col("id"))).over(w))
+        .withColumn("section_first_id", F.min_by(F.when(rest, F.col("id")), F.when(rest, F.col("pos"))).over(w))
+        .withColumn("section_chars", F.coalesce(F.sum(F.when(rest, F.length("body"))).over(w), F.lit(0)).cast("long"))
+        .withColumn("first_of_section", F.col("pos") == F.min("pos").over(w))
+    )
+
+
+def _among(when: Column, value: Column) -> Column:
+    return F.when(when, value)
+
+
+_EARLY = lambda: F.col("section_id") - F.col("first_section") <= 1
+_OWNED = lambda: (F.col("kind") != "code") & F.col("body").rlike(fixed.OWNER_TEXT)
+#: A document's values, as aggregates over those of its rows that are blocks.
+STATS = {
+    "n_blocks": lambda b: F.count(F.when(b, 1)),
+    "text_chars": lambda b: F.coalesce(F.sum(_among(b & (F.col("kind") != "code"), F.length("body"))), F.lit(0)).cast("long"),
+    "has_heading": lambda b: F.max(_among(b, is_heading().cast("int"))),
+    "first_id": lambda b: F.min_by(_among(b, F.col("id")), _among(b, F.col("pos"))),
+    "has_summary": lambda b: F.max(_among(b, (is_heading() & _EARLY() & F.col("body").rlike(fixed.SUMMARY_HEADING)).cast("int"))),
+    "lead_chars": lambda b: F.coalesce(F.sum(_among(b & (F.col("section_id") == 0), F.length("body"))), F.lit(0)),
+    "names_owner": lambda b: F.max(_among(b, _OWNED().cast("int"))),
+    "headings": lambda b: F.collect_set(_among(b & is_heading(), F.regexp_replace(F.lower("text"), r"(?U)\s+", ""))),
+}
+
+
 def document_stats(enriched: DataFrame) -> DataFrame:
     """One row for each document that has blocks."""
-    early = F.col("section_id") - F.col("first_section") <= 1
-    return enriched.groupBy("uri").agg(
-        F.count("*").alias("n_blocks"),
-        F.coalesce(F.sum(F.when(F.col("kind") != "code", F.length("body"))), F.lit(0)).cast("long").alias("text_chars"),
-        F.max(is_heading().cast("int")).alias("has_heading"),
-        F.min_by("id", "pos").alias("first_id"),
-        F.max((is_heading() & early & F.col("body").rlike(fixed.SUMMARY_HEADING)).cast("int")).alias("has_summary"),
-        F.coalesce(F.sum(F.when(F.col("section_id") == 0, F.length("body"))), F.lit(0)).alias("lead_chars"),
-        F.max(((F.col("kind") != "code") & F.col("body").rlike(fixed.OWNER_TEXT)).cast("int")).alias("names_owner"),
-    )
+    return enriched.groupBy("uri").agg(*[v(F.lit(True)).alias(k) for k, v in STATS.items()])
 
 
 def _ordered(value: Column, pos: str = "pos") -> Column:
@@ -128,14 +151,21 @@ def document_hash(documents: DataFrame, blocks: DataFrame, links: DataFrame) ->
     return documents.join(body, "uri", "left").join(lines, "uri", "left").select("uri", F.sha2(parts, 256).alias("document_hash"))
 
 
+def truncated(blocks: DataFrame, limit: int = fixed.MAX_BLOCKS) -> DataFrame:
+    """uri, truncated: whether a document (that has blocks) is cut at the limit."""
+    return blocks.groupBy("uri").agg((F.max("pos") >= limit).alias("truncated"))
+
+
 def truncate(blocks: DataFrame, links: DataFrame, limit: int = fixed.MAX_BLOCKS) -> tuple[DataFrame, DataFrame]:
     """The first blocks of each document, and the links that lead from them."""
     kept = blocks.where(F.col("pos") < limit)
     return kept, links.join(kept.select("uri", F.col("id").alias("block_id")).distinct(), ["uri", "block_id"], "left_semi")
 
 
-def quotes(blocks: DataFrame) -> DataFrame:
-    """uri, pos, quote_exact, quote_prefix, quote_suffix: a block's text as it may be found again, with what stands around it."""
+def with_quotes(blocks: DataFrame, *page: str) -> DataFrame:
+    """Blocks with quote_exact, quote_prefix, quote_suffix: a block's text as it may be found again, with what stands around it.
+
+    ``page`` names columns that tell pages of one uri apart."""
     from ..functions.text import squeezed
 
     k = F.col("kind")
@@ -143,13 +173,19 @@ def quotes(blocks: DataFrame) -> DataFrame:
     text = squeezed(F.coalesce(raw, F.lit("")))
     named = blocks.withColumn("q", F.when(text == "", k).otherwise(text))
     none = lambda c: F.when(c != "", c)
+    around = Window.partitionBy("uri", *page).orderBy("pos")
     return named.select(
-        "uri", "pos", F.substring("q", 1, fixed.QUOTE_CHARS).alias("quote_exact"),
-        none(F.right(F.lag("q").over(by_doc()), F.lit(fixed.CONTEXT_CHARS))).alias("quote_prefix"),
-        none(F.substring(F.lead("q").over(by_doc()), 1, fixed.CONTEXT_CHARS)).alias("quote_suffix"),
+        *blocks.columns, F.substring("q", 1, fixed.QUOTE_CHARS).alias("quote_exact"),
+        none(F.right(F.lag("q").over(around), F.lit(fixed.CONTEXT_CHARS))).alias("quote_prefix"),
+        none(F.substring(F.lead("q").over(around), 1, fixed.CONTEXT_CHARS)).alias("quote_suffix"),
     )
 
 
+def quotes(blocks: DataFrame) -> DataFrame:
+    """uri, pos, quote_exact, quote_prefix, quote_suffix."""
+    return with_quotes(blocks).select("uri", "pos", "quote_exact", "quote_prefix", "quote_suffix")
+
+
 def locate(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     """uri, quote_exact, id: the shortest block that holds the quotation's beginning (the first of equal ones)."""
     from ..functions.text import squeezed

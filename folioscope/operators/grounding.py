@@ -15,6 +15,7 @@ from ..functions import fixed
 from ..functions.text import block_text, evidence_found
 from .enrich import chunks, outline
 from .ruleset import Ruleset
+from .score import roll_up
 
 ANSWER = "struct<findings:array<string>>"
 CANDIDATE = "struct<ruleId:string,blockId:string,evidence:string,why:string,suggestion:struct<before:string,after:string>,confidence:double>"
@@ -27,28 +28,59 @@ def unfenced(c: Column) -> Column:
     return F.when(inner != "", inner).otherwise(c)
 
 
+def answer_text(message: Column) -> Column:
+    """Text of an answer's content, given as JSON: a string, or a list of parts whose texts are joined; else empty."""
+    whole = F.from_json(F.concat(F.lit('{"c":'), message, F.lit("}")), "struct<c:string>")["c"]
+    parts = F.from_json(message, "array<struct<text:string>>")
+    joined = F.array_join(F.transform(parts, lambda x: F.coalesce(x["text"], F.lit(""))), "")
+    start = F.left(F.ltrim(message), F.lit(1))
+    return F.when(start == "[", F.coalesce(joined, F.lit(""))).when(start == '"', F.coalesce(whole, F.lit(""))).otherwise("")
+
+
+def standard_schema(node):
+    """A response schema in which ``nullable: true`` beside a type becomes a type or null."""
+    if isinstance(node, list):
+        return [standard_schema(x) for x in node]
+    if not isinstance(node, dict):
+        return node
+    out = {k: standard_schema(v) for k, v in node.items() if k != "nullable"}
+    if node.get("nullable") is True and isinstance(out.get("type"), str):
+        out["type"] = [out["type"], "null"]
+    return out
+
+
 def active_rules(ruleset: Ruleset) -> dict[str, tuple[str, ...] | None]:
     """Rules a model is asked about, with the document types they are limited to."""
     return {r: ruleset.rules[r].applies_to for r, x in fixed.RULES.items() if x[5] and ruleset.on(r)}
 
 
-def chunk_prompts(documents: DataFrame, blocks: DataFrame, ruleset: Ruleset | None = None, limit: int = fixed.CHUNK_CHARS) -> DataFrame:
-    """uri, chunk_index, system, user: one prompt for each chunk, none for documents too large for a model."""
+def chunk_prompts(documents: DataFrame, blocks: DataFrame, ruleset: Ruleset | None = None, limit: int = fixed.CHUNK_CHARS, summaries: DataFrame | None = None) -> DataFrame:
+    """uri, chunk_index, system, user: one prompt for each chunk, none for documents too large for a model.
+
+    ``summaries`` (uri, summary) are told to the model where there are some."""
     rules = active_rules(ruleset or Ruleset())
     asked = F.filter(F.array(*[F.when(F.lit(a is None) | F.col("doc_type").isin(*(a or ("",))), F.lit(f"- {r}: {fixed.RULES[r][0]}")) for r, a in rules.items()]), lambda x: x.isNotNull())
     parts = chunks(blocks, limit)
     sizes = parts.groupBy("uri").agg(F.sum(F.length("markdown")).alias("chars")).where(F.col("chars") <= fixed.MAX_MODEL_CHARS).select("uri")
     rows = parts.join(sizes, "uri", "left_semi").join(documents.select("uri", "title", "doc_type"), "uri").join(outline(blocks), "uri", "left")
+    rows = rows.withColumn("summary", F.lit(None).cast("string")) if summaries is None else rows.join(summaries.select("uri", "summary"), "uri", "left")
     system = F.concat(F.lit("Judge the document by these rules; quote evidence word for word; answer in JSON.\n"), F.array_join(asked, "\n"))
-    user = F.concat_ws("\n\n", F.concat(F.lit("Title: "), "title"), F.concat(F.lit("Type: "), "doc_type"), F.concat(F.lit("Outline:\n"), "outline"), "markdown")
-    return rows.select("uri", "chunk_index", system.alias("system"), user.alias("user"))
+    told = [F.concat(F.lit("Title: "), "title"), F.concat(F.lit("Type: "), "doc_type"), F.concat(F.lit("Summary: "), "summary"), F.concat(F.lit("Outline:\n"), "outline")]
+    return rows.select("uri", "chunk_index", system.alias("system"), F.concat_ws("\n\n", *told, "markdown").alias("user"))
 
 
 def summary_prompts(blocks: DataFrame, limit: int = fixed.CHUNK_CHARS) -> DataFrame:
-    """uri, user: for documents of more than one chunk, the beginning to be summarised."""
+    """uri, system, user: for documents of more than one chunk, the beginning to be summarised."""
     parts = chunks(blocks, limit)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "markdown"))), lambda x: x["markdown"]), "\n\n")
-    return parts.groupBy("uri").agg(F.count("*").alias("n"), text.alias("t")).where("n > 1").select("uri", F.left("t", F.lit(fixed.SUMMARY_CHARS)).alias("user"))
+    long_ = parts.groupBy("uri").agg(F.count("*").alias("n"), text.alias("t")).where("n > 1")
+    return long_.select("uri", F.lit("Say in three sentences what the document is about; answer in JSON with the key summary.").alias("system"), F.left("t", F.lit(fixed.SUMMARY_CHARS)).alias("user"))
+
+
+def summaries(answers: DataFrame) -> DataFrame:
+    """uri, summary of the answers that hold one; a call that failed leaves none, and the document is judged without."""
+    said = F.trim(F.from_json(unfenced(F.col("answer")), "struct<summary:string>")["summary"])
+    return answers.select("uri", said.alias("summary")).where("summary is not null and summary != ''")
 
 
 def doc_type_prompts(documents: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -70,8 +102,10 @@ def replay(prompts: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame
     return prompts.join(answers.select(*keys, "answer"), keys, "left").withColumn("ok", F.col("answer").isNotNull())
 
 
-def ask(prompts: DataFrame, model: Callable[[str, str], str], tasks: int = 4) -> DataFrame:
-    """Prompts with the answers of a function of (system, user), called in ``tasks`` tasks at a time; its errors become ok = false."""
+def ask(prompts: DataFrame, model: Callable[[str, str], str], tasks: int | None = None) -> DataFrame:
+    """Prompts with the answers of a function of (system, user); its errors become ok = false.
+
+    ``tasks`` bounds the calls under way at a time, as a service's quota asks; without it the prompts' own partitions do."""
     keep = [f"{n} {t}" for n, t in prompts.dtypes]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,14 +119,15 @@ def ask(prompts: DataFrame, model: Callable[[str, str], str], tasks: int = 4) ->
             got = [one(s, u) for s, u in zip(batch["system"], batch["user"], strict=True)]
             yield batch.assign(answer=[a for a, _ in got], error=[e for _, e in got], ok=[e is None for _, e in got])
 
-    return prompts.repartition(tasks).mapInPandas(run, ", ".join(keep) + ", answer string, error string, ok boolean")
+    return (prompts.repartition(tasks) if tasks else prompts).mapInPandas(run, ", ".join(keep) + ", answer string, error string, ok boolean")
 
 
 def candidates(answers: DataFrame) -> DataFrame:
-    """uri, item (JSON text, null if the answer holds no list of findings), seq of each finding that a model reports."""
-    items = F.from_json(unfenced(F.col("answer")), ANSWER)["findings"]
+    """uri, item (JSON text, null if the answer holds no list of findings), seq of each finding that a model reports; none of an empty list."""
+    listed = F.from_json(unfenced(F.col("answer")), ANSWER)["findings"]
+    items = F.coalesce(listed, F.array(F.lit(None).cast("string")))
     order = ["chunk_index"] if "chunk_index" in answers.columns else []
-    rows = answers.select("uri", *order, F.posexplode_outer(items).alias("n", "item"))
+    rows = answers.select("uri", *order, F.posexplode(items).alias("n", "item"))
     seq = F.row_number().over(Window.partitionBy("uri").orderBy(*order, F.coalesce("n", F.lit(0)), "item"))
     return rows.select("uri", "item", seq.alias("seq"))
 
@@ -136,11 +171,37 @@ def accepted(verified: DataFrame, ruleset: Ruleset | None = None) -> DataFrame:
     return best.select(
         "uri", F.concat_ws(":", "rule_id", "block_id", F.lit("llm")).alias("id"), "rule_id", pick(lambda r: fixed.RULES[r][1]).alias("axis"),
         pick(lambda r: ruleset.rules[r].severity).alias("severity"), "block_id", pick(lambda r: fixed.RULES[r][0]).alias("message"), "evidence",
-        F.col("suggestion.before").alias("before"), F.col("suggestion.after").alias("after"), F.lit("llm").alias("source"), "confidence",
+        F.col("suggestion.before").alias("before"), F.col("suggestion.after").alias("after"), "why", F.lit("llm").alias("source"), "confidence",
         F.concat(F.lit("rules#"), F.lower("rule_id")).alias("docs_url"),
     )
 
 
+def analyze(documents: DataFrame, blocks: DataFrame, model: Callable[[str, str], str], keep: Callable[[DataFrame, str], DataFrame], ruleset: Ruleset | None = None, limit: int = fixed.CHUNK_CHARS) -> tuple[DataFrame, DataFrame]:
+    """A model's findings on whole documents, and one row a document: uri, status (ok, partial or failed), chunks, rejected, calls.
+
+    Summaries of documents of several chunks are asked for first and told with each chunk; a failed one only costs itself. Calls
+    count the summaries, as a quota does. ``keep`` writes a table of answers under a name and reads it back, so that no prompt is asked twice."""
+    told = keep(ask(summary_prompts(blocks, limit), model), "summaries")
+    answers = keep(ask(chunk_prompts(documents, blocks, ruleset, limit, summaries(told)), model), "answers")
+    tested = verify(candidates(answers.where("ok")), documents, blocks, ruleset)
+    calls = answers.groupBy("uri").agg(roll_up().alias("status"), F.count("*").alias("chunks"))
+    asked = told.groupBy("uri").agg(F.count("*").alias("n_told"))
+    rejected = tested.groupBy("uri").agg(F.count("reject_reason").alias("rejected"))
+    state = calls.join(asked, "uri", "left").join(rejected, "uri", "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return accepted(tested, ruleset), state.select("uri", "status", "chunks", none("rejected").alias("rejected"), (F.col("chunks") + none("n_told")).alias("calls"))
+
+
+def pair_prompts(pairs: DataFrame, snippets: DataFrame, documents: DataFrame) -> DataFrame:
+    """uri_a, uri_b, system, user: for each pair of documents that share identifiers, what each says of them."""
+    titles = documents.select("uri", "title").distinct()
+    side = lambda s: titles.select(F.col("uri").alias(f"uri_{s}"), F.col("title").alias(f"title_{s}"))
+    rows = pairs.select("uri_a", "uri_b", "shared_ids").join(snippets, ["uri_a", "uri_b"]).join(side("a"), "uri_a").join(side("b"), "uri_b")
+    said = lambda s: F.concat(F.lit(f"[{s.upper()}] "), f"title_{s}", F.lit("\n"), F.array_join(F.transform(f"snippets_{s}", lambda x: F.concat(F.lit("- "), x)), "\n"))
+    system = "Two documents speak of the same identifiers. Report only where their numbers, conditions or duties contradict each other; quote both word for word; answer in JSON."
+    return rows.select("uri_a", "uri_b", F.lit(system).alias("system"), F.concat_ws("\n\n", F.concat(F.lit("Identifiers: "), F.array_join("shared_ids", ", ")), said("a"), said("b")).alias("user"))
+
+
 def contradictions(answers: DataFrame, snippets: DataFrame, pairs: DataFrame, least: float = fixed.MIN_CONFIDENCE) -> DataFrame:
     """TRC006 findings: what a model says of a pair, if the identifier is shared, it is sure, and each quotation is in its side's snippets."""
     items = F.from_json(unfenced(F.col("answer")), f"struct<contradictions:array<{PAIR_CANDIDATE}>>")["contradictions"]
@@ -155,6 +216,6 @@ def contradictions(answers: DataFrame, snippets: DataFrame, pairs: DataFrame, le
     out = rows.where(F.coalesce(good, F.lit(False))).withColumn("id", key)
     n = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c.confidence"), "n"))
     return out.withColumn("k", n).where("k = 1").select(
-        "id", F.lit("TRC006").alias("rule_id"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), F.array("uri_a", "uri_b").alias("documents"),
+        "id", F.lit("TRC006").alias("rule_id"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), F.col("c.why").alias("why"), F.array("uri_a", "uri_b").alias("documents"),
         F.col("c.subjectId").alias("subject_id"), F.concat_ws(" / ", "c.quoteA", "c.quoteB").alias("evidence"), F.lit("llm").alias("source"), F.col("c.confidence").alias("confidence"),
     )

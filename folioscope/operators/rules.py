@@ -1,8 +1,10 @@
 """The 22 rules that queries can judge.
 
-Rules that look at one block (and its neighbours) are nullable structs of one projection, so that
-blocks are read once for all of them; rules on sections, documents and links are aggregates and
-joins by uri, whose partitioning the blocks already have. Findings are the union."""
+Documents, blocks and links are one stream of rows, shuffled once by uri. Rules on single blocks, on
+sections and on links are nullable structs of a projection over it, beside windows on that partitioning;
+one aggregate by uri then has a document's values and all that has fired, adds the rules on documents, and
+is exploded into findings. A document of very many blocks is one window partition and one group; it is cut
+before (``enrich.truncate``) where its size is not bounded."""
 
 from __future__ import annotations
 
@@ -13,11 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import blank, cells, clip, trimmed
-from .enrich import is_heading, document_stats, enrich, sections
+from .enrich import STATS, enrich, is_heading, section_values
 from .ruleset import Ruleset
 
 RAW = "uri string, rule_id string, block_id string, seq long, message string, evidence string, before string, after string"
-FINDINGS = ("uri", "id", "rule_id", "axis", "severity", "block_id", "message", "evidence", "before", "after", "source", "confidence", "docs_url")
+FINDINGS = ("uri", "id", "rule_id", "axis", "severity", "block_id", "message", "why", "evidence", "before", "after", "source", "confidence", "docs_url")
 DOCS_URL = "rules#"
 
 
@@ -119,55 +121,73 @@ def link_rules() -> dict[str, Column]:
     }
 
 
-def _fire(df: DataFrame, found: dict[str, Column], ruleset: Ruleset) -> DataFrame:
-    """All findings of some rules in one pass over ``df``, which has uri and doc_type."""
-    on = [
-        F.when(F.col("doc_type").isin(*c.applies_to), col) if (c := ruleset.rules[rule]).applies_to is not None else col
-        for rule, col in found.items()
-        if ruleset.on(rule)
-    ]
-    if not on:
-        return df.sparkSession.createDataFrame([], RAW)
-    fired = df.select("uri", F.explode(F.filter(F.array(*on), lambda x: x.isNotNull())).alias("f"))
-    return fired.select("uri", "f.*")
+def section_rules(r: Ruleset) -> dict[str, Column]:
+    """A section is judged at its first row."""
+    long_ = F.col("first_of_section") & (F.col("section_chars") > r.number("STR003", "maxSectionChars"))
+    return {"STR003": _raw("STR003", long_, F.coalesce("heading_id", "section_first_id"), F.col("section_id"), "a section is too long", F.col("heading"))}
+
+
+def _fired(found: dict[str, Column], ruleset: Ruleset, kinds: Column) -> Column | None:
+    """Array of what some rules report on a row of the right kind; None if all are switched off."""
+    on = [F.when(kinds, col) for rule, col in found.items() if ruleset.on(rule)]
+    return F.filter(F.array(*on), lambda x: x.isNotNull()) if on else None
 
 
 def raw_findings(documents: DataFrame, blocks: DataFrame, links: DataFrame, ruleset: Ruleset | None = None, now: datetime | None = None) -> DataFrame:
-    """uri, rule_id, block_id, seq (order within rule and document), message, evidence, before, after."""
+    """uri, rule_id, block_id, seq (order within rule and document), message, evidence, before, after.
+
+    Of documents that repeat a uri one counts, the last by all columns that rules read; blocks and links of no document count for nothing."""
     ruleset, now = ruleset or Ruleset(), now or datetime.now().astimezone()
-    documents = documents.dropDuplicates(["uri"])
-    types = documents.select("uri", "doc_type")
-    rich = enrich(blocks)
-    out = blocks.sparkSession.createDataFrame([], RAW)
-
-    def add(df: DataFrame, found: dict[str, Column]) -> None:
-        nonlocal out
-        if any(ruleset.on(r) for r in found):
-            out = out.unionByName(_fire(df, found, ruleset))
-
-    long_ = _raw("STR003", F.col("chars") > ruleset.number("STR003", "maxSectionChars"), F.coalesce("heading_id", "first_id"), F.col("section_id"), "a section is too long", F.col("heading"))
-    heads = blocks.where(is_heading()).groupBy("uri").agg(F.collect_set(F.regexp_replace(F.lower("text"), r"(?U)\s+", "")).alias("headings"))
-    attached = (
-        links.where("target = 'attachment'").groupBy("uri")
-        .agg(F.min_by("block_id", "link_pos").alias("attachment_block"), F.transform(F.array_sort(F.collect_list(F.struct("link_pos", "text"))), lambda x: x["text"]).alias("attachments"))
-    )
-    whole = documents.join(document_stats(rich), "uri", "left").join(heads, "uri", "left").join(attached, "uri", "left")
-    add(rich.join(types, "uri"), block_rules(ruleset))
-    add(sections(rich).join(types, "uri"), {"STR003": long_})
-    add(whole, document_rules(ruleset, now))
-    add(links.join(types, "uri"), link_rules())
-    return out
+    is_block = F.col("part") == "block"
+    at_blocks = [x for x in (_fired(block_rules(ruleset), ruleset, is_block), _fired(section_rules(ruleset), ruleset, is_block)) if x is not None]
+    at_links = [x for x in (_fired(link_rules(), ruleset, F.col("part") == "link"),) if x is not None]
+    at_documents = _fired(document_rules(ruleset, now), ruleset, F.lit(True))
+
+    fields = ("doc_type", "title", "source_kind", "modified_at", "labels", "owner")
+    own = documents.select("uri", F.struct(*fields).alias("doc"), F.lit("document").alias("part"))
+    rows = own
+    if at_blocks or at_documents is not None:
+        rows = rows.unionByName(section_values(enrich(blocks)).withColumn("part", F.lit("block")), allowMissingColumns=True)
+    if at_links or at_documents is not None:
+        rows = rows.unionByName(links.select("uri", "link_pos", "block_id", "text", "href", "target", "status", F.lit("link").alias("part")), allowMissingColumns=True)
+    fired = [*at_blocks, *at_links]
+    none = F.array().cast("array<struct<rule_id:string,block_id:string,seq:bigint,message:string,evidence:string,before:string,after:string>>")
+    rows = rows.withColumn("fired", F.concat(none, *fired))
+
+    attached = F.when(F.col("target") == "attachment", F.struct("link_pos", "block_id", "text")) if "target" in rows.columns else F.lit(None).cast("struct<link_pos:int,block_id:string,text:string>")
+    stats = {k: v for k, v in STATS.items() if at_documents is not None}
+    values = rows.groupBy("uri").agg(
+        F.max("doc").alias("doc"),
+        F.flatten(F.collect_list(F.when(F.size("fired") > 0, F.col("fired")))).alias("fired"),
+        *([F.array_sort(F.collect_list(attached)).alias("attached")] if at_documents is not None else []),
+        *[v(is_block).alias(k) for k, v in stats.items()],
+    )
+    whole = values.where("doc is not null").select("uri", "doc.*", "fired", *stats, *(["attached"] if at_documents is not None else []))
+    everything = F.col("fired")
+    if at_documents is not None:
+        whole = whole.withColumn("attachment_block", F.get("attached", F.lit(0))["block_id"]).withColumn("attachments", F.when(F.size("attached") > 0, F.transform("attached", lambda x: x["text"])))
+        everything = F.concat("fired", at_documents)
+    out = whole.select("uri", "doc_type", F.explode(everything).alias("f")).select("uri", "doc_type", "f.*")
+    for rule, c in ruleset.rules.items():
+        if c.applies_to is not None and ruleset.on(rule):
+            out = out.where((F.col("rule_id") != rule) | F.coalesce(F.col("doc_type").isin(*c.applies_to), F.lit(False)))
+    return out.drop("doc_type")
+
+
+def _of_rule(of) -> Column:
+    """A value of the finding's rule."""
+    return F.create_map(*[F.lit(x) for r in fixed.RULES for x in (r, of(r))])[F.col("rule_id")]
 
 
 def findings(documents: DataFrame, blocks: DataFrame, links: DataFrame, ruleset: Ruleset | None = None, now: datetime | None = None) -> DataFrame:
-    """Findings with id (rule, block or dash, number within rule and document), axis, severity and anchor's block."""
+    """Findings with id (rule, block or dash, number within rule and document), axis, severity, why and anchor's block."""
     ruleset = ruleset or Ruleset()
     raw = raw_findings(documents, blocks, links, ruleset, now)
     number = F.row_number().over(Window.partitionBy("uri", "rule_id").orderBy("seq", "block_id", "evidence")) - 1
-    pick = lambda of: F.create_map(*[F.lit(x) for r in fixed.RULES for x in (r, of(r))])[F.col("rule_id")]
     return raw.select(
         "uri", F.concat_ws(":", "rule_id", F.coalesce("block_id", F.lit("-")), number.cast("string")).alias("id"), "rule_id",
-        pick(lambda r: fixed.RULES[r][1]).alias("axis"), pick(lambda r: ruleset.rules[r].severity).alias("severity"), "block_id", "message", "evidence",
+        _of_rule(lambda r: fixed.RULES[r][1]).alias("axis"), _of_rule(lambda r: ruleset.rules[r].severity).alias("severity"), "block_id", "message",
+        _of_rule(lambda r: fixed.WHY.get(r, "")).alias("why"), "evidence",
         "before", "after", F.lit("rule").alias("source"), F.lit(1.0).alias("confidence"), F.concat(F.lit(DOCS_URL), F.lower("rule_id")).alias("docs_url"),
     )
 
@@ -178,10 +198,19 @@ def with_anchors(found: DataFrame, blocks: DataFrame) -> DataFrame:
     return found.join(where, ["uri", "block_id"], "left")
 
 
+def _report_order() -> list[Column]:
+    place = F.when(F.col("block_id").isNull(), -1).otherwise(F.coalesce("pos", F.lit(2**31 - 1)))
+    return [place, severity_rank(), F.col("rule_id"), F.col("id")]
+
+
 def in_report_order(found: DataFrame) -> DataFrame:
     """By place in the document (the document as a whole first, unknown blocks last), severity, rule."""
-    place = F.when(F.col("block_id").isNull(), -1).otherwise(F.coalesce("pos", F.lit(2**31 - 1)))
-    return found.orderBy("uri", place, severity_rank(), "rule_id", "id")
+    return found.orderBy("uri", *_report_order())
+
+
+def report_places(found: DataFrame) -> DataFrame:
+    """Findings with anchors and nth, their place (from 1) in the order of their document's report: no total sort."""
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("uri").orderBy(*_report_order())))
 
 
 def severity_rank(c: str = "severity") -> Column:
@@ -189,4 +218,8 @@ def severity_rank(c: str = "severity") -> Column:
 
 
 def by_severity_then_axis(found: DataFrame) -> DataFrame:
-    return found.orderBy("uri", severity_rank(), F.array_position(F.array(*[F.lit(a) for a in fixed.AXES]), F.col("axis")), "id")
+    return found.orderBy("uri", *severity_then_axis())
+
+
+def severity_then_axis() -> list[Column]:
+    return [severity_rank(), F.array_position(F.array(*[F.lit(a) for a in fixed.AXES]), F.col("axis")), F.col("id")]

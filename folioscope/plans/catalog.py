@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import model
 from ..functions import fixed, text
 from ..operators import enrich, grounding, rules, score, stores, trace
 from ..operators.ruleset import Ruleset, resolve, rule_table
@@ -253,9 +254,13 @@ def _found(s, d, ruleset: Ruleset | None = None) -> DataFrame:
 
 
 query("findings_union", f"WITH {FOUND} SELECT uri, rule_id, axis, severity, block_id, evidence FROM found")(lambda s, d: _found(s, d).select("uri", "rule_id", "axis", "severity", "block_id", "evidence"))
-query("finding_ids", f"WITH {FOUND} SELECT rule_id, count(*) AS n, count(DISTINCT uri) AS n_docs, count(*) AS n_ids FROM found GROUP BY rule_id")(
-    lambda s, d: _found(s, d).groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("uri").alias("n_docs"), F.count_distinct("uri", "id").alias("n_ids"))
-)
+_BLOCK_SEQ = "CASE WHEN rule_id IN ('STR007', 'META006') THEN l.link_pos WHEN rule_id IN ('STR011', 'META002') OR f.block_id IS NULL THEN -1 ELSE b.pos END"
+query(
+    "finding_ids",
+    f"""WITH {FOUND}, seq AS (SELECT f.uri, f.rule_id, f.block_id, f.evidence, {_BLOCK_SEQ} AS seq FROM found f LEFT JOIN blocks_li b ON b.uri = f.uri AND b.id = f.block_id
+    LEFT JOIN links_li l ON l.uri = f.uri AND l.block_id = f.block_id AND f.rule_id IN ('STR007', 'META006'))
+  SELECT uri, rule_id || ':' || coalesce(block_id, '-') || ':' || (row_number() OVER (PARTITION BY uri, rule_id ORDER BY seq, block_id, evidence) - 1) AS id, rule_id FROM seq""",
+)(lambda s, d: _found(s, d).select("uri", "id", "rule_id"))
 query("score_by_axis", f"WITH {SCORED} SELECT uri, structure, context, metadata FROM axes")(lambda s, d: score.scores(views.documents(s, d), _found(s, d)).select("uri", *fixed.AXES))
 query(
     "score_total_grade",
@@ -269,20 +274,35 @@ query("count_by_severity", f"WITH {FOUND} SELECT uri, count(*) FILTER (severity
 
 @query(
     "finding_order",
-    f"""WITH {FOUND} SELECT CAST(row_number() OVER (ORDER BY uri, place, sev, rule_id, coalesce(evidence, '')) AS INT) AS nth, uri, rule_id FROM (
+    f"""WITH {FOUND} SELECT CAST(row_number() OVER (PARTITION BY uri ORDER BY place, sev, rule_id) AS INT) AS nth, uri, rule_id FROM (
     SELECT f.uri, f.rule_id, f.evidence, CASE WHEN f.block_id IS NULL THEN -1 ELSE coalesce(b.pos, 2147483647) END AS place, CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END AS sev
-    FROM found f LEFT JOIN blocks_li b ON b.uri = f.uri AND b.id = f.block_id) ORDER BY nth LIMIT 100""",
+    FROM found f LEFT JOIN blocks_li b ON b.uri = f.uri AND b.id = f.block_id)""",
 )
 def finding_order(s, d):
-    """The first 100 findings in report order."""
-    blocks = views.blocks(s, d)
-    where = blocks.select("uri", F.col("id").alias("block_id"), "pos")
-    place = F.when(F.col("block_id").isNull(), -1).otherwise(F.coalesce("pos", F.lit(2**31 - 1)))
-    top = _found(s, d).join(where, ["uri", "block_id"], "left").withColumn("place", place).withColumn("sev", rules.severity_rank()).withColumn("e", F.coalesce("evidence", F.lit("")))
+    """All findings with their place in the order of their document's report."""
+    return rules.report_places(rules.with_anchors(_found(s, d), _anchored(s, d))).select("nth", "uri", "rule_id")
+
+
+def _anchored(s, d) -> DataFrame:
+    return model.complete(views.blocks(s, d), model.BLOCKS)
+
+
+@query(
+    "finding_order_by_severity",
+    f"""WITH {FOUND} SELECT CAST(row_number() OVER (PARTITION BY uri ORDER BY CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, CASE axis WHEN 'structure' THEN 1 WHEN 'context' THEN 2 ELSE 3 END) AS INT) AS nth, uri, severity, axis FROM found""",
+)
+def finding_order_by_severity(s, d):
+    """All findings with their place in a list by severity and axis."""
     from pyspark.sql import Window
 
-    first = top.orderBy("uri", "place", "sev", "rule_id", "e").limit(100)
-    return first.select(F.row_number().over(Window.orderBy("uri", "place", "sev", "rule_id", "e")).alias("nth"), "uri", "rule_id")
+    nth = F.row_number().over(Window.partitionBy("uri").orderBy(*rules.severity_then_axis()))
+    return _found(s, d).select(nth.alias("nth"), "uri", "severity", "axis")
+
+
+_WHY_CASE = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{w.replace(chr(39), chr(39) * 2)}'" for r, w in fixed.WHY.items()) + " END"
+query("finding_reasons", f"WITH {FOUND} SELECT uri, rule_id, {_WHY_CASE} AS why, CASE WHEN f.block_id IS NULL THEN NULL ELSE b.pos END AS pos FROM (SELECT * FROM found) f LEFT JOIN blocks_li b USING (uri) WHERE b.id = f.block_id UNION ALL SELECT uri, rule_id, {_WHY_CASE}, NULL FROM found WHERE block_id IS NULL")(
+    lambda s, d: rules.with_anchors(_found(s, d), _anchored(s, d)).select("uri", "rule_id", "why", "pos")
+)
 
 
 @query(
@@ -322,8 +342,12 @@ query(
 )(lambda s, d: views.links(s, d).select("uri", "link_pos", text.link_target(F.col("href"), F.lit("https://wiki.example")).alias("target")))
 query(
     "normalize_uri",
-    "SELECT page_id, CASE WHEN length(u) > 1 THEN regexp_replace(u, '/$', '') ELSE u END AS uri FROM (SELECT page_id, split_part(split_part(url, '#', 1), '?', 1) AS u FROM pages)",
-)(lambda s, d: table(s, d, "pages").select("page_id", text.normal_uri(F.col("url")).alias("uri")))
+    "SELECT page_id, CASE WHEN length(u) > 1 THEN regexp_replace(u, '/+$', '') ELSE u END AS uri FROM (SELECT page_id, split_part(split_part(url || repeat('/', CAST(page_id % 4 AS INT)) || CASE WHEN page_id % 5 = 0 THEN '?q=/#f/' ELSE '' END, '#', 1), '?', 1) AS u FROM pages)",
+)(
+    lambda s, d: table(s, d, "pages")
+    .withColumn("url", F.concat("url", F.repeat(F.lit("/"), (F.col("page_id") % 4).cast("int")), F.when(F.col("page_id") % 5 == 0, "?q=/#f/").otherwise("")))
+    .select("page_id", text.normal_uri(F.col("url")).alias("uri"))
+)
 
 
 _LABEL_CASE = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.LABEL_DOC_TYPES.items()) + " END"
@@ -405,7 +429,7 @@ TRACE_SQL = {
     "trc003": f"""WITH {MENTIONS} SELECT 'TRC003:' || d.id AS id, 'warning' AS severity, string_agg(d.uri, ',' ORDER BY d.uri) AS documents, d.id AS subject_id FROM defined d WHERE d.id IN (SELECT id FROM mentions WHERE kind = 'requirement')
       AND d.id NOT IN (SELECT r.id FROM referenced r WHERE r.uri IN (SELECT uri FROM mentions WHERE kind = 'test')) GROUP BY d.id""",
     "trc004": f"WITH {MENTIONS} SELECT 'TRC004:' || id AS id, 'error' AS severity, string_agg(uri, ',' ORDER BY uri) AS documents, id AS subject_id FROM defined GROUP BY defined.id HAVING count(*) >= 2",
-    "trc005": f"""SELECT 'TRC005:' || uri || ':' || target AS id, 'info' AS severity, uri AS documents, {_NONE} AS subject_id FROM (SELECT DISTINCT uri, CASE WHEN length(u) > 1 THEN regexp_replace(u, '/$', '') ELSE u END AS target FROM (SELECT uri, split_part(split_part(href, '#', 1), '?', 1) AS u FROM links_li WHERE target = 'internal'))
+    "trc005": f"""SELECT 'TRC005:' || uri || ':' || target AS id, 'info' AS severity, uri AS documents, {_NONE} AS subject_id FROM (SELECT DISTINCT uri, CASE WHEN length(u) > 1 THEN regexp_replace(u, '/+$', '') ELSE u END AS target FROM (SELECT uri, split_part(split_part(href, '#', 1), '?', 1) AS u FROM links_li WHERE target = 'internal'))
       WHERE target NOT IN (SELECT uri FROM docs_ord)""",
 }
 query("trc001", TRACE_SQL["trc001"])(lambda s, d: _t(trace.trc001(_mentions(s, d))))
@@ -419,13 +443,13 @@ query("trace_findings", " UNION ALL ".join(f"SELECT * FROM ({views.with_views(q)
 query("trace_summary", f"WITH {MENTIONS} SELECT (SELECT count(DISTINCT uri) FROM docs_ord) AS document_count, (SELECT count(DISTINCT id) FROM mentions) AS id_count")(
     lambda s, d: trace.summary(views.documents(s, d), m := _mentions(s, d), trace.trc004(m)).select("document_count", "id_count")
 )
-_PAIRS = f"{MENTIONS}, du AS (SELECT DISTINCT uri, id FROM mentions WHERE kind <> 'ticket'), pairs AS (SELECT a.uri AS uri_a, b.uri AS uri_b, count(*) AS n_shared FROM du a JOIN du b ON a.id = b.id AND a.uri < b.uri GROUP BY a.uri, b.uri)"
-query("shared_id_pairs_considered", f"WITH {_PAIRS} SELECT count(*) AS considered FROM pairs")(lambda s, d: trace.shared_id_pairs(_mentions(s, d).where("kind <> 'ticket'")).agg(F.count("*").alias("considered")))
+_PAIRS = f"{MENTIONS}, du AS (SELECT DISTINCT uri, id FROM mentions), pairs AS (SELECT a.uri AS uri_a, b.uri AS uri_b, count(*) AS n_shared FROM du a JOIN du b ON a.id = b.id AND a.uri < b.uri GROUP BY a.uri, b.uri)"
+query("shared_id_pairs_considered", f"WITH {_PAIRS} SELECT count(*) AS considered FROM pairs")(lambda s, d: trace.pairs_considered(_mentions(s, d)))
 query(
     "shared_id_pairs_topk",
     f"""WITH {_PAIRS}, top AS (SELECT * FROM pairs ORDER BY n_shared DESC, uri_a, uri_b LIMIT 20) SELECT t.uri_a, t.uri_b, t.n_shared, string_agg(a.id, ',' ORDER BY a.id) AS shared_ids
   FROM top t JOIN du a ON a.uri = t.uri_a JOIN du b ON b.uri = t.uri_b AND b.id = a.id GROUP BY t.uri_a, t.uri_b, t.n_shared""",
-)(lambda s, d: trace.top_pairs(_mentions(s, d).where("kind <> 'ticket'")).select("uri_a", "uri_b", "n_shared", F.array_join("shared_ids", ",").alias("shared_ids")))
+)(lambda s, d: trace.top_pairs(_mentions(s, d)).select("uri_a", "uri_b", "n_shared", F.array_join("shared_ids", ",").alias("shared_ids")))
 
 # ---- model findings and their test
 
@@ -436,7 +460,7 @@ def _answers(s, d) -> DataFrame:
     item = F.to_json(
         F.struct(
             F.expr("case m % 7 when 0 then 'STR001' when 1 then 'CTX007' else 'CTX001' end").alias("ruleId"), F.expr("case when m % 5 = 0 then 'b99' else id end").alias("blockId"),
-            F.expr("case when m % 3 = 0 then 'nowhere to be found' when m % 3 = 1 then substring(text, 1, 38) else concat(substring(text, 1, 8), ' ', substring(text, 9, 12)) end").alias("evidence"), F.lit("because").alias("why"),
+            F.expr("case when m % 3 = 0 then 'nowhere to be found at all' else concat(substring(text, 1, 8), ' ', substring(text, 9, 30)) end").alias("evidence"), F.lit("because").alias("why"),
             F.expr("case when m % 4 = 0 then 0.3D else 0.9D end").alias("confidence"),
         )
     )
@@ -444,7 +468,7 @@ def _answers(s, d) -> DataFrame:
 
 
 _ANSWERS = """ans AS (SELECT uri, pos AS seq, CASE m % 7 WHEN 0 THEN 'STR001' WHEN 1 THEN 'CTX007' ELSE 'CTX001' END AS rule_id, CASE WHEN m % 5 = 0 THEN 'b99' ELSE id END AS block_id, m % 3 = 0 AS lost, CASE WHEN m % 4 = 0 THEN 0.3 ELSE 0.9 END AS confidence,
-    trim(regexp_replace(CASE WHEN m % 3 = 1 THEN substring(text, 1, 38) ELSE substring(text, 1, 8) || ' ' || substring(text, 9, 12) END, '\\s+', ' ', 'g')) AS needle, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS hay
+    trim(regexp_replace(substring(text, 1, 8) || ' ' || substring(text, 9, 30), '\\s+', ' ', 'g')) AS needle, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS hay
     FROM (SELECT *, pos + length(text) AS m FROM blocks_li WHERE kind IN ('paragraph', 'heading'))),
   near AS (SELECT *, NOT lost AND (contains(hay, needle) OR (length(hay) <= 2000 AND length(needle) <= length(hay)
     AND len(list_filter(range(0, length(hay) - length(needle) + 1), lambda i: levenshtein(substring(hay, i + 1, length(needle)), needle) <= floor(length(needle) * 0.1 + 1e-9))) > 0)) AS held FROM ans),
@@ -456,8 +480,12 @@ query("verify_reasons", f"WITH {_ANSWERS} SELECT uri, seq, rule_id, reject_reaso
 query("dedup_max_confidence", f"WITH {_ANSWERS} SELECT uri, rule_id, block_id, CAST(max(confidence) AS DOUBLE) AS confidence FROM judged WHERE reject_reason IS NULL GROUP BY uri, rule_id, block_id")(
     lambda s, d: grounding.accepted(grounding.verify(_answers(s, d).join(views.documents(s, d).select("uri"), "uri", "left_semi"), views.documents(s, d), views.blocks(s, d))).select("uri", "rule_id", "block_id", F.col("confidence").cast("double").alias("confidence"))
 )
-query("evidence_exact", "SELECT conv_id, turn, contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(substring(text, 3, 25), '\\s+', ' ', 'g'))) AS held FROM conversations WHERE length(text) > 300")(
-    lambda s, d: table(s, d, "conversations").where("length(text) > 300").select("conv_id", "turn", text.evidence_found(F.substring("text", 3, 25), F.col("text")).alias("held"))
+query(
+    "evidence_exact",
+    """SELECT conv_id, turn, n <> '' AND contains(h, n) AS held
+  FROM (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS h, trim(regexp_replace(substring(coalesce(text, ''), 3, 25), '\\s+', ' ', 'g')) AS n FROM conversations)""",
+)(
+    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", text.evidence_found(F.substring("text", 3, 25), F.col("text")).alias("held"))
 )
 _NEEDLE = "trim(regexp_replace(replace(substring(text, 3, 40), 'e', 'o'), '\\s+', ' ', 'g'))"
 query(
@@ -469,7 +497,23 @@ query(
 query("status_roll_up", "SELECT user_id, CASE WHEN count(*) FILTER (value > 20) = count(*) THEN 'ok' WHEN count(*) FILTER (value > 20) = 0 THEN 'failed' ELSE 'partial' END AS status FROM events GROUP BY user_id")(
     lambda s, d: table(s, d, "events").withColumn("ok", F.col("value") > 20).groupBy("user_id").agg(score.roll_up().alias("status"))
 )
-query("chunk_prompts", f"WITH {BODY} SELECT count(DISTINCT uri) AS n_docs FROM body JOIN docs_ord USING (uri)")(lambda s, d: grounding.chunk_prompts(views.documents(s, d), views.blocks(s, d)).agg(F.count_distinct("uri").alias("n_docs")))
+_LINES_OF_RULES = "concat_ws(chr(10), " + ", ".join(
+    f"'- {r}: {x[0]}'" if x[4] is None else f"CASE WHEN doc_type IN ({', '.join(repr(t) for t in x[4])}) THEN '- {r}: {x[0]}' END" for r, x in fixed.RULES.items() if x[5]
+) + ")"
+query(
+    "chunk_prompts",
+    f"""WITH RECURSIVE {MARKDOWN},
+  secs AS (SELECT uri, section_id, string_agg('<!--b:' || id || '--> ' || body, chr(10) || chr(10) ORDER BY pos) AS md FROM
+    (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY uri ORDER BY pos) AS section_id FROM md) GROUP BY uri, section_id),
+  s AS (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY section_id) AS n, length(md) AS size FROM secs),
+  walk AS (SELECT uri, n, size AS cur, 0 AS k FROM s WHERE n = 1
+    UNION ALL SELECT s.uri, s.n, CASE WHEN w.cur + s.size > 1200 THEN s.size ELSE w.cur + s.size END, CASE WHEN w.cur + s.size > 1200 THEN w.k + 1 ELSE w.k END FROM walk w JOIN s ON s.uri = w.uri AND s.n = w.n + 1),
+  parts AS (SELECT w.uri, w.k AS chunk_index, string_agg(s.md, chr(10) || chr(10) ORDER BY s.n) AS markdown FROM walk w JOIN s ON s.uri = w.uri AND s.n = w.n GROUP BY w.uri, w.k),
+  heads AS (SELECT uri, string_agg(repeat('  ', level - 1) || '- ' || text, chr(10) ORDER BY pos) AS outline FROM blocks_li WHERE kind = 'heading' GROUP BY uri)
+  SELECT p.uri, p.chunk_index, 'Judge the document by these rules; quote evidence word for word; answer in JSON.' || chr(10) || {_LINES_OF_RULES} AS system,
+    concat_ws(chr(10) || chr(10), 'Title: ' || title, 'Type: ' || doc_type, 'Outline:' || chr(10) || outline, markdown) AS "user"
+  FROM parts p JOIN docs_ord d ON d.uri = p.uri LEFT JOIN heads h ON h.uri = p.uri""",
+)(lambda s, d: grounding.chunk_prompts(views.documents(s, d), views.blocks(s, d), limit=1200))
 
 # ---- stores
 

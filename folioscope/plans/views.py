@@ -20,9 +20,9 @@ def view_sql(name: str, dialect: str) -> str:
 SELECT concat('doc-', l_orderkey) AS uri, pos, concat('b', pos + 1) AS id, kind,
   CASE WHEN kind = 'heading' THEN CAST(1 + l_suppkey % 5 AS INT) END AS level,
   CASE WHEN kind = 'heading' THEN concat(CASE l_partkey % 9 WHEN 0 THEN 'Overview of REQ-' WHEN 1 THEN 'Steps for TC-' WHEN 2 THEN 'TODO' WHEN 3 THEN 'Decision ' WHEN 4 THEN 'Purpose ' ELSE 'Part ' END,
-       CASE WHEN l_partkey % 9 = 2 THEN '' ELSE CAST(l_partkey % 20000 AS VARCHAR(20)) END)
-    WHEN kind = 'paragraph' THEN concat(CASE l_suppkey % 8 WHEN 0 THEN 'See the table. ' WHEN 1 THEN 'owner: team a. ' WHEN 2 THEN 'TBD: to be written. ' WHEN 3 THEN concat('Needs REQ-', CAST(l_partkey % 20000 AS VARCHAR(20)), ' and TC-', CAST(l_suppkey % 1000 AS VARCHAR(20)), '. ') ELSE 'Plain text. ' END,
-       repeat('Words of a paragraph. ', CAST(l_quantity AS INT)))
+       CASE WHEN l_partkey % 9 = 2 THEN '' ELSE CAST(l_partkey % 400 AS VARCHAR(20)) END)
+    WHEN kind = 'paragraph' THEN concat(CASE l_suppkey % 8 WHEN 0 THEN 'See the table. ' WHEN 1 THEN 'owner: team a. ' WHEN 2 THEN 'TBD: to be written. ' WHEN 3 THEN concat('Needs REQ-', CAST(l_partkey % 400 AS VARCHAR(20)), ' and TC-', CAST(l_suppkey % 50 AS VARCHAR(20)), '. ') ELSE 'Plain text. ' END,
+       repeat('Words of a paragraph. ', CAST(l_quantity AS INT) * 2))
     WHEN kind = 'code' THEN concat('line 1', repeat('{chr(10)}line', l_partkey_n % 5), ' TODO')
     WHEN kind = 'callout' THEN concat('Mind AB-', CAST(l_suppkey AS VARCHAR(20)), ' and UTF-8') END AS text,
   CASE WHEN kind = 'paragraph' THEN l_partkey % 7 = 0 END AS emphasized_as_heading,
@@ -51,7 +51,7 @@ FROM (
         return f"""
 SELECT concat('doc-', o_orderkey) AS uri,
   CASE o_custkey % 5 WHEN 0 THEN 'confluence' WHEN 1 THEN 'pdf' WHEN 2 THEN 'docx' WHEN 3 THEN 'pptx' ELSE 'xlsx' END AS source_kind,
-  CASE o_orderkey % 7 WHEN 0 THEN 'Notes' WHEN 1 THEN 'Copy of plan' WHEN 2 THEN 'abc' WHEN 3 THEN concat('Design of REQ-', CAST(o_custkey % 20000 AS VARCHAR(20))) ELSE concat('Plan ', o_orderpriority) END AS title,
+  CASE o_orderkey % 7 WHEN 0 THEN 'Notes' WHEN 1 THEN 'Copy of plan' WHEN 2 THEN 'abc' WHEN 3 THEN concat('Design of REQ-', CAST(o_custkey % 400 AS VARCHAR(20))) ELSE concat('Plan ', o_orderpriority) END AS title,
   CASE o_orderkey % 8 WHEN 0 THEN 'meeting-notes' WHEN 1 THEN 'requirement' WHEN 2 THEN 'design' WHEN 3 THEN 'guide' WHEN 4 THEN 'api-doc' WHEN 5 THEN 'troubleshooting' WHEN 6 THEN 'reference' ELSE 'unknown' END AS doc_type,
   CASE WHEN o_custkey % 3 = 0 THEN 'someone' END AS owner,
   CASE WHEN o_custkey % 4 <> 0 THEN {a("lower(o_orderstatus)", "' ADR '", "'Meeting  Notes'")} ELSE {a("lower(o_orderpriority)")} END AS raw_labels,
@@ -62,12 +62,11 @@ FROM orders"""
         return f"""
 SELECT concat('doc-', l_orderkey) AS uri, link_pos, concat('b', link_pos + 1) AS block_id,
   CASE l_partkey % 6 WHEN 0 THEN 'Click here.' WHEN 1 THEN 'https://x.example/y' WHEN 2 THEN '여기' WHEN 3 THEN 'more!' ELSE concat('The plan of part ', CAST(l_partkey AS VARCHAR(20))) END AS text,
-  CASE l_suppkey % 6 WHEN 0 THEN concat('doc-', CAST(l_orderkey + 1 AS VARCHAR(20)), '/?v=1#top') WHEN 1 THEN concat('/display/', CAST(l_partkey AS VARCHAR(20)), '/') WHEN 2 THEN '#part' WHEN 3 THEN concat('/download/attachments/', CAST(l_partkey AS VARCHAR(20)), '.pdf')
+  CASE l_suppkey % 6 WHEN 0 THEN concat('doc-', CAST(l_orderkey + 1 AS VARCHAR(20)), '/?v=1#top') WHEN 1 THEN concat('/display/', CAST(l_partkey AS VARCHAR(20)), repeat('/', 1 + l_linenumber_n % 3)) WHEN 2 THEN '#part' WHEN 3 THEN concat('/download/attachments/', CAST(l_partkey AS VARCHAR(20)), '.pdf')
     WHEN 4 THEN 'https://wiki.example/pages/1?x=2' ELSE 'https://other.example/' END AS href,
   CASE l_suppkey % 6 WHEN 0 THEN 'internal' WHEN 1 THEN 'internal' WHEN 2 THEN 'anchor' WHEN 3 THEN 'attachment' WHEN 4 THEN 'internal' ELSE 'external' END AS target,
   CASE WHEN l_discount > 0.07 THEN 'broken' WHEN l_discount > 0.03 THEN 'ok' ELSE 'unchecked' END AS status
-FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) - 1 AS INT) AS link_pos FROM lineitem)
-WHERE l_partkey % 2 = 0"""
+FROM (SELECT *, CAST(l_linenumber AS INT) AS l_linenumber_n, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) - 1 AS INT) AS link_pos FROM lineitem)"""
     raise KeyError(name)
 
 

@@ -132,11 +132,34 @@ def test_stream(spark, tmp_path):
 
 
 def test_exports(spark):
-    docs, _, _ = tables(spark, {"u": [para("x")], "failed": []})
-    scores = frame(spark, [{"uri": "u", "structure": 100, "context": 100, "metadata": 94, "total": 99, "grade": "A"}], "uri string, structure int, context int, metadata int, total int, grade string")
-    found = frame(spark, [{"uri": "u", "id": "i", "rule_id": "R", "severity": "info", "axis": "structure", "message": "<m>", "evidence": "\x01e"}], "uri string, id string, rule_id string, severity string, axis string, message string, evidence string, before string, after string")
-    data = exports.lint_workbook(docs, scores, found)
-    _, blocks = office.read(data, "xlsx")
-    assert [b["text"] for b in blocks if b["kind"] == "heading"] == ["요약", "지적"]
-    assert "&lt;m&gt;" in exports.html_report("R", [("f", exports.FINDINGS, exports.finding_rows(docs, found))])
-    assert model.complete(docs, model.DOCUMENTS).columns == docs.columns
+    """The reports' columns, orders and labels, as rows and as files."""
+    docs, _, _ = tables(spark, {"/d/u.docx": [para("x")], "/d/failed.docx": []})
+    docs = docs.withColumn("error", F.when(F.col("uri").contains("failed"), "no zip"))
+    scores = frame(spark, [{"uri": "/d/u.docx", "structure": 100, "context": 100, "metadata": 94, "total": 99, "grade": "A"}], "uri string, structure int, context int, metadata int, total int, grade string")
+    ddl = f"uri string, id string, rule_id string, severity string, axis string, message string, why string, evidence string, before string, after string, anchor {model.ANCHOR}"
+    base = {"uri": "/d/u.docx", "rule_id": "R", "severity": "info", "axis": "structure", "message": "<m>", "why": "w", "evidence": "\x01e", "after": "new"}
+    spot = dict.fromkeys(f.name for f in model.schema(f"a {model.ANCHOR}")["a"].dataType) | {"kind": "docx", "paragraph_index": 2}
+    found = frame(spark, [base | {"id": "2"}, base | {"id": "1", "severity": "error", "axis": "metadata", "anchor": tuple(spot.values()), "after": None}, base | {"id": "3", "severity": "error"}], ddl)
+    assert [tuple(r) for r in exports.summary_rows(docs, scores, found).collect()] == [("failed.docx", "/d/failed.docx", 0, "-", 0, 0, 0, "no zip"), ("u.docx", "/d/u.docx", 99, "A", 2, 0, 1, "완료")]
+    assert [tuple(r) for r in exports.finding_rows(docs, found).collect()] == [
+        ("u.docx", "오류", "R", "구조", "문서 전체", "<m>", "w", "new"), ("u.docx", "오류", "R", "메타데이터", "3번째 문단", "<m>", "w", ""), ("u.docx", "참고", "R", "구조", "문서 전체", "<m>", "w", "new"),
+    ]
+    traces = frame(
+        spark, [{"id": "b", "rule_id": "TRC006", "severity": "error", "message": "m", "why": "w", "evidence": "A: x", "documents": ["u", "v"], "titles": ["T", "V"], "subject_id": "REQ-1"}, {"id": "a", "rule_id": "TRC005", "severity": "info", "message": "m", "why": "w", "documents": ["u"], "titles": ["T"]}],
+        "id string, rule_id string, severity string, message string, why string, evidence string, documents array<string>, titles array<string>, subject_id string",
+    )
+    assert [tuple(r) for r in exports.trace_rows(traces).collect()] == [("오류", "TRC006", "REQ-1", "T (u)\nV (v)", "m", "w\nA: x"), ("참고", "TRC005", "", "T (u)", "m", "w")]
+    _, blocks = office.read(exports.lint_workbook(docs, scores, found), "xlsx")
+    assert [b["text"] for b in blocks if b["kind"] == "heading"] == ["요약", "지적"] and blocks[1]["headers"] == list(exports.SUMMARY)
+    _, blocks = office.read(exports.trace_workbook(traces), "xlsx")
+    assert blocks[0]["text"] == "추적성" and blocks[1]["rows"][0] == ["심각도", "규칙", "식별자", "문서", "내용", "이유"]
+    html = exports.lint_html("R", docs, scores, found)
+    assert "&lt;m&gt;" in html and "no zip" in html
+    assert model.complete(docs, model.DOCUMENTS).columns == docs.columns[:-1]
+
+
+def test_pages_that_repeat(spark):
+    """A page that stands twice counts once; another version of it keeps its own neighbours."""
+    pages = [("u", "<p>one</p><p>two</p>"), ("u", "<p>one</p><p>two</p>"), ("u", "<p>other</p><p>words</p>")]
+    got = wiki.page_blocks(spark.createDataFrame(pages, "uri string, body string")).select("pos", "text", "anchor.quote_prefix", "anchor.quote_suffix").collect()
+    assert sorted(map(tuple, got)) == [(0, "one", None, "two"), (0, "other", None, "words"), (1, "two", "one", None), (1, "words", "other", None)]

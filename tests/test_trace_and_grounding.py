@@ -37,8 +37,28 @@ def test_trace_corpus(spark):
 def test_ids_and_uris(spark):
     rows = spark.createDataFrame([("REQ-1 TC-2 PROJ-3 REQ-1 XREQ-12",)], "t string").select(F.inline(trace.matched_ids(F.col("t")))).collect()
     assert {(r["id"], r["kind"]) for r in rows} == {("REQ-1", "requirement"), ("TC-2", "test"), ("PROJ-3", "ticket"), ("REQ-12", "requirement"), ("XREQ-12", "ticket")}
-    got = spark.createDataFrame([("https://wiki/pages/12/?a=1#sec",), ("/",)], "u string").select(normal_uri(F.col("u"))).collect()
-    assert [r[0] for r in got] == ["https://wiki/pages/12", "/"]
+    got = spark.createDataFrame([("https://wiki/pages/12/?a=1#sec",), ("/",), ("https://a/b//",), ("//",)], "u string").select(normal_uri(F.col("u"))).collect()
+    assert [r[0] for r in got] == ["https://wiki/pages/12", "/", "https://a/b", ""]
+
+
+def test_pairs_of_common_ids_against_brute_force(spark):
+    """Whatever counts as common, the pairs are those of a full comparison, ties included."""
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    r = random.Random(4)
+    docs = {f"d{i:02}": {f"REQ-{j}" for j in range(12) if r.random() < (0.9 if j < 3 else 0.15)} | ({"AB-1"} if i % 2 else set()) for i in range(40)}
+    m = spark.createDataFrame([(u, x) for u, xs in docs.items() for x in xs] * 2, "uri string, id string")
+    n = Counter({(a, b): len(docs[a] & docs[b]) for a, b in combinations(sorted(docs), 2) if docs[a] & docs[b]})
+    want = sorted(n.items(), key=lambda x: (-x[1], x[0]))[:15]
+    for common in (1, 5, 10, 100):
+        assert trace.pairs_considered(m, common).first()[0] == len(n)
+        got = sorted(((x["uri_a"], x["uri_b"]), x["n_shared"]) for x in trace.top_pairs(m, 15, common).collect())
+        assert got == sorted(want), common
+    only = spark.createDataFrame([(f"u{i:03}", "UTF-8") for i in range(400)], "uri string, id string")
+    assert [(x["uri_a"], x["uri_b"]) for x in trace.top_pairs(only, 3, 10).orderBy("uri_a", "uri_b").collect()] == [("u000", "u001"), ("u000", "u002"), ("u000", "u003")]
+    assert trace.pairs_considered(only, 10).first()[0] == 400 * 399 // 2
 
 
 def test_evidence(spark):
@@ -70,3 +90,86 @@ def test_prompts_and_provider(spark):
     got = grounding.ask(p, lambda system, user: json.dumps({"n": len(user)}) if "Part" in user else 1 / 0, tasks=2).collect()
     assert all(r["ok"] for r in got)
     assert frame(spark, [], "a string").count() == 0
+
+
+def test_whole_analysis(spark):
+    """Summaries are told with the chunks of long documents; failures cost a status, not the rules' findings."""
+    from folioscope.engine import Engine
+
+    docs = {"long": [heading(1, "Part"), para("x" * 9000), heading(1, "Next"), para("y" * 9000)], "short": [para("Retries three times.")], "bad": [para("boom")], "held": [para("never asked")]}
+    documents, blocks, links = tables(spark, docs)
+
+    def model(system: str, user: str) -> str:
+        if "boom" in user or "never" in user:
+            raise RuntimeError("no answer")
+        if "summary" in system:
+            return json.dumps({"summary": "It is long."})
+        found = [{"ruleId": "CTX001", "blockId": "b1", "evidence": "three times", "why": "which?", "confidence": 0.9}] if "Retries" in user else []
+        if "Part" in user:
+            assert "Summary: It is long." in user
+        return "```json\n" + json.dumps({"findings": found + ([{"ruleId": "CTX001"}] if "Retries" in user else [])}) + "\n```"
+
+    gate = spark.createDataFrame([("held", "quota"), ("short", None)], "uri string, gate string")
+    found, scores = Engine(spark).lint(documents, blocks, links, model=model, gate=gate)
+    assert [(r["uri"], r["why"]) for r in found.where("source = 'llm'").collect()] == [("short", "which?")]
+    state = {r["uri"]: (r["model_status"], r["rejected"], r["calls"], r["truncated"]) for r in scores.collect()}
+    assert state == {"long": ("ok", 0, 3, False), "short": ("ok", 1, 1, False), "bad": ("failed", 0, 1, False), "held": ("skipped", 0, 0, False)}
+    alone, _ = Engine(spark).lint(documents, blocks, links)
+    assert alone.count() == found.count() - 1 and alone.where("why = ''").count() == 0
+
+
+def test_whole_trace(spark):
+    from folioscope.engine import Engine
+
+    documents, blocks, links = corpus(spark)
+
+    def model(system: str, user: str) -> str:
+        said = [{"subjectId": "REQ-002", "quoteA": "at most 3 retries", "quoteB": "allows 5 retries", "why": "w", "confidence": 0.9}] if "5 retries" in user and "3 retries" in user else []
+        return json.dumps({"contradictions": said})
+
+    found, summary = Engine(spark).trace(documents, blocks, links, model, 2)
+    got = {r["id"]: (r["titles"], r["why"]) for r in found.collect()}
+    assert "TRC006:w/4001:w/4002:REQ-002" in got and all(t and w for t, w in got.values()) and len(got) == 5
+    s = summary.first()
+    assert (s["document_count"], s["id_count"], s["pairs_considered"], s["pairs_analyzed"]) == (4, 6, 3, 2)
+
+
+def test_answers_and_schemas(spark):
+    rows = [('"plain"', "plain"), ('[{"type": "text", "text": "a"}, {"text": "b"}, {"x": 1}]', "ab"), ("null", ""), ("{}", "")]
+    got = spark.createDataFrame(rows, "m string, want string").select(grounding.answer_text(F.col("m")).alias("t"), "want").collect()
+    assert [r["t"] for r in got] == [r["want"] for r in got]
+    schema = {"type": "object", "properties": {"s": {"type": "string", "nullable": True}, "l": {"type": "array", "items": {"type": "number", "nullable": False}}}}
+    assert grounding.standard_schema(schema) == {"type": "object", "properties": {"s": {"type": ["string", "null"]}, "l": {"type": "array", "items": {"type": "number"}}}}
+
+
+def test_quotations_with_edits(spark):
+    """The quick test for shared pieces loses no quotation that a window is near to."""
+    import random
+
+    r = random.Random(2)
+
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+            last = now
+        return last[-1]
+
+    cases = []
+    for _ in range(60):
+        text = "".join(r.choice("abc ") for _ in range(80)).strip()
+        text = " ".join(text.split())
+        at, size = r.randrange(0, 30), r.randrange(5, 35)
+        quote = list(text[at : at + size])
+        for _ in range(r.randrange(0, 6)):
+            quote[r.randrange(len(quote))] = r.choice("abcd")
+        cases.append((" ".join("".join(quote).split()), text))
+
+    def held(n, h):
+        off = int(len(n) * 0.1 + 1e-9)
+        return bool(n) and any(distance(h[i : i + len(n)], n) <= off for i in range(len(h) - len(n) + 1))
+
+    got = spark.createDataFrame([(i, n, h) for i, (n, h) in enumerate(cases)], "i int, n string, h string").select("i", evidence_found(F.col("n"), F.col("h")).alias("e")).orderBy("i").collect()
+    assert [bool(x["e"]) for x in got] == [held(n, h) for n, h in cases]
