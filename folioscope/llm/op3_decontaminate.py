@@ -2,13 +2,16 @@
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased. One pass over the texts
 joins their n-grams with those of the test items and takes the stretches of words around them.
-Every n-gram of an item is a seed, however common it is or however few of them occur. A stretch is
+Every n-gram of an item is a seed, however common it is or however few of them occur; an item of fewer
+than GRAM words is its own seed, whole. A stretch is
 scored by local alignment with the item: a match counts 1, a substitution or a gap costs PENALTY.
 The score is the best sum over the item's length; from LEAK on the document leaks the item. A word
 changed, dropped or put in costs little, so edited copies score high. Only stretches that lack so
 many of the item's words that they can't reach LEAK, whatever their order, are not aligned.
 
-Items travel to the executors in parts of at most PART_BYTES of text, one pass for each part.
+Items travel to the executors in parts of at most about PART_BYTES of text, one pass over the texts for each
+part, so that neither driver nor workers hold more of a large benchmark; within a part the seeds are sorted
+arrays with the items and places of each (some 40 MB in a worker for a part of 2 MB of distinct words).
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from .common import pages_of, text_rows
 GRAM = 3
 LEAK = 0.4
 PENALTY = 0.5
-PART_BYTES = 32_000_000
+PART_BYTES = 2_000_000
 MARGIN = 8
 #: Cells aligned at once, which bounds memory.
 CELLS = 2_000_000
@@ -42,6 +45,31 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_BREAK).split()
 
 
+class Seeds:
+    """The n-grams of one size: sorted, with the items and places where each stands."""
+
+    def __init__(self, grams: dict[int, np.ndarray]):
+        """``grams``: the n-grams of each item, in order of place."""
+        every = np.concatenate([*grams.values(), np.empty(0, np.int64)])
+        order = np.argsort(every, kind="stable")
+        self.item = np.repeat(np.fromiter(grams, np.int32, len(grams)), [len(g) for g in grams.values()])[order]
+        self.place = np.concatenate([*(np.arange(len(g), dtype=np.int32) for g in grams.values()), np.empty(0, np.int32)])[order]
+        self.all, first = np.unique(every[order], return_index=True)
+        self.first = np.append(first, len(every))
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position among ``grams``, item and place in it of each match."""
+        if not len(grams) or not len(self.all):
+            none = np.empty(0, np.int64)
+            return none, none, none
+        at = np.searchsorted(self.all, grams)
+        at[at == len(self.all)] = 0
+        where = np.flatnonzero(self.all[at] == grams)
+        low, n = self.first[at[where]], self.first[at[where] + 1] - self.first[at[where]]
+        rows = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(where, n), self.item[rows], self.place[rows]
+
+
 class Items:
     """The test items of one part: vocabulary, words and n-grams."""
 
@@ -53,19 +81,16 @@ class Items:
         self.base = max(2, len(self.vocabulary))
         if self.base**GRAM >= 1 << 63:
             raise ValueError("the items' vocabulary is too large for one part; lower PART_BYTES")
-        self.grams = [self.keys(w) for w in self.words]
-        self.all = np.unique(np.concatenate([*self.grams, np.empty(0, np.int64)]))
-        self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, grams in enumerate(self.grams):
-            for p, g in enumerate(grams.tolist()):
-                self.at[g].append((item, p))
-
-    def keys(self, words: np.ndarray) -> np.ndarray:
-        """A number for each run of GRAM known words, -1 where one isn't known."""
-        n = len(words) - GRAM + 1
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        sizes = {i: min(GRAM, len(w)) for i, w in enumerate(self.words) if len(w)}
+        self.seeds = {n: Seeds({i: self.keys(self.words[i], n) for i, m in sizes.items() if m == n}) for n in sorted(set(sizes.values()))}
+
+    def keys(self, words: np.ndarray, size: int = GRAM) -> np.ndarray:
+        """A number for each run of ``size`` known words, -1 where one isn't known."""
+        n = len(words) - size + 1
         if n <= 0:
             return np.empty(0, np.int64)
-        runs = [words[i : n + i] for i in range(GRAM)]
+        runs = [words[i : n + i] for i in range(size)]
         out = np.zeros(n, np.int64)
         for r in runs:
             out = out * self.base + r
@@ -107,28 +132,20 @@ def meetings(items: Items, text: str | None) -> list[tuple[int, int, np.ndarray]
     A stretch has the item's number, where it starts and its words as numbers of the vocabulary (-1: none);
     stretches of an item that overlap are merged."""
     words = items.look(text)
-    grams = items.keys(words)
-    if not len(grams) or not len(items.all):
-        return []
-    at = np.searchsorted(items.all, grams)
-    at[at == len(items.all)] = 0
-    places = np.flatnonzero(items.all[at] == grams)
-    spans = defaultdict(list)
-    for pos, g in zip(places.tolist(), grams[places].tolist(), strict=True):
-        for item, p in items.at[g]:
-            size = len(items.words[item])
-            slack = MARGIN + size // 4
-            spans[item].append((max(0, pos - p - slack), min(len(words), pos - p + size + slack)))
     out = []
-    for item, found in spans.items():
-        found.sort()
-        low, high = found[0]
-        for a, b in found:
-            if a > high:
-                out.append((item, low, high))
-                low, high = a, b
-            high = max(high, b)
-        out.append((item, low, high))
+    for n, seeds in items.seeds.items():
+        pos, item, place = seeds.find(items.keys(words, n))
+        if not len(pos):
+            continue
+        size = items.sizes[item]
+        slack = MARGIN + size // 4
+        low, high = np.maximum(0, pos - place - slack), np.minimum(len(words), pos - place + size + slack)
+        order = np.lexsort((low, item))
+        item, low, high = item[order], low[order], high[order]
+        # A stretch begins where the item changes or nothing before it in the item reaches so far.
+        apart = item.astype(np.int64) * (len(words) + 1)
+        first = np.flatnonzero(np.append(True, (apart + low)[1:] > np.maximum.accumulate(apart + high)[:-1]))
+        out += zip(item[first].tolist(), low[first].tolist(), np.maximum.reduceat(high, first).tolist(), strict=True)
     stretches = [(item, low, words[low:high].astype(np.int32)) for item, low, high in out]
     return [x for x in stretches if items.reached(x[0], x[2])]
 
@@ -190,13 +207,13 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, score, word: one row for each document row and item that leaks into it.
 
     word is where the best alignment ends in the document. A null or empty text leaks nothing. Items
-    that are null or have fewer than GRAM words have no n-gram and match nothing. Items and documents
+    without words match nothing; of one or two words, which must stand whole, they are found like others. Items and documents
     that repeat are each reported; null identifiers are kept. Empty tables give an empty result."""
     spark = docs.sparkSession
     rows = text_rows(docs).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     out = spark.createDataFrame([], f"doc_id bigint, text_hash bigint, hits {_HIT}")
     for items in item_parts(benchmark):
-        if not len(items.all):
+        if not items.seeds:
             continue
         out = out.union(rows.mapInPandas(_aligned(spark.sparkContext.broadcast(items)), f"doc_id bigint, text_hash bigint, hits {_HIT}"))
     return out.select("doc_id", "text_hash", F.explode("hits").alias("hit")).select("doc_id", "text_hash", "hit.item_id", "hit.score", "hit.word")
