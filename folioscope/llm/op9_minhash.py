@@ -12,11 +12,14 @@
    chance. Pairs whose estimate is more than SLACK below the threshold are let go; the others are
    confirmed on the full sets.
 5. Components of the confirmed links. Buckets whose members are still in different components are
-   then compared across components, and pairs that pass the estimate are confirmed too; a pair within
-   one component can't change the result. So nothing that shares a band is lost. Buckets of up to
-   SMALL members are joined with themselves; the members of larger ones get signatures of FINE lanes,
-   which are compared in blocks by bit counts, so that of a large group only pairs close to the
-   threshold leave the comparison.
+   then searched for links across components; a pair within one component can't change the result. So
+   nothing that shares a band is lost. Buckets of up to SMALL members are joined with themselves, by
+   the estimate. The members of larger ones, say the pages of one template, meet by prefixes of
+   their sets instead: of a pair of similarity t, the smaller set's rarest (1 - 2t / (1 + t)) and the
+   larger's rarest (1 - t) of shingles, and one more, share a shingle. So pages that share even three
+   quarters of their shingles don't meet: what fills their prefixes is their own. Sizes and the places of
+   the shared shingle rule out more, and the rest is confirmed on full sets. What is rare is told by a
+   bounded sample of the members; it decides how many pairs meet and never which links are found.
 
 With 32 bands of 4 lanes, a pair of similarity 0.8 shares no band with probability 5e-8, and its
 estimate over 128 lanes of 4 bits is SLACK too low with a probability of about 1e-6.
@@ -39,17 +42,15 @@ BANDS, ROWS, BITS = 32, 4, 4
 LANES = BANDS * ROWS
 WORDS = LANES * BITS // 64
 SLACK = 0.18
-#: Members of larger buckets get a finer signature for the comparison across components.
+#: Buckets of up to so many members are joined with themselves across components.
 SMALL = 32
-FINE = 1024
+#: Members whose shingles say what is rare, and the counters that they are counted in.
+SAMPLE, COUNTERS = 50_000, 1 << 20
 #: Identifiers (8 bytes each) that are broadcast at most; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-FINE_SLACK = 0.065
-BLOCK = 1024
 _STEP = 4096
 _LOW = int("1" * (64 // BITS), 1 << BITS)
 
-_FINE = np.random.default_rng(20_25).integers(0, 1 << 63, FINE, np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = np.random.default_rng(20_24).integers(0, 1 << 63, LANES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -110,61 +111,65 @@ def estimate(a: str, b: str) -> Column:
     return ((1 - differ / LANES) - chance) / (1 - chance)
 
 
-def _fine(k: int):
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a task's sets, in how many each counter's shingles stand."""
+    total = np.zeros(COUNTERS, np.int32)
+    for batch in batches:
+        for s in batch["shingles"]:
+            total += np.bincount(_counter(np.asarray(s, np.int64).view(np.uint64)), minlength=COUNTERS).astype(np.int32)
+    yield pd.DataFrame({"counts": [total]})
+
+
+def commonness(sets: DataFrame, n: int) -> np.ndarray:
+    """How common the shingles of each counter are in about SAMPLE of n sets: at most a few arrays of COUNTERS numbers reach the driver."""
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 32)) / (1 << 32) < SAMPLE / max(n, 1)
+    counts = sets.where(drawn).repartition(4, "id").mapInPandas(_counted, "counts array<int>").toPandas()["counts"]
+    return sum((np.asarray(c, np.int64) for c in counts), np.zeros(COUNTERS, np.int64))
+
+
+def _prefixes(shared, percent: int):
+    """The rarest shingles of each set, as many as its prefix has: place, and whether the place is in the shorter prefix too."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common = shared.value
         for batch in batches:
-            prints, bits = [], []
-            for text in batch["text"]:
-                s = shingle_hashes(word_hashes(text or ""), k)
-                least = np.full(FINE, ~np.uint64(0), np.uint64)
-                for at in range(0, len(s), 512):
-                    np.minimum(least, (s[None, at : at + 512] * _FINE[:, None]).min(axis=1), out=least)
-                lanes = (mix(least) & np.uint64((1 << BITS) - 1)).reshape(-1, 64 // BITS)
-                bits.append((lanes << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).view(np.int64))
-                prints.append(_print_a(s))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "id": prints, "fine": bits})
+            out: dict[str, list] = {c: [] for c in ("id", "component", "size", "shingle", "place", "short")}
+            for i, component, s in zip(batch["id"], batch["component"], batch["shingles"], strict=True):
+                s = np.asarray(s, np.int64).view(np.uint64)
+                n = len(s)
+                rarest = s[np.lexsort((s, common[_counter(s)]))].view(np.int64)
+                # -(-a // b) rounds up; 2t / (1 + t) with t in hundredths.
+                long_, short = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+                out["id"].append(np.full(long_, i))
+                out["component"].append(np.full(long_, component))
+                out["size"].append(np.full(long_, n))
+                out["shingle"].append(rarest[:long_])
+                out["place"].append(np.arange(long_))
+                out["short"].append(np.arange(long_) < short)
+            yield pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
 
     return run
 
 
-def _similar(x: np.ndarray) -> np.ndarray:
-    """Corrected similarity from the last axis of XORed packed lanes."""
-    any_bit = x.copy()
-    for s in range(1, BITS):
-        any_bit |= x >> np.uint64(s)
-    differ = np.bitwise_count(any_bit & np.uint64(_LOW)).sum(axis=-1, dtype=np.int32)
-    chance = 1 / (1 << BITS)
-    return ((1 - differ / (x.shape[-1] * 64 // BITS)) - chance) / (1 - chance)
-
-
-def _across(least: float):
-    """Pairs of two blocks of a bucket, from different components, that may be similar; each at the first band that the two share."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
-        band = int(left["band"].iloc[0])
-        bits = [np.stack(x["fine"].to_numpy()).view(np.uint64) for x in (left, right)]
-        keys = [np.stack(x["keys"].to_numpy()) for x in (left, right)]
-        ids = [x["id"].to_numpy() for x in (left, right)]
-        comps = [x["component"].to_numpy() for x in (left, right)]
-        found = [np.empty((2, 0), np.int64)]
-        for at in range(0, len(left), 64):
-            part = slice(at, at + 64)
-            # The first lanes rule most pairs out; the rest of the signature decides on the others.
-            rough = _similar(bits[0][part, None, :WORDS] ^ bits[1][None, :, :WORDS]) >= least - SLACK
-            i, j = np.nonzero(rough & (comps[0][part, None] != comps[1][None, :]) & (ids[0][part, None] < ids[1][None, :]))
-            i += at
-            first = (keys[0][i] == keys[1][j]).argmax(axis=1) == band
-            i, j = i[first], j[first]
-            for lo in range(0, len(i), 20_000):
-                some = slice(lo, lo + 20_000)
-                close = _similar(bits[0][i[some]] ^ bits[1][j[some]]) >= least - FINE_SLACK
-                found.append(np.stack([ids[0][i[some][close]], ids[1][j[some][close]]]))
-        a, b = np.concatenate(found, axis=1)
-        return pd.DataFrame({"a": a, "b": b})
-
-    return run
+def _crowded(members: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b: pairs of members (id, component) of different components that may reach the threshold, by prefixes of their sets (id, shingles)."""
+    shared = members.sparkSession.sparkContext.broadcast(commonness(sets, n))
+    rows = sets.join(members, "id").mapInPandas(_prefixes(shared, percent), "id bigint, component bigint, size bigint, shingle bigint, place bigint, short boolean")
+    rows = materialise(rows, "prefixes")
+    # Shingles that only one component has in its prefixes bring nothing.
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
+    rows = rows.join(mixed, "shingle")
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "size", "place")]
+    one, two = rows.where("short").select("shingle", *side("x")), rows.select("shingle", *side("y"))
+    # x is the smaller set, or of equal ones that of the smaller name; it has percent of the larger's size at least.
+    met = one.join(two, "shingle").where("component_x != component_y and (size_x < size_y or (size_x = size_y and id_x < id_y))").where(100 * F.col("size_x") >= percent * F.col("size_y"))
+    most = F.least("place_x", "place_y") + 1 + F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) - 1
+    able = met.where((100 + percent) * most >= percent * (F.col("size_x") + F.col("size_y")))
+    return able.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -175,17 +180,25 @@ def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return text_rows(docs).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b: names of classes) whose full sets reach the threshold, as u, v."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "doc_id"), "id").select("id", "doc_id")
+def _sets_of(ids: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """id and shingles of the classes named (id), written."""
+    ids = ids.join(nodes.select("id", "doc_id"), "id").select("id", "doc_id")
     sets = _texts_of(ids, docs).mapInPandas(_sets(k), "doc_id bigint, id bigint, shingles array<bigint>")
-    sets = materialise(sets.join(ids, ["id", "doc_id"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"), "sets")
+    return materialise(sets.join(ids, ["id", "doc_id"], "left_semi").dropDuplicates(["id"]).select("id", "shingles"), "sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b: names of classes) whose full sets reach the threshold, as u, v."""
     side = lambda n: sets.select(F.col("id").alias(n), F.col("shingles").alias(f"s_{n}"))
     both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     union = F.size("s_a") + F.size("s_b") - both
     return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * union).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_hash, n_shingles, group, component_id and kept (doc_id = component_id) for each row of ``docs``.
 
@@ -217,7 +230,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     bits = lambda n: nodes.select(F.col("id").alias(n), F.col("bits").alias(f"bits_{n}"))
     least = percent / 100 - SLACK
     likely = stars.join(bits("a"), "a").join(bits("b"), "b").where(estimate("bits_a", "bits_b") >= least).select("a", "b")
-    links = materialise(_confirm(materialise(likely, "likely"), docs, nodes, k, percent), "links")
+    likely = materialise(likely, "likely")
+    links = materialise(_confirm(likely, _sets_of(_ends(likely), docs, nodes, k), percent), "links")
     found = components(links)
 
     # Buckets that still hold more than one component.
@@ -229,20 +243,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     close = one.join(two, "key").where("a < b and of_a != of_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     close = close.join(bits("a"), "a").join(bits("b"), "b").where(estimate("bits_a", "bits_b") >= least).select("a", "b")
 
-    many = mixed_members.where(F.col("size") > SMALL)
-    fine = _texts_of(many.select("id").distinct().join(nodes.select("id", "doc_id"), "id"), docs).mapInPandas(_fine(k), "doc_id bigint, id bigint, fine array<bigint>")
-    fine = nodes.select("id", "doc_id", "keys").join(fine, ["id", "doc_id"]).dropDuplicates(["id"]).drop("doc_id")
-    split = many.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    split = materialise(split.join(fine, "id"), "large")
-    each = F.sequence(F.lit(0), F.col("blocks") - 1)
-    columns = ["id", "band", "component", "keys", "fine"]
-    left = split.withColumn("row", F.col("block")).withColumn("col", F.explode(each)).select("key", "row", "col", *columns)
-    right = split.withColumn("col", F.col("block")).withColumn("row", F.explode(each)).select(F.col("key").alias("key2"), F.col("row").alias("row2"), F.col("col").alias("col2"), *[F.col(c).alias(c) for c in columns])
-    large = left.groupBy("key", "row", "col").cogroup(right.groupBy("key2", "row2", "col2")).applyInPandas(_across(percent / 100), "a bigint, b bigint")
-    more = materialise(close.union(large.join(stars, ["a", "b"], "left_anti")).distinct(), "across")
+    close = materialise(close, "close")
+    more = materialise(_confirm(close, _sets_of(_ends(close), docs, nodes, k), percent), "across")
+
+    many = materialise(mixed_members.where(F.col("size") > SMALL).select("id", "component").distinct(), "crowded")
+    n_many = many.count()
+    if n_many:
+        sets = _sets_of(many.select("id"), docs, nodes, k)
+        able = _crowded(many, sets, n_many, percent).join(stars, ["a", "b"], "left_anti")
+        more = materialise(more.union(_confirm(able, sets, percent)).distinct(), "across")
     if not more.isEmpty():
-        links = links.union(_confirm(more, docs, nodes, k, percent))
-        found = components(links)
+        found = components(links.union(more))
 
     linked = nodes.select("id", "doc_id").join(found, "id")
     least_id = linked.groupBy("component").agg(F.min("doc_id").alias("least_id"))
