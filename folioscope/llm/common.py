@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import kept as materialise
+from ..session import shared_dir, ship
+
+__all__ = ["A_TO_Z", "ascii_lower", "drop_table", "held_out", "materialise", "pages_of", "shared_dir", "text_rows"]
 
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -18,26 +18,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, A_TO_Z, A_TO_Z.lower())
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below the one that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder stands in, and is kept in the setting for later calls."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='folioscope-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage at a place that outlives executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_table(df: DataFrame) -> None:
     """Deletes the files below a table made by ``materialise`` that no later plan reads."""
     spark = df.sparkSession
