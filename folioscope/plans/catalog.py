@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 from .. import model
 from ..functions import fixed, text
 from ..operators import enrich, grounding, rules, score, stores, trace
-from ..operators.ruleset import Ruleset, resolve, rule_table
-from ..session import table
-from . import views
+from ..operators.ruleset import Ruleset, from_yaml, resolve, rule_table, rules_evaluated
+from ..session import kept, table
+from . import fixtures, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,14 +153,17 @@ def text_quotes(s, d):
     return enrich.quotes(views.blocks(s, d))
 
 
-@query("doc_hash_groups", "SELECT count(*) AS n_docs, count(DISTINCT text) AS n_groups FROM documents")
+@query("doc_hash_groups", "SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents")
 def doc_hash_groups(s, d):
-    """Documents of equal text have equal hashes and no others do."""
+    """Each document with the first of equal hash: that of equal text, and no other."""
+    from pyspark.sql import Window
+
     src = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("uri"), "text")
     docs = src.select("uri", F.lit("t").alias("title"), F.lit("unknown").alias("doc_type"), F.array(F.lit("b"), F.lit("a")).alias("labels"), F.lit(None).cast("string").alias("owner"))
     blocks = src.select("uri", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("uri", "pos", F.concat(F.lit("b"), (F.col("pos") + 1).cast("string")).alias("id"), F.lit("paragraph").alias("kind"), "text")
     links = src.where("false").select("uri", F.lit(0).alias("link_pos"), *[F.lit("").alias(c) for c in ("text_", "href", "target", "status")]).withColumnRenamed("text_", "text")
-    return enrich.document_hash(docs, blocks, links).agg(F.count("*").alias("n_docs"), F.count_distinct("document_hash").alias("n_groups"))
+    number = F.col("uri").cast("long")
+    return enrich.document_hash(docs, blocks, links).select(number.alias("doc_id"), F.min(number).over(Window.partitionBy("document_hash")).alias("first_id"))
 
 
 # ---- rules
@@ -326,12 +329,9 @@ query("rule_catalog", f"SELECT * FROM (VALUES {_RULE_ROWS}) t(rule_id, name, axi
 
 @query("rules_evaluated", "SELECT doc_type, count(*) AS n_docs, CAST(max(CASE WHEN doc_type IN ('design', 'meeting-notes', 'requirement') THEN 33 ELSE 32 END) AS INT) AS with_model, 22 AS without FROM docs_ord GROUP BY doc_type")
 def rules_evaluated_(s, d):
-    r = rule_table(s).where("enabled")
-    applies = F.col("applies_to").isNull() | F.array_contains("applies_to", F.col("doc_type"))
+    n = lambda asked: F.create_map(*[F.lit(x) for t in fixed.DOC_TYPES for x in (t, rules_evaluated(Ruleset(), t, asked))])[F.col("doc_type")]
     docs = views.documents(s, d).groupBy("doc_type").agg(F.count("*").alias("n_docs"))
-    both = docs.join(F.broadcast(r), applies)  # 31 rules
-    n = lambda c: F.sum(F.col(c).cast("int")).cast("int")
-    return both.groupBy("doc_type", "n_docs").agg((n("deterministic") + n("llm")).alias("with_model"), n("deterministic").alias("without"))
+    return docs.select("doc_type", "n_docs", n(True).alias("with_model"), n(False).alias("without"))
 
 
 # ---- scalar transforms and joins
@@ -372,10 +372,9 @@ def doctype_override(s, d):
     return stores.with_overrides(docs, over).select("uri", "doc_type", F.col("doc_type_origin").alias("origin"))
 
 
-@query("finding_anchor_join", "SELECT l.uri, l.link_pos, b.pos, b.kind FROM links_li l LEFT JOIN blocks_li b ON b.uri = l.uri AND b.id = l.block_id WHERE l.status = 'broken'")
+@query("finding_anchor_join", "SELECT l.uri, l.link_pos, b.pos FROM links_li l LEFT JOIN blocks_li b ON b.uri = l.uri AND b.id = l.block_id WHERE l.status = 'broken'")
 def finding_anchor_join(s, d):
-    where = views.blocks(s, d).select("uri", F.col("id").alias("block_id"), "pos", "kind")
-    return views.links(s, d).where("status = 'broken'").join(where, ["uri", "block_id"], "left").select("uri", "link_pos", "pos", "kind")
+    return rules.with_anchors(views.links(s, d).where("status = 'broken'"), _anchored(s, d)).select("uri", "link_pos", "pos")
 
 
 @query("links_to_check", "SELECT uri, href FROM (SELECT uri, href, row_number() OVER (PARTITION BY uri ORDER BY p) AS n FROM (SELECT uri, href, min(link_pos) AS p FROM links_li WHERE target IN ('internal', 'attachment') GROUP BY uri, href)) WHERE n <= 2")
@@ -596,10 +595,11 @@ def lint_documents(s, d):
     return rules.raw_findings(docs, blocks, links, ruleset, NOW).groupBy(F.col("uri").cast("long").alias("doc_id")).agg(F.count("*").cast("int").alias("n"))
 
 
-@query("conversation_callouts", "SELECT conv_id, count(*) AS n_blocks, string_agg('> [' || role || '] ' || text, chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
+@query("conversation_callouts", "SELECT CAST(conv_id AS VARCHAR) AS uri, string_agg('<!--b:b' || (turn + 1) || '--> > [' || role || '] ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
 def conversation_callouts(s, d):
-    b = table(s, d, "conversations").select("conv_id", "turn", F.concat(F.lit("> ["), "role", F.lit("] "), "text").alias("v"))
-    return b.groupBy("conv_id").agg(F.count("*").alias("n_blocks"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "v"))), lambda x: x["v"]), "\n").alias("markdown"))
+    """Turns as callouts of one document for each conversation, written as markdown."""
+    turns = table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("uri"), F.col("turn").alias("pos"), F.concat(F.lit("b"), (F.col("turn") + 1).cast("string")).alias("id"), F.lit("callout").alias("kind"), F.col("role").alias("variant"), "text")
+    return enrich.markdown(model.complete(turns, model.BLOCKS))
 
 
 @query("html_pages_blocks")
@@ -618,11 +618,14 @@ def html_pages_links(s, d):
 
 @query(
     "pdf_line_islands",
-    """WITH i AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS seq FROM lineitem)
-  SELECT l_orderkey AS doc, count(DISTINCT seq) AS n_items FROM i GROUP BY l_orderkey""",
+    f"""WITH RECURSIVE i AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY {views.ORDER}) AS seq, l_suppkey AS x, l_partkey % 3 * 4 AS y, 8 + l_linenumber % 3 AS size FROM lineitem),
+  walk AS (SELECT doc, seq, 0 AS line, y, size, x FROM i WHERE seq = 1
+    UNION ALL SELECT i.doc, i.seq, w.line + CASE WHEN abs(w.y - i.y) <= w.size * 0.5 THEN 0 ELSE 1 END, CASE WHEN abs(w.y - i.y) <= w.size * 0.5 THEN w.y ELSE i.y END,
+      CASE WHEN abs(w.y - i.y) <= w.size * 0.5 THEN greatest(w.size, i.size) ELSE i.size END, i.x FROM walk w JOIN i ON i.doc = w.doc AND i.seq = w.seq + 1)
+  SELECT doc, CAST(line AS INT) AS line, count(*) AS n_items, CAST(max(size) AS DOUBLE) AS size, CAST(arg_min(x, seq) AS DOUBLE) AS x FROM walk GROUP BY doc, line""",
 )
 def pdf_line_islands(s, d):
-    """Every positioned item of a page ends up in exactly one line."""
+    """Positioned items of a page as lines."""
     from pyspark.sql import Window
 
     from ..sources.pdf import lines
@@ -630,6 +633,347 @@ def pdf_line_islands(s, d):
     order = [c.strip() for c in views.ORDER.split(",")]
     items = table(s, d, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("uri"), F.lit(1).alias("page"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).alias("seq"), F.lit("w").alias("str"),
-        F.col("l_suppkey").cast("double").alias("x"), (F.col("l_partkey") % 3 * 10).cast("double").alias("y"), F.lit(5.0).alias("w"), F.lit(10.0).alias("size"),
+        F.col("l_suppkey").cast("double").alias("x"), (F.col("l_partkey") % 3 * 4).cast("double").alias("y"), F.lit(5.0).alias("w"), (8 + F.col("l_linenumber") % 3).cast("double").alias("size"),
     )
-    return lines(items).groupBy(F.col("uri").cast("long").alias("doc")).agg(F.sum("n_items").cast("long").alias("n_items"))
+    return lines(items).select(F.col("uri").cast("long").alias("doc"), "line", "n_items", "size", "x")
+
+
+# ---- reports
+
+_SEVERITY_NAME = "CASE severity " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.SEVERITY_LABELS.items()) + " END"
+_AXIS_NAME = "CASE axis " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.AXIS_LABELS.items()) + " END"
+
+
+@query(
+    "export_summary",
+    f"""WITH {SCORED}, t AS (SELECT uri, CAST(floor(structure * 0.35 + context * 0.45 + metadata * 0.20 + 0.5 + 1e-9) AS INT) AS total FROM axes),
+  n AS (SELECT uri, count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM found GROUP BY uri)
+  SELECT uri AS file, uri AS path, total, CASE WHEN total >= 90 THEN 'A' WHEN total >= 75 THEN 'B' WHEN total >= 60 THEN 'C' ELSE 'D' END AS grade, coalesce(error, 0) AS error, coalesce(warning, 0) AS warning, coalesce(info, 0) AS info, '완료' AS state
+  FROM t LEFT JOIN n USING (uri)""",
+)
+def export_summary(s, d):
+    from ..sources.exports import summary_rows
+
+    docs, found = views.documents(s, d), _found(s, d)
+    return summary_rows(docs, score.scores(docs, found), found)
+
+
+@query(
+    "export_findings",
+    f"""WITH {FOUND}, {BODY}, q AS (SELECT uri, id, substring(CASE WHEN t = '' THEN kind ELSE t END, 1, 120) AS q FROM (SELECT uri, id, kind, trim(regexp_replace(CASE kind WHEN 'image' THEN coalesce(alt, caption, asset_ref) WHEN 'macro' THEN coalesce(rendered_text, name) WHEN 'slide' THEN 'slide' ELSE body END, '\\s+', ' ', 'g')) AS t FROM body))
+  SELECT f.uri AS file, {_SEVERITY_NAME} AS severity, rule_id, {_AXIS_NAME} AS axis, CASE WHEN f.block_id IS NULL OR q.q IS NULL THEN '문서 전체' ELSE '"' || q.q || '"' END AS place, {_WHY_CASE} AS why
+  FROM found f LEFT JOIN q ON q.uri = f.uri AND q.id = f.block_id""",
+)
+def export_findings(s, d):
+    from ..sources.exports import finding_rows
+    from ..sources.wiki import with_quotes
+
+    blocks = with_quotes(views.blocks(s, d).withColumn("xpath", F.lit("")))
+    return finding_rows(views.documents(s, d), rules.with_anchors(_found(s, d), blocks)).select("file", "severity", "rule_id", "axis", "place", "why")
+
+
+_TRACE_WHY = {
+    "trc001": "'no document in the index defines ' || subject_id", "trc002": "'the document doesn''t say which requirement it answers'", "trc003": "'no document that refers to ' || subject_id || ' names a test'",
+    "trc004": "len(string_split(documents, ',')) || ' documents define ' || subject_id || '; which of them holds is open'",
+    "trc005": "substring(id, length('TRC005:' || documents || ':') + 1) || ' isn''t in the index: the link is broken, or the document not yet read'",
+}
+query(
+    "export_trace",
+    f"""WITH t AS ({' UNION ALL '.join(f"SELECT upper('{k}') AS rule_id, *, {w} AS why FROM ({views.with_views(TRACE_SQL[k])})" for k, w in _TRACE_WHY.items())}),
+  named AS (SELECT t.id, string_agg(d.title || ' (' || d.uri || ')', chr(10) ORDER BY d.uri) AS documents FROM (SELECT id, unnest(string_split(documents, ',')) AS uri FROM t) t JOIN docs_ord d USING (uri) GROUP BY t.id)
+  SELECT {_SEVERITY_NAME} AS severity, rule_id, coalesce(subject_id, '') AS subject_id, named.documents, why,
+    CAST(row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, rule_id, t.id) AS INT) AS nth FROM t JOIN named ON named.id = t.id""",
+)(lambda s, d: _export_trace(s, d))
+
+
+def _export_trace(s, d) -> DataFrame:
+    """The trace report with the place of each row: a report for reading is one list, numbered on one task."""
+    from pyspark.sql import Window
+
+    from ..sources.exports import trace_rows
+
+    found = trace.trace_findings(views.documents(s, d), _mentions(s, d), views.links(s, d))
+    nth = F.row_number().over(Window.orderBy(*trace.trace_order()))
+    ranked = found.withColumn("confidence", nth.cast("double"))
+    return trace_rows(ranked, "confidence").select("severity", "rule_id", "subject_id", "documents", "why", F.col("confidence").cast("int").alias("nth"))
+
+
+query(
+    "anchor_sentence",
+    """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN '문서 전체' WHEN 1 THEN p_size || '쪽' WHEN 2 THEN p_size || '번 슬라이드' WHEN 3 THEN p_brand || ' 시트' WHEN 4 THEN p_brand || ' 시트 A1:' || p_size WHEN 5 THEN (p_size + 1) || '번째 문단' ELSE '"' || p_name || '"' END AS place FROM part""",
+)(lambda s, d: _anchor_sentences(s, d))
+
+
+def _anchor_sentences(s, d) -> DataFrame:
+    k, fields = F.col("p_partkey") % 7, model.schema(f"a {model.ANCHOR}")["a"].dataType
+    kinds = F.when(k == 1, "pdf").when(k == 2, "pptx").when(k.isin(3, 4), "xlsx").when(k == 5, "docx").when(k == 6, "confluence")
+    size = F.col("p_size")
+    values = {"kind": kinds, "page": size, "slide": size, "sheet": F.col("p_brand"), "range": F.when(k == 4, F.concat(F.lit("A1:"), size.cast("string"))), "paragraph_index": size, "quote_exact": F.col("p_name")}
+    anchor = F.struct(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    return table(s, d, "part").withColumn("anchor", F.when(k != 0, anchor)).select("p_partkey", text.anchor_sentence().alias("place"))
+
+
+query(
+    "anchor_locate",
+    f"""WITH {BODY}, t AS (SELECT uri, id, pos, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS q FROM body), a AS (SELECT DISTINCT uri, substring(q, 1, 120) AS quote_exact FROM t WHERE q <> '')
+  SELECT a.uri, a.quote_exact, arg_min(t.id, length(t.q) * 100000 + t.pos) AS id FROM a JOIN t ON t.uri = a.uri AND contains(t.q, left(a.quote_exact, 40)) GROUP BY a.uri, a.quote_exact""",
+)(lambda s, d: enrich.locate(views.blocks(s, d).select("uri", F.substring(text.squeezed(text.block_text()), 1, 120).alias("quote_exact")).where("quote_exact != ''"), views.blocks(s, d)))
+query("truncated_documents", "SELECT uri, max(pos) >= 3 AS truncated FROM blocks_li GROUP BY uri")(lambda s, d: enrich.truncated(views.blocks(s, d), 3))
+query(
+    "error_kinds",
+    """SELECT p_partkey, CASE st WHEN 401 THEN 'unauthorized' WHEN 403 THEN 'forbidden' WHEN 429 THEN 'quota' ELSE 'server' END AS status_kind,
+    CASE WHEN st IN (401, 403) OR regexp_matches(msg, 'api key|unauthorized|permission denied', 'i') THEN 'auth' WHEN st = 429 OR regexp_matches(msg, 'rate limit|quota|resource_exhausted', 'i') THEN 'rate-limit'
+      WHEN st = 504 OR regexp_matches(msg, 'timeout|timed out|deadline', 'i') THEN 'timeout' ELSE 'unknown' END AS model_kind
+  FROM (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 429 WHEN 3 THEN 504 WHEN 4 THEN 500 ELSE 200 END AS st,
+    CASE p_partkey % 5 WHEN 0 THEN 'API key is wrong' WHEN 1 THEN 'RESOURCE_EXHAUSTED' WHEN 2 THEN 'It timed out' WHEN 3 THEN 'Permission denied' ELSE 'boom' END AS msg FROM part)""",
+)(
+    lambda s, d: table(s, d, "part")
+    .withColumn("st", F.expr("case p_partkey % 6 when 0 then 401 when 1 then 403 when 2 then 429 when 3 then 504 when 4 then 500 else 200 end"))
+    .withColumn("msg", F.expr("case p_partkey % 5 when 0 then 'API key is wrong' when 1 then 'RESOURCE_EXHAUSTED' when 2 then 'It timed out' when 3 then 'Permission denied' else 'boom' end"))
+    .select("p_partkey", text.status_kind(F.col("st")).alias("status_kind"), text.model_error_kind(F.col("st"), F.col("msg")).alias("model_kind"))
+)
+query("link_status_of", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'unchecked' WHEN 1 THEN 'broken' WHEN 2 THEN 'broken' ELSE 'ok' END AS status FROM part")(
+    lambda s, d: table(s, d, "part").select("p_partkey", stores.status_of(F.expr("case p_partkey % 5 when 0 then null when 1 then 404 when 2 then 410 when 3 then 401 else 200 end")).alias("status"))
+)
+query("override_upsert", "SELECT 'doc-' || o_custkey AS uri, max(o_orderdate) AS at, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS doc_type FROM orders GROUP BY o_custkey")(
+    lambda s, d: stores.upsert(*_overrides(s, d), ["uri"], "at", "tie").select("uri", "at", "doc_type")
+)
+
+
+def _overrides(s, d) -> tuple[DataFrame, DataFrame]:
+    """Type overrides, of which those of a uri's latest day are all among the new ones."""
+    o = table(s, d, "orders").select(F.concat(F.lit("doc-"), F.col("o_custkey").cast("string")).alias("uri"), F.col("o_orderdate").alias("at"), F.col("o_orderpriority").alias("doc_type"), F.col("o_orderkey").alias("tie"))
+    from pyspark.sql import Window
+
+    last = F.max("at").over(Window.partitionBy("uri")) == F.col("at")
+    return o.withColumn("l", last).where("not l").drop("l"), o.withColumn("l", last).where("l").drop("l")
+
+
+query("answer_fences", "SELECT conv_id, turn, coalesce(text, '') AS body, coalesce(text, '') AS joined FROM conversations")(
+    lambda s, d: table(s, d, "conversations")
+    .withColumn("t", F.coalesce("text", F.lit("")))
+    .withColumn("fenced", F.concat(F.lit("  ```json\n"), F.to_json(F.struct("t")), F.lit("\n```\n")))
+    .withColumn("parts", F.to_json(F.array(F.struct(F.left("t", F.lit(7)).alias("text")), F.struct(F.substring("t", 8, 1 << 30).alias("text")))))
+    .select("conv_id", "turn", F.from_json(grounding.unfenced(F.col("fenced")), "t string")["t"].alias("body"), grounding.answer_text(F.col("parts")).alias("joined"))
+)
+
+# ---- sources, prompts and answers over fixtures, against rows written by hand
+
+
+def _values(columns: str, *rows: tuple, types: str = "") -> str:
+    def one(x) -> str:
+        if isinstance(x, str):
+            return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+        return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x)
+
+    casts = dict(t.split(":") for t in types.split()) if types else {}
+    picked = ", ".join(f"CAST({c} AS {casts[c]}) AS {c}" if c in casts else c for c in columns.split())
+    return f"SELECT {picked} FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({', '.join(columns.split())})"
+
+
+@query(
+    "wiki_blocks",
+    _values(
+        "uri pos id kind level path body attr depth xpath quote_prefix quote_suffix",
+        ("u", 0, "b1", "heading", 1, "1", "Title", None, None, "./h1", None, "Some text"),
+        ("u", 1, "b2", "paragraph", None, "1", "Some text", None, None, "./p[1]", "Title", "Mind this"),
+        ("u", 2, "b3", "callout", None, "1", "Mind this", "info", None, "", "Some text", "Deep"),
+        ("u", 3, "b4", "heading", 3, "1.0.1", "Deep", None, None, "./h3", "Mind this", "Part"),
+        ("u", 4, "b5", "heading", 2, "1.1", "Part", None, None, "./h2", "Deep", "Name Value a 1"),
+        ("u", 5, "b6", "table", None, "1.1", "Name Value a 1", None, None, "./table", "Part", "See and this site and up"),
+        ("u", 6, "b7", "paragraph", None, "1.1", "See and this site and up", None, None, "./p[2]", "Name Value a 1", "one two"),
+        ("u", 7, "b8", "list", None, "1.1", "one two", None, 1, "./ul", "See and this site and up", "in"),
+        ("u", 8, "b9", "list", None, "1.1", "in", None, 2, "./ul/li[2]/ul", "one two", "A flow"),
+        ("u", 9, "b10", "image", None, "1.1", "A flow", "flow.png", None, "", "in", '{"a": "<b>"}'),
+        ("u", 10, "b11", "code", None, "1.1", '{"a": "<b>"}', "json", None, "", "A flow", "drawio"),
+        ("u", 11, "b12", "macro", None, "1.1", "", "drawio", None, "", '{"a": "<b>"}', None),
+        ("html", 0, "b1", "paragraph", None, "", "one", None, None, "./p[1]", None, "twothree"),
+        ("html", 1, "b2", "paragraph", None, "", "twothree", None, None, "./p[2]", "one", "q"),
+        ("html", 2, "b3", "callout", None, "", "q", "quote", None, "./blockquote", "twothree", None),
+        types="level:INT depth:INT",
+    ),
+)
+def wiki_blocks(s, d):
+    from ..sources.wiki import page_blocks
+
+    b = page_blocks(fixtures.pages(s))
+    attr = F.coalesce("variant", "asset_ref", "lang", "name")
+    return b.select("uri", "pos", "id", "kind", "level", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), text.block_text().alias("body"), attr.alias("attr"), "depth", "anchor.xpath", "anchor.quote_prefix", "anchor.quote_suffix")
+
+
+@query(
+    "wiki_links",
+    _values(
+        "uri link_pos block_id body href target resolved_title status",
+        ("u", 0, "b7", "this site", "https://x.example/a", "external", None, "unchecked"),
+        ("u", 1, "b7", "up", "#top", "anchor", None, "unchecked"),
+        ("u", 2, "b7", "Other page", "/display/S/Other%20page", "internal", "Other page", "unchecked"),
+    ),
+)
+def wiki_links(s, d):
+    from ..sources.wiki import page_links
+
+    return page_links(fixtures.pages(s).where("uri = 'u'").distinct(), base_url="https://wiki.example/").withColumnRenamed("text", "body")
+
+
+@query(
+    "wiki_documents",
+    _values(
+        "uri version modified_at author space title doc_type doc_type_confidence doc_type_origin labels ancestors page_id",
+        ("https://wiki.example/pages/viewpage.action?pageId=7", "3", "2026-01-02", "Ann", "S", "Plan", "meeting-notes", 0.9, "label", "x, Meeting  Notes ", "Home", "7"),
+        ("https://wiki.example/pages/viewpage.action?pageId=8", "3", None, "Ann", "S", "Steps", "guide", 0.8, "template", "", "Home", "8"),
+        ("https://wiki.example/pages/viewpage.action?pageId=9", "3", "2026-01-02", None, "S", "Else", "unknown", 0.0, "llm", "", "Home", "9"),
+        types="doc_type_confidence:DOUBLE",
+    ),
+)
+def wiki_documents(s, d):
+    from ..sources.wiki import page_documents, page_id
+
+    out = page_documents(fixtures.payloads(s), "https://wiki.example/")
+    join = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("uri", "version", "modified_at", "author", "space", "title", "doc_type", "doc_type_confidence", "doc_type_origin", join("labels"), join("ancestors"), page_id(F.col("uri")).alias("page_id"))
+
+
+@query(
+    "office_blocks",
+    _values(
+        "uri pos id kind level path body headers emphasized place",
+        ("/d/a.docx", 0, "b1", "heading", 1, "1", "Head", None, None, "1번째 문단"),
+        ("/d/a.docx", 1, "b2", "paragraph", None, "1", "Body text", None, None, "2번째 문단"),
+        ("/d/a.docx", 2, "b3", "paragraph", None, "1", "Looks like a head", None, True, "3번째 문단"),
+        ("/d/a.docx", 3, "b4", "list", None, "1", "one two", None, None, "4번째 문단"),
+        ("/d/a.docx", 4, "b5", "table", None, "1", "N V a 1 b 2", "N,V", None, "6번째 문단"),
+        ("/d/b.xlsx", 0, "b1", "heading", 1, "1", "First", None, None, "First 시트"),
+        ("/d/b.xlsx", 1, "b2", "table", None, "1", "Name Count a 1 b 2", "Name,Count", None, "First 시트 A1:B3"),
+        ("/d/c.v2.pptx", 0, "b1", "heading", 1, "1", "First slide", None, None, "1번 슬라이드"),
+        ("/d/c.v2.pptx", 1, "b2", "slide", None, "1", "Say this", None, None, "1번 슬라이드"),
+        ("/d/c.v2.pptx", 2, "b3", "list", None, "1", "x y", None, None, "1번 슬라이드"),
+        ("/d/c.v2.pptx", 3, "b4", "slide", None, "1", "", None, None, "2번 슬라이드"),
+        ("/d/c.v2.pptx", 4, "b5", "paragraph", None, "1", "Last", None, None, "2번 슬라이드"),
+        types="level:INT headers:VARCHAR emphasized:BOOLEAN",
+    ),
+)
+def office_blocks(s, d):
+    from ..sources.office import blocks
+
+    b = blocks(fixtures.parsed_office(s))
+    return b.select("uri", "pos", "id", "kind", "level", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), text.block_text().alias("body"), F.when(F.size("headers") > 0, F.array_join("headers", ",")).alias("headers"), F.col("emphasized_as_heading").alias("emphasized"), text.anchor_sentence().alias("place"))
+
+
+@query(
+    "office_documents",
+    _values(
+        "uri source_kind title author failed",
+        ("/d/a.docx", "docx", "From core", "Ann", False), ("/d/b.xlsx", "xlsx", "b", None, False), ("/d/c.v2.pptx", "pptx", "c.v2", None, False), ("/d/bad.docx", "docx", "bad", None, True),
+    ),
+)
+def office_documents(s, d):
+    return fixtures.parsed_office(s).select("uri", "source_kind", "title", "author", F.col("error").isNotNull().alias("failed"))
+
+
+@query(
+    "pdf_blocks",
+    _values(
+        "uri pos id kind level body page x y width size",
+        ("u", 0, "b1", "heading", 1, "Big title", 1, 10, 700, 25, 20), ("u", 1, "b2", "paragraph", None, "body one more next", 1, 40, 650, 15, 10), ("u", 2, "b3", "heading", 2, "Sub", 1, 70, 600, 5, 14),
+        ("u", 3, "b4", "paragraph", None, "end of it", 1, 80, 580, 5, 10), ("u", 4, "b5", "paragraph", None, "page two", 2, 0, 700, 5, 10), ("v", 0, "b1", "paragraph", None, "plain", 1, 0, 9, 5, 10),
+        types="level:INT x:DOUBLE y:DOUBLE width:DOUBLE size:DOUBLE",
+    ),
+)
+def pdf_blocks(s, d):
+    from ..sources import pdf
+
+    box = lambda i, c: F.get("anchor.bbox", F.lit(i)).alias(c)
+    return pdf.blocks(fixtures.pdf_items(s)).select("uri", "pos", "id", "kind", "level", F.col("text").alias("body"), "anchor.page", box(0, "x"), box(1, "y"), box(2, "width"), box(3, "size"))
+
+
+@query(
+    "ir_json",
+    _values(
+        "uri part body more",
+        ("u", "document", "T", "guide user l"), ("u", "block", "b1 H", "1"), ("u", "block", "b2 x y", "true"), ("u", "link", "b1 /y", "internal ok"), ("bad", "reject", "doc_type", None), ("later", "reject", "schema", None), (None, "reject", "schema", None),
+    ),
+)
+def ir_json(s, d):
+    from ..sources.files import split_ir
+
+    docs, blocks, links, rejects = split_ir(fixtures.ir_lines(s))
+    row = lambda df, part, body, more: df.select("uri", F.lit(part).alias("part"), body.alias("body"), more.alias("more"))
+    out = row(docs, "document", F.col("title"), F.concat_ws(" ", "doc_type", "doc_type_origin", "labels"))
+    out = out.unionByName(row(blocks, "block", F.concat_ws(" ", "id", text.block_text()), F.coalesce(F.col("level").cast("string"), F.col("ordered").cast("string"))))
+    out = out.unionByName(row(links, "link", F.concat_ws(" ", "block_id", "href"), F.concat_ws(" ", "target", "status")))
+    return out.unionByName(row(rejects, "reject", F.col("reject_reason"), F.lit(None).cast("string")))
+
+
+@query(
+    "ruleset_yaml",
+    _values("rule_id enabled severity limit_ applies_to", ("STR002", True, "info", 2000, None), ("STR003", False, "warning", 1500, None), ("META003", True, "info", None, "design,guide"), types="limit_:DOUBLE"),
+)
+def ruleset_yaml(s, d):
+    said = "{id: own, name: Own, version: 2, rules: {STR002: {severity: info, options: {minChars: 2000}}, STR003: {enabled: false}, META003: {appliesTo: [design, guide]}}}"
+    t = rule_table(s, from_yaml(said)).where(F.col("rule_id").isin("STR002", "STR003", "META003"))
+    return t.select("rule_id", "enabled", "severity", F.get(F.map_values("options"), F.lit(0)).alias("limit_"), F.array_join("applies_to", ",").alias("applies_to"))
+
+
+@query(
+    "analysis_end_to_end",
+    _values("uri status chunks rejected calls rule_id block_id why", ("long", "ok", 2, 0, 3, None, None, None), ("short", "ok", 1, 1, 1, "CTX001", "b1", "of what?"), ("bad", "failed", 1, 0, 1, None, None, None)),
+)
+def analysis_end_to_end(s, d):
+    """A made-up model's analysis of whole documents: status and calls of each, and what it found."""
+    docs, blocks = fixtures.long_corpus(s)
+    found, state = grounding.analyze(docs, blocks, fixtures.model_answer, kept, limit=400)
+    return state.join(found.select("uri", "rule_id", "block_id", "why"), "uri", "left").select("uri", "status", "chunks", "rejected", "calls", "rule_id", "block_id", "why")
+
+
+@query(
+    "summary_prompts",
+    _values("uri body summary", ("long", "<!--b:b1--> # Part\n\n<!--b:b2--> " + "x" * 300 + "\n\n<!--b:b3--> # Next\n\n<!--b:b4--> " + "y" * 300, "It is long.")),
+)
+def summary_prompts(s, d):
+    _, blocks = fixtures.long_corpus(s)
+    p = kept(grounding.ask(grounding.summary_prompts(blocks, 400), fixtures.model_answer), "summaries")
+    return p.join(grounding.summaries(p), "uri", "left").select("uri", F.col("user").alias("body"), "summary")
+
+
+@query("type_prompts", _values("uri body doc_type confidence", ("bad", "Title bad\n\nboom", "design", 0.75), types="confidence:DOUBLE"))
+def type_prompts(s, d):
+    docs, blocks = fixtures.long_corpus(s)
+    p = grounding.doc_type_prompts(docs, blocks)
+    said = grounding.inferred_types(p.select("uri", F.lit('```json\n{"value": "design", "confidence": 0.75}\n```').alias("answer")))
+    return p.join(said, "uri").select("uri", F.col("user").alias("body"), "doc_type", "confidence")
+
+
+@query(
+    "pair_prompts",
+    _values(
+        "uri_a uri_b body",
+        ("w/1", "w/2", "Identifiers: REQ-002, REQ-003\n\n[A] Rules\n- REQ-001 and REQ-002: at most 3 retries.\n- REQ-003 holds\n\n[B] REQ-003 in detail\n- REQ-003 in detail\n- REQ-002 allows 5 retries, REQ-003"),
+        ("w/1", "w/3", "Identifiers: REQ-001, REQ-003\n\n[A] Rules\n- REQ-001 and REQ-002: at most 3 retries.\n- REQ-003 holds\n\n[B] TC-101 and TC-102\n- They test REQ-001 and REQ-003"),
+        ("w/2", "w/3", "Identifiers: REQ-003\n\n[A] REQ-003 in detail\n- REQ-003 in detail\n- REQ-002 allows 5 retries, REQ-003\n\n[B] TC-101 and TC-102\n- They test REQ-001 and REQ-003"),
+    ),
+)
+def pair_prompts(s, d):
+    docs, blocks, _ = fixtures.corpus(s)
+    m = kept(trace.mentions(docs, blocks), "mentions")
+    pairs = kept(trace.top_pairs(m), "pairs")
+    return grounding.pair_prompts(pairs, trace.pair_snippets(m, pairs), docs).select("uri_a", "uri_b", F.col("user").alias("body"))
+
+
+@query(
+    "trace_end_to_end",
+    _values(
+        "id severity documents titles subject_id source document_count id_count pairs_considered pairs_analyzed",
+        ("TRC001:REQ-014", "error", "w/4", "Else", "REQ-014", "rule", 4, 6, 3, 3), ("TRC003:REQ-002", "warning", "w/1", "Rules", "REQ-002", "rule", 4, 6, 3, 3),
+        ("TRC004:REQ-003", "error", "w/1,w/2", "Rules,REQ-003 in detail", "REQ-003", "rule", 4, 6, 3, 3), ("TRC005:w/2:w/9", "info", "w/2", "REQ-003 in detail", None, "rule", 4, 6, 3, 3),
+        ("TRC006:w/1:w/2:REQ-002", "error", "w/1,w/2", "Rules,REQ-003 in detail", "REQ-002", "llm", 4, 6, 3, 3),
+    ),
+)
+def trace_end_to_end(s, d):
+    """Findings across documents, a made-up model's contradictions among them, beside the summary."""
+    from ..engine import Engine
+
+    found, one = Engine(s).trace(*fixtures.corpus(s), fixtures.model_answer)
+    join = lambda c: F.array_join(c, ",").alias(c)
+    counts = one.select("document_count", "id_count", "pairs_considered", "pairs_analyzed")
+    return found.select("id", "severity", join("documents"), join("titles"), "subject_id", "source").crossJoin(F.broadcast(counts))  # one row

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
+from . import office, pdf
 
 EXTENSIONS = ("docx", "pptx", "xlsx", "pdf")
 MAX_DEPTH = 8
@@ -50,3 +51,25 @@ def split_ir(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     )
     ln = valid.select("uri", F.posexplode("links").alias("link_pos", "l")).select("uri", "link_pos", F.col("l.blockId").alias("block_id"), "l.text", "l.href", "l.target", F.col("l.resolvedTitle").alias("resolved_title"), "l.status")
     return model.complete(valid, model.DOCUMENTS), model.complete(b, model.BLOCKS), model.complete(ln, model.LINKS), rejects
+
+
+def parse(files: DataFrame, pdf_reader=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """documents, blocks, and uri and error of what can't be read, of files of all known kinds (as ``scan`` gives them).
+
+    ``pdf_reader`` gives the text items of a PDF's bytes (see pdf.items); without one PDF files are errors."""
+    office_files = office.parse_files(files)
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    of_pdf = files.where(F.lower("path").endswith(".pdf"))
+    if pdf_reader is None:
+        failed = of_pdf.select(F.col("path").alias("uri"), F.lit("no reader for PDF files").alias("error"))
+        none = files.sparkSession.createDataFrame([], pdf.ITEMS)
+        found = pdf.blocks(none)
+    else:
+        items, empty = pdf.items(of_pdf, pdf_reader)
+        failed = empty.where("error is not null")
+        found = pdf.blocks(items)
+    own = [F.col(c).cast("string").alias(c) if c in files.columns else F.lit(None).cast("string").alias(c) for c in ("author", "modified_at")]
+    docs = of_pdf.select(F.col("path").alias("uri"), stem.alias("title"), *own).join(failed.select("uri"), "uri", "left_anti")
+    docs = docs.select("*", F.lit("pdf").alias("source_kind"), F.lit("unknown").alias("doc_type"), F.lit(0.0).alias("doc_type_confidence"), F.lit("llm").alias("doc_type_origin"), F.array().cast("array<string>").alias("labels"))
+    errors = office_files.where("error is not null").select("uri", "error").unionByName(failed)
+    return office.documents(office_files).unionByName(model.complete(docs, model.DOCUMENTS)), office.blocks(office_files).unionByName(found), errors

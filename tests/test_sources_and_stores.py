@@ -91,13 +91,32 @@ def test_office_files(spark):
 
 
 def test_pdf_items(spark):
-    items = [("u", 1, i, t, 0.0, y, 5.0, z) for i, (t, y, z) in enumerate([("Big", 700.0, 20.0), ("title", 700.0, 20.0), ("body one", 650.0, 10.0), ("more", 648.0, 10.0), ("next line", 630.0, 10.0), ("Sub", 600.0, 14.0), ("end of it", 580.0, 10.0)])]
-    df = spark.createDataFrame(items, "uri string, page int, seq int, str string, x double, y double, w double, size double")
-    got = [(r["kind"], r["level"], r["text"]) for r in pdf.blocks(df).orderBy("pos").collect()]
-    assert got == [("heading", 1, "Big title"), ("paragraph", None, "body one more next line"), ("heading", 2, "Sub"), ("paragraph", None, "end of it")]
+    """Items stand as they are, spaces among them; a space that no line is there for opens none."""
+    rows = [(" ", 720.0, 10.0), ("Big", 700.0, 20.0), (" ", 700.0, 20.0), ("title", 700.0, 20.0), ("", 700.0, 90.0), ("body one", 650.0, 10.0), (" more", 648.0, 10.0), ("next", 630.0, 10.0), ("line", 626.0, 10.0), ("Sub", 600.0, 14.0), ("end of it", 580.0, 10.0)]
+    df = spark.createDataFrame([("u", 1, i, t, 10.0 * i, y, 5.0, z) for i, (t, y, z) in enumerate(rows)], pdf.ITEMS)
+    got = [(r["kind"], r["level"], r["text"], r["anchor"]["bbox"]) for r in pdf.blocks(df).orderBy("pos").collect()]
+    assert got == [("heading", 1, "Big title", [10.0, 700.0, 25.0, 20.0]), ("paragraph", None, "body one more nextline", [50.0, 650.0, 15.0, 10.0]), ("heading", 2, "Sub", [90.0, 600.0, 5.0, 14.0]), ("paragraph", None, "end of it", [100.0, 580.0, 5.0, 10.0])]
     assert pdf.blocks(df.limit(0)).count() == 0
 
 
+def test_files_of_all_kinds(spark):
+    """Kinds are told apart by extension; what the caller knows of a file outweighs its properties; damaged files are errors."""
+    book = exports.workbook([("First", ("Name", "Count"), [("a", 1)])])
+    rows = [("/d/b.xlsx", bytearray(book), "2026-01-01"), ("/d/Report.v2.PDF", bytearray(b"one two"), "2026-02-02"), ("/d/bad.pdf", bytearray(b""), None), ("/d/x.txt", bytearray(b""), None)]
+    src = spark.createDataFrame(rows, "path string, content binary, modified_at string")
+
+    def reader(data):
+        if not data:
+            raise ValueError("no pages")
+        return [(1, w, 0.0, 700.0 - 20 * i, 9.0, 10.0) for i, w in enumerate(data.decode().split())]
+
+    docs, blocks, errors = files.parse(src, reader)
+    assert {r["uri"]: (r["source_kind"], r["title"], r["modified_at"]) for r in docs.collect()} == {"/d/b.xlsx": ("xlsx", "b", "2026-01-01"), "/d/Report.v2.PDF": ("pdf", "Report.v2", "2026-02-02")}
+    assert [r["text"] for r in blocks.where("uri like '%PDF'").collect()] == ["one two"]
+    assert [tuple(r) for r in errors.collect()] == [("/d/bad.pdf", "ValueError: no pages")]
+    assert sorted(r["uri"] for r in files.parse(src)[2].collect()) == ["/d/Report.v2.PDF", "/d/bad.pdf"]
+
+
 def test_json_and_lines(spark, tmp_path):
     good = {"schemaVersion": 1, "source": {"kind": "docx", "uri": "u"}, "title": "T", "docType": {"value": "guide", "confidence": 1, "origin": "user"}, "blocks": [{"id": "b1", "kind": "heading", "level": 1, "text": "H", "path": [1]}], "links": [{"blockId": "b1", "text": "x", "href": "/y", "target": "internal"}], "metadata": {"labels": ["l"]}}
     bad = good | {"docType": {"value": "poem", "confidence": 1, "origin": "user"}}
