@@ -44,11 +44,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, at a place that outlives executors."""
+def kept(df: DataFrame, name: str, **options) -> DataFrame:
+    """``df`` written to the shared folder (with the writer's ``options``) and read back: computed once, at a place that outlives executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
