@@ -62,6 +62,18 @@ def _encoder(path: str, pattern: str):
     return _ENCODERS[path, pattern]
 
 
+def _one_piece(encoder):
+    """Ids of one pre-token, given as bytes. The library's own call for it isn't public; where it is missing or differs, the
+    public one is used, whose pattern leaves a pre-token whole."""
+    core = getattr(getattr(encoder, "_core_bpe", None), "encode_single_piece", None)
+    try:
+        if core and all(core(x) == encoder.encode_ordinary(x.decode()) for x in (b"a", b" word", b" tokens")):
+            return core
+    except Exception:
+        pass
+    return lambda word: encoder.encode_ordinary(word.decode("utf-8"))
+
+
 def _pack(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers, byte plane by byte plane (the high planes of small numbers are all zero), compressed."""
     return zstandard.ZstdCompressor(level=3).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
@@ -126,7 +138,7 @@ def _encode_words(path: str, pattern: str):
     """Rows come sorted by bucket: the words of one bucket are kept while its rows last."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = _encoder(path, pattern)._core_bpe.encode_single_piece
+        one = _one_piece(_encoder(path, pattern))
         now, known = None, {}
         for batch in batches:
             lengths, ids = [], []
@@ -164,14 +176,20 @@ def _pieces(values: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _stored(path: str, block: str) -> Iterator[dict]:
-    """Rows of a block in its file of the block table, read one at a time."""
+    """Rows of a block in its file of the block table, each a row group of its own that the file's footer names."""
     from pyarrow import parquet
 
+    wanted = ["doc_ids", "sizes", "places", "buckets"]
     store, at = open_store(path)
     with store.open_input_file(at) as f:
-        for row in parquet.ParquetFile(f).iter_batches(batch_size=1, columns=["block", "doc_ids", "sizes", "places", "buckets"]):
-            if row.column("block")[0].as_py() == block:
-                yield {c: row.column(c)[0].as_py() for c in ("doc_ids", "sizes", "places", "buckets")}
+        file = parquet.ParquetFile(f)
+        for i in range(file.num_row_groups):
+            told = file.metadata.row_group(i).column(0).statistics
+            if told is not None and told.has_min_max and not told.min <= block <= told.max:
+                continue
+            for name, *row in zip(*(file.read_row_group(i, columns=["block", *wanted]).column(c).to_pylist() for c in ("block", *wanted)), strict=True):
+                if name == block:
+                    yield dict(zip(wanted, row, strict=True))
 
 
 def _reassemble(table=None):
@@ -206,7 +224,7 @@ def encode(docs: DataFrame, path: str, pattern: str, decode_too: bool = False) -
 
     A null text counts as empty and has no ids. A null doc_id is kept; rows that repeat are encoded
     each; other columns are not read; an empty table gives an empty result."""
-    blocks = materialise(text_rows(docs).mapInPandas(_blocks(pattern), _BLOCKS), "bpe-blocks")
+    blocks = materialise(text_rows(docs).mapInPandas(_blocks(pattern), _BLOCKS), "bpe-blocks", **{"parquet.block.row.count.limit": "1"})
     asked = blocks.select(F.col("block").alias("in_block"), F.col("_metadata.file_path").alias("path"), F.inline("asked"))
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_encode_words(path, pattern), "in_block string, path string, bucket int, lengths binary, ids binary")
     table = _shared_table(docs.sparkSession, path) if decode_too else None
