@@ -40,7 +40,8 @@ BLOCK = 256
 PIECE = 40
 #: The number that counts words like the word before.
 _REPEATS = 0
-MAX_CACHED = 600_000
+#: Words and bytes of them that a process keeps; more empty the cache, which changes no result.
+MAX_CACHED, MAX_CACHED_BYTES = 600_000, 64_000_000
 
 _SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S).sub
@@ -55,6 +56,7 @@ class _Words(dict):
 
     def __init__(self):
         self.pieces: dict[bytes, list[int]] = {}
+        self.bytes = 0
 
     def __missing__(self, word: bytes) -> int:
         shape = _RUNS(rb"\1", word.translate(_SHAPE))
@@ -63,11 +65,13 @@ class _Words(dict):
             self.pieces[word] = [zlib.crc32(shape[i : i + PIECE]) for i in range(0, len(shape), PIECE)]
             found |= _LONG
         self[word] = found
+        self.bytes += len(word)
         return found
 
     def clear(self) -> None:
         super().clear()
         self.pieces.clear()
+        self.bytes = 0
 
 
 _words = _Words()
@@ -79,8 +83,8 @@ def terms(text: str | None) -> np.ndarray:
     size = len(words)
     if not size:
         return np.zeros(DIMS, np.float32)
-    if len(_words) > MAX_CACHED:
-        _words.clear()  # bounds memory and changes no result
+    if len(_words) > MAX_CACHED or _words.bytes > MAX_CACHED_BYTES:
+        _words.clear()
     packed = np.fromiter(map(_words.__getitem__, words), np.int64, size)
     long = packed >= _LONG
     shape, word = packed & _LOW, (packed & ~_LONG) >> 32
@@ -107,13 +111,18 @@ class Model:
         return _unit(_unit(rows * self.idf) @ self.basis)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """0 for a text without words, whose vector is zero; the labels' mean where no neighbour is similar at all."""
+        """0 for a text without words, whose vector is zero; the labels' mean where no neighbour is similar at all.
+
+        Of equally near neighbours those of smaller doc_id vote."""
         rows = np.stack([terms(t) for t in texts])
         if not len(self.labels):
             return np.zeros(len(rows))
         cosines = self.latent(rows) @ self.vectors.T
         k = min(NEAREST, len(self.labels))
-        top = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        least = np.partition(cosines, -k, axis=1)[:, -k, None]
+        nearer, equal = cosines > least, cosines == least
+        room = k - nearer.sum(axis=1, keepdims=True)
+        top = np.nonzero(nearer | (equal & (np.cumsum(equal, axis=1) <= room)))[1].reshape(len(cosines), k)
         weight = np.maximum(np.take_along_axis(cosines, top, axis=1), 0).astype(float) ** POWER
         total = weight.sum(axis=1)
         vote = np.divide((weight * self.labels[top]).sum(axis=1), total, out=np.full(len(rows), float(self.labels.mean())), where=total > 0)
@@ -138,19 +147,20 @@ def _fit_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [terms(t) for t in batch["t"]]
         slots = [np.flatnonzero(x) for x in found]
-        yield pd.DataFrame({"id": batch["id"], "q": batch["q"], "slots": slots, "weights": [x[i] for x, i in zip(found, slots, strict=True)]})
+        yield pd.DataFrame({"h": batch["h"], "id": batch["id"], "q": batch["q"], "slots": slots, "weights": [x[i] for x, i in zip(found, slots, strict=True)]})
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from labelled documents that aren't held out. Rows without text, identifier or label teach nothing;
-    a document that has several labels teaches each."""
+    a document that has several labels teaches each, and each text of a repeated doc_id, FIT_ROWS rows in all at most."""
     marked = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("q")).where("id is not null and q is not null").where(~held_out(F.col("id")))
     chosen = marked.orderBy(F.xxhash64("id"), "id", "q").limit(FIT_ROWS)
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("t")).where("t is not null")
     ship(docs.sparkSession)
-    # Terms of FIT_ROWS documents at most, of DIMS numbers each at most.
-    rows = texts.join(F.broadcast(chosen), "id").mapInPandas(_fit_terms, "id bigint, q int, slots array<int>, weights array<float>").toPandas()
-    rows = rows.sort_values(["id", "q"], kind="stable")
+    # FIT_ROWS identifiers; as identifiers may repeat, FIT_ROWS of their rows, of DIMS numbers each at most.
+    taught = texts.join(F.broadcast(chosen), "id").withColumn("h", F.xxhash64("id", "t"))
+    rows = taught.mapInPandas(_fit_terms, "h bigint, id bigint, q int, slots array<int>, weights array<float>").orderBy("h", "id", "q").limit(FIT_ROWS).toPandas()
+    rows = rows.sort_values(["id", "q", "h"], kind="stable")
     x = np.zeros((len(rows), DIMS), np.float32)
     for i, (slots, weights) in enumerate(zip(rows["slots"], rows["weights"], strict=True)):
         x[i, slots] = weights
