@@ -200,6 +200,16 @@ def test_quality_neighbours_against_brute_force():
         assert abs(s - sum(w * y for w, y in best) / sum(w for w, _ in best)) < 1e-4
 
 
+def test_quality_of_equal_neighbours_and_repeated_ids(spark, monkeypatch):
+    """Of equally near labelled texts the first by doc_id vote; a doc_id of very many labelled texts doesn't outgrow the model."""
+    rows = np.stack([op1_quality.terms(prose(1, 40))] * 40 + [op1_quality.terms(prose(i, 40, GERMAN)) for i in range(20)])
+    m = op1_quality.learn(rows, [1] * op1_quality.NEAREST + [0] * (60 - op1_quality.NEAREST))
+    assert m.score([prose(1, 40)])[0] == pytest.approx(1.0)
+    monkeypatch.setattr(op1_quality, "FIT_ROWS", 20)
+    docs = documents(spark, [(1, prose(i, 20), "en") for i in range(50)] + [(2, prose(99, 20), "en")])
+    assert len(op1_quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")).labels) <= 20
+
+
 def test_language(spark):
     rows = [(i, prose(i, 40, WORDS if i % 2 else GERMAN), "en" if i % 2 else "de") for i in range(80)]
     odd = [(100, None, "en"), (101, "", None), (102, "123 !? ² Ⅷ _", "de"), (103, "garten " * 20_000, None), (104, "ж" * 3000, None), (None, "river stone", "en"), (1, rows[1][1], "en")]
@@ -380,6 +390,90 @@ def test_neighbours_in_parts_of_crowded_cells(spark, monkeypatch):
     assert len(got) == 100 and hit >= 0.9 * 500
 
 
+def brute_pipeline(docs, labels, items):
+    """The five stages on one machine, one after the other: rows (doc_id, text, lang) in, {(doc_id, text)} of each stage out, and the ids."""
+    import hashlib
+
+    from folioscope.llm import op5_bpe
+
+    crc = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    taught = sorted((i, q, t) for i, q in labels if q is not None and not crc(i) for j, t, _ in docs if j == i and t is not None)
+    m = op1_quality.learn(np.stack([op1_quality.terms(t) for _, _, t in taught]), [q for _, q, _ in taught])
+    rows = [r for r in docs if m.score([r[1]])[0] >= 0.3]
+    out = [sorted(rows, key=str)]
+
+    vocabulary = op7_language.vocabulary(public.path("piece_bpe_32k.model"))
+    counts, seen = {}, {}
+    for i, t, lang in rows:
+        if lang is not None and t is not None and i is not None and not crc(i):
+            seen[lang] = seen.get(lang, 0) + 1
+            for w in op7_language._LETTERS.findall(t.lower()):
+                w = op7_language.MARK + w
+                counts.setdefault(lang, {})[w] = counts.get(lang, {}).get(w, 0) + 1
+    tongue = op7_language.learn(counts, seen, vocabulary)
+    told = [tongue.predict([t])[0] for _, t, _ in rows]
+    rows = [r for r, (lang, share) in zip(rows, told, strict=True) if lang != "und" and share >= 0.5]
+    out.append(sorted(rows, key=str))
+
+    texts = sorted({(i, t) for i, t, _ in rows}, key=str)
+    group = {texts[k]: c for k, (_, c) in brute_links({k: t for k, (_, t) in enumerate(texts)}, 5).items()}
+    best = {}
+    for x in texts:
+        best[group[x]] = min(best.get(group[x], x), x)
+    stay, kept = set(best.values()), []
+    for r in rows:
+        if r[:2] in stay:
+            stay.remove(r[:2])
+            kept.append(r)
+    out.append(sorted(kept, key=str))
+
+    known = {}
+    number = lambda t: np.array([known.setdefault(w, len(known)) for w in op3_decontaminate.words_of(t)], np.int64)
+    targets = [x for x in (number(t) for t in items) if len(x)]
+    leak = lambda t: any(op3_decontaminate.local_scores(x, number(t)[None])[0][0] >= 0.4 * len(x) for x in targets)
+    rows = [r for r in kept if not (r[1] and leak(r[1]))]
+    out.append(sorted(rows, key=str))
+
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = [(i, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes(), t or "") for i, t, _ in rows]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert op5_bpe
+    return out, sorted((i, len(x) // 4, sha(x), sha(t.encode())) for i, x, t in ids)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() on a small corpus with edited copies of documents and of benchmark items, nulls, empty texts, repeated rows and a clashing column."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    source = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    source = [r for r in source if len(r[1] or "") < 6000]
+    items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()][:40]
+    labels = [tuple(r) for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect()]
+    some = [r for r in source if len((r[1] or "").split()) > 80][:6]
+    rows = source + [(10_000 + i, edited(t, i, 0.01), lang) for i, (_, t, lang) in enumerate(some)]
+    rows += [(20_000 + i, f"{some[i % 6][1][:300]} {edited(x, i, 0.1)} {some[i % 6][1][-300:]}", "en") for i, x in enumerate(items[:8])]
+    rows += [(30_000, None, "en"), (30_001, "", None), (30_002, " \n", "en"), (some[0][0], some[0][1], some[0][2]), (30_003, some[1][1], None)]
+    spark.createDataFrame([(i, t, lang, "s", len(t or ""), "clash") for i, t, lang in rows], DOCS + ", score string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, q in labels] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([*enumerate(items), (99, None), (98, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    steps, want = brute_pipeline(rows, labels, items)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for (name, stage), step in zip(pipeline.STAGES, steps, strict=False):
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == columns and sorted(((r["doc_id"], r["text"], r["lang"]) for r in docs.collect()), key=str) == step, name
+    got = sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want and len(steps[0]) > len(steps[2]) > len(steps[3]) > 50
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
