@@ -117,18 +117,21 @@ def _counter(shingles: np.ndarray) -> np.ndarray:
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of a task's sets, in how many each counter's shingles stand."""
-    total = np.zeros(COUNTERS, np.int32)
+    total = np.zeros(COUNTERS, np.int64)
     for batch in batches:
         for s in batch["shingles"]:
-            total += np.bincount(_counter(np.asarray(s, np.int64).view(np.uint64)), minlength=COUNTERS).astype(np.int32)
-    yield pd.DataFrame({"counts": [total]})
+            np.add.at(total, _counter(np.asarray(s, np.int64).view(np.uint64)), 1)
+    found = np.flatnonzero(total)
+    yield pd.DataFrame({"counter": found.astype(np.int32), "n": total[found]})
 
 
 def commonness(sets: DataFrame, n: int) -> np.ndarray:
-    """How common the shingles of each counter are in about SAMPLE of n sets: at most a few arrays of COUNTERS numbers reach the driver."""
+    """How common the shingles of each counter are in about SAMPLE of n sets: one row a counter, COUNTERS at most, reaches the driver."""
     drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 32)) / (1 << 32) < SAMPLE / max(n, 1)
-    counts = sets.where(drawn).repartition(4, "id").mapInPandas(_counted, "counts array<int>").toPandas()["counts"]
-    return sum((np.asarray(c, np.int64) for c in counts), np.zeros(COUNTERS, np.int64))
+    counts = sets.where(drawn).mapInPandas(_counted, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(COUNTERS, np.int64)
+    out[counts["counter"]] = counts["n"]
+    return out
 
 
 def _prefixes(shared, percent: int):
@@ -244,14 +247,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     close = close.join(bits("a"), "a").join(bits("b"), "b").where(estimate("bits_a", "bits_b") >= least).select("a", "b")
 
     close = materialise(close, "close")
-    more = materialise(_confirm(close, _sets_of(_ends(close), docs, nodes, k), percent), "across")
-
     many = materialise(mixed_members.where(F.col("size") > SMALL).select("id", "component").distinct(), "crowded")
     n_many = many.count()
-    if n_many:
-        sets = _sets_of(many.select("id"), docs, nodes, k)
-        able = _crowded(many, sets, n_many, percent).join(stars, ["a", "b"], "left_anti")
-        more = materialise(more.union(_confirm(able, sets, percent)).distinct(), "across")
+    more = close
+    if n_many or not close.isEmpty():
+        # One pass over the texts gives the sets that either way needs.
+        sets = _sets_of(_ends(close).union(many.select("id")).distinct(), docs, nodes, k)
+        if n_many:
+            more = close.union(_crowded(many, sets, n_many, percent).join(stars, ["a", "b"], "left_anti")).distinct()
+        more = materialise(_confirm(more, sets, percent), "across")
     if not more.isEmpty():
         found = components(links.union(more))
 
