@@ -74,50 +74,22 @@ def test_near_duplicates_of_a_large_group_in_blocks(spark, monkeypatch):
     """Many copies of one text, none of which is the text they come from, in buckets larger than SMALL."""
     base = prose(1, 120)
     texts = {i: edited(base, i, 0.012 * (i % 6)) for i in range(1, 70)}
+    monkeypatch.setattr(op9_minhash, "BLOCK", 16)
     monkeypatch.setattr(op9_minhash, "SMALL", 4)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op9_minhash.near_duplicates(documents(spark, [(i, t, "en") for i, t in texts.items()]), k=4).collect()}
     assert got == brute_links(texts, 4)
 
 
 def test_near_duplicates_of_pages_of_one_template(spark, monkeypatch):
-    """Many pages that share most of their text, none alike enough, but for some pairs: all links are found and few pairs meet."""
+    """Many pages that share most of their text, none alike enough, but for some pairs: all links are found."""
     monkeypatch.setattr(op9_minhash, "SMALL", 4)
     frame = prose(5, 150)
     texts = {i: frame + " " + prose(1000 + i, 28) for i in range(150)}
+    monkeypatch.setattr(op9_minhash, "BLOCK", 64)
     texts |= {1000 + i: texts[i] + f" own{i} words{i}" for i in range(0, 150, 10)}
     df = documents(spark, [(i, t, "en") for i, t in texts.items()])
-    met = []
-    crowded = op9_minhash._crowded
-    monkeypatch.setattr(op9_minhash, "_crowded", lambda *a: met.append(out := crowded(*a)) or out)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op9_minhash.near_duplicates(df, k=4).collect()}
     assert got == brute_links(texts, 4) and got[1010][1] == 10
-    assert met and met[0].count() < 0.1 * 165 * 164 / 2
-
-
-def test_prefixes_lose_no_pair():
-    """Against all pairs of random sets, at several thresholds and whatever the order of shingles."""
-    import pandas as pd
-
-    rng = np.random.default_rng(9)
-    pool = rng.integers(0, 1 << 62, 60, np.int64)
-
-    class Shared:
-        value = rng.integers(0, 5, op9_minhash.COUNTERS)
-
-    sets = {i: np.sort(rng.choice(pool, rng.integers(1, 40), replace=False)) for i in range(120)}
-    sets |= {200 + i: np.unique(np.append(s, rng.integers(0, 1 << 62, 2))) for i, s in sets.items()}
-    for percent in (50, 80, 100):
-        rows = next(op9_minhash._prefixes(Shared, percent)(iter([pd.DataFrame({"id": list(sets), "component": list(sets), "shingles": list(sets.values())})])))
-        met = rows[rows["short"]].merge(rows, on="shingle")
-        met = met[(met["size_x"] < met["size_y"]) | ((met["size_x"] == met["size_y"]) & (met["id_x"] < met["id_y"]))]
-        most = np.minimum(met["place_x"], met["place_y"]) + np.minimum(met["size_x"] - met["place_x"], met["size_y"] - met["place_y"])
-        met = met[(100 * met["size_x"] >= percent * met["size_y"]) & ((100 + percent) * most >= percent * (met["size_x"] + met["size_y"]))]
-        found = set(map(frozenset, zip(met["id_x"], met["id_y"], strict=True)))
-        for a in sets:
-            for b in sets:
-                both = len(np.intersect1d(sets[a], sets[b]))
-                if a < b and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                    assert frozenset((a, b)) in found
 
 
 def test_near_duplicate_rows_that_repeat_or_lack_ids(spark):
@@ -148,8 +120,7 @@ def test_signature_estimate():
         pool = rng.integers(0, 1 << 63, 2 * n, np.uint64)
         a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:shared], pool[n : 2 * n - shared]]))
         x, y = (op9_minhash.signature(s)[1].view(np.uint64) for s in (a, b))
-        differ = sum(((x >> np.uint64(4 * i)) ^ (y >> np.uint64(4 * i))) & np.uint64(15) != 0 for i in range(16)).sum()
-        assert abs((1 - differ / op9_minhash.LANES - 1 / 16) / (1 - 1 / 16) - j) < 0.15
+        assert abs(op9_minhash._similar((x ^ y)[None])[0] - j) < 0.15
 
 
 def test_word_hashes():
