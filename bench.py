@@ -1,7 +1,7 @@
 """Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one line of JSON.
 
 Each query runs once to warm up code and caches of the file system, then once for the time; its
-result is computed whole but not sent to the driver."""
+result is computed whole but not sent to the driver. BENCH_QUERIES and BENCH_RUNS narrow it for a quick look."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ def main() -> None:
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINES)).split(",")
     took = {}
     for name in names:
-        for _ in range(2):
+        for _ in range(int(os.environ.get("BENCH_RUNS", "2"))):
             began = time.time()
             catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             took[name] = round(time.time() - began, 3)
