@@ -147,20 +147,19 @@ def _fit_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [terms(t) for t in batch["t"]]
         slots = [np.flatnonzero(x) for x in found]
-        yield pd.DataFrame({"h": batch["h"], "id": batch["id"], "q": batch["q"], "slots": slots, "weights": [x[i] for x, i in zip(found, slots, strict=True)]})
+        yield pd.DataFrame({"id": batch["id"], "q": batch["q"], "slots": slots, "weights": [x[i] for x, i in zip(found, slots, strict=True)]})
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from labelled documents that aren't held out. Rows without text, identifier or label teach nothing;
-    a document that has several labels teaches each, and each text of a repeated doc_id, FIT_ROWS rows in all at most."""
+    a document that has several labels teaches each, and each text of a repeated doc_id."""
     marked = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("q")).where("id is not null and q is not null").where(~held_out(F.col("id")))
     chosen = marked.orderBy(F.xxhash64("id"), "id", "q").limit(FIT_ROWS)
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("t")).where("t is not null")
     ship(docs.sparkSession)
-    # FIT_ROWS identifiers; as identifiers may repeat, FIT_ROWS of their rows, of DIMS numbers each at most.
-    taught = texts.join(F.broadcast(chosen), "id").withColumn("h", F.xxhash64("id", "t"))
-    rows = taught.mapInPandas(_fit_terms, "h bigint, id bigint, q int, slots array<int>, weights array<float>").orderBy("h", "id", "q").limit(FIT_ROWS).toPandas()
-    rows = rows.sort_values(["id", "q", "h"], kind="stable")
+    # Terms of FIT_ROWS documents at most (more only where a doc_id repeats), of DIMS numbers each at most.
+    rows = texts.join(F.broadcast(chosen), "id").mapInPandas(_fit_terms, "id bigint, q int, slots array<int>, weights array<float>").toPandas()
+    rows = rows.sort_values(["id", "q"], kind="stable")
     x = np.zeros((len(rows), DIMS), np.float32)
     for i, (slots, weights) in enumerate(zip(rows["slots"], rows["weights"], strict=True)):
         x[i, slots] = weights
