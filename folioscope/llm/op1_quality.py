@@ -40,8 +40,9 @@ BLOCK = 256
 PIECE = 40
 #: The number that counts words like the word before.
 _REPEATS = 0
-#: Words and bytes of them that a process keeps; more empty the cache, which changes no result.
-MAX_CACHED, MAX_CACHED_BYTES = 600_000, 64_000_000
+#: Bytes that a task keeps of words and their numbers, and what a word's entry takes besides the word; more empty the cache,
+#: and so does the task's end, as a worker goes on to other stages. Neither changes a result.
+MAX_CACHED_BYTES, ENTRY_BYTES = 40_000_000, 160
 
 _SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S).sub
@@ -64,8 +65,9 @@ class _Words(dict):
         if len(shape) > PIECE:
             self.pieces[word] = [zlib.crc32(shape[i : i + PIECE]) for i in range(0, len(shape), PIECE)]
             found |= _LONG
+            self.bytes += ENTRY_BYTES + 40 * len(self.pieces[word])
         self[word] = found
-        self.bytes += len(word)
+        self.bytes += ENTRY_BYTES + len(word)
         return found
 
     def clear(self) -> None:
@@ -83,7 +85,7 @@ def terms(text: str | None) -> np.ndarray:
     size = len(words)
     if not size:
         return np.zeros(DIMS, np.float32)
-    if len(_words) > MAX_CACHED or _words.bytes > MAX_CACHED_BYTES:
+    if _words.bytes > MAX_CACHED_BYTES:
         _words.clear()
     packed = np.fromiter(map(_words.__getitem__, words), np.int64, size)
     long = packed >= _LONG
@@ -103,6 +105,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 1e-12)
 
 
+def _unit_rows(x: np.ndarray, weights: float | np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Unit vectors of many weighted rows, put into ``out`` block by block, so that no other array of their size is made."""
+    for at in range(0, len(x), BLOCK):
+        out[at : at + BLOCK] = _unit(x[at : at + BLOCK] * weights)
+    return out
+
+
 class Model:
     def __init__(self, idf: np.ndarray, basis: np.ndarray, vectors: np.ndarray, labels: np.ndarray):
         self.idf, self.basis, self.vectors, self.labels = idf, basis, vectors, labels
@@ -133,21 +142,32 @@ def learn(x: np.ndarray, labels: list[int]) -> Model:
     """Truncated decomposition by a randomised range finder with a fixed seed."""
     n = len(x)
     idf = np.log((1 + n) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    x = _unit(x * idf)
+    x = _unit_rows(x, idf, np.empty_like(x))
     rank = max(1, min(RANK, *x.shape)) if n else 1
     draw = np.random.default_rng(7).normal(size=(DIMS, rank + 8)).astype(np.float32)
     y = x @ draw
     for _ in range(3):
         y = np.linalg.qr(x @ (x.T @ y))[0] if n else y
     basis = np.linalg.svd(y.T @ x, full_matrices=False)[2][:rank].T if n else draw[:, :1]
-    return Model(idf, np.ascontiguousarray(basis, np.float32), _unit(_unit(x) @ basis.astype(np.float32)), np.array(labels, float))
+    return Model(idf, np.ascontiguousarray(basis, np.float32), _unit(_unit_rows(x, np.float32(1), x) @ basis.astype(np.float32)), np.array(labels, float))
 
 
 def _fit_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [terms(t) for t in batch["t"]]
-        slots = [np.flatnonzero(x) for x in found]
-        yield pd.DataFrame({"id": batch["id"], "q": batch["q"], "slots": slots, "weights": [x[i] for x, i in zip(found, slots, strict=True)]})
+    try:
+        for batch in batches:
+            found = [terms(t) for t in batch["t"]]
+            slots = [np.flatnonzero(x).astype("<i4") for x in found]
+            weights = [x[i].astype("<f4").tobytes() for x, i in zip(found, slots, strict=True)]
+            yield pd.DataFrame({"id": batch["id"], "q": batch["q"], "slots": [i.tobytes() for i in slots], "weights": weights})
+    finally:
+        _words.clear()
+
+
+def _dense(rows: pd.DataFrame) -> np.ndarray:
+    x = np.zeros((len(rows), DIMS), np.float32)
+    for i, (slots, weights) in enumerate(zip(rows["slots"], rows["weights"], strict=True)):
+        x[i, np.frombuffer(slots, "<i4")] = np.frombuffer(weights, "<f4")
+    return x
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -158,12 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("t")).where("t is not null")
     ship(docs.sparkSession)
     # Terms of FIT_ROWS documents at most (more only where a doc_id repeats), of DIMS numbers each at most.
-    rows = texts.join(F.broadcast(chosen), "id").mapInPandas(_fit_terms, "id bigint, q int, slots array<int>, weights array<float>").toPandas()
+    rows = texts.join(F.broadcast(chosen), "id").mapInPandas(_fit_terms, "id bigint, q int, slots binary, weights binary").toPandas()
     rows = rows.sort_values(["id", "q"], kind="stable")
-    x = np.zeros((len(rows), DIMS), np.float32)
-    for i, (slots, weights) in enumerate(zip(rows["slots"], rows["weights"], strict=True)):
-        x[i, slots] = weights
-    return learn(x, rows["q"].tolist())
+    return learn(_dense(rows), rows["q"].tolist())
 
 
 def quality_column(spark: SparkSession, model: Model, text: str = "text") -> Column:
@@ -173,9 +190,12 @@ def quality_column(spark: SparkSession, model: Model, text: str = "text") -> Col
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
-        for batch in batches:
-            texts = batch.tolist()
-            yield pd.Series(np.concatenate([model.score(texts[at : at + BLOCK]) for at in range(0, len(texts), BLOCK)] or [np.empty(0)]))
+        try:
+            for batch in batches:
+                texts = batch.tolist()
+                yield pd.Series(np.concatenate([model.score(texts[at : at + BLOCK]) for at in range(0, len(texts), BLOCK)] or [np.empty(0)]))
+        finally:
+            _words.clear()
 
     return score(F.col(text).cast("string"))
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,8 +37,11 @@ UNIT = 1 << 16
 FLOOR = 1e-7
 #: Words up to this length are scored together, longer ones alone.
 WIDE = 40
-#: Words and their characters that a process keeps scores of.
-MAX_CACHED, MAX_CACHED_CHARS = 600_000, 8_000_000
+#: Words whose pieces are counted at once.
+COUNTED = 1024
+#: Bytes that a process keeps of words and their scores, and what a word's entry takes besides its characters and scores.
+#: Beyond that only words of many texts are kept, which changes no result.
+MAX_CACHED_BYTES, ENTRY_BYTES = 40_000_000, 200
 UNKNOWN = "und"
 MARK = "▁"
 
@@ -198,8 +201,8 @@ def expected_counts(words: dict[str, int], pieces: Pieces, q: np.ndarray | None)
                 else:
                     add(*_expected_of_long(w, pieces, q), np.float64(words[w]))
             continue
-        for at in range(0, len(some), 4096):
-            block = some[at : at + 4096]
+        for at in range(0, len(some), COUNTED):
+            block = some[at : at + COUNTED]
             n = np.array([words[w] for w in block], float)[:, None]
             cuts = _cuts(block, pieces)
             for ids, shares in _all_pieces(cuts) if q is None else _expected(cuts, q):
@@ -224,10 +227,36 @@ class Model:
     def _forget(self) -> None:
         """Row 0 is for words without a letter."""
         self.rows: dict[str, int] = {}
-        self.chars = 0
+        self.bytes = 0
         self.table = np.zeros((1 << 12, len(self.langs)))
+        #: How many texts each row's word stood in; halved whenever words are let go.
+        self.hits = np.zeros(1 << 12, np.int32)
         self.used = 1
 
+    def _size(self, words: list[str]) -> int:
+        """Bytes that these words take in the cache; the table may be twice as long as it is used, and a character takes 4 bytes at most."""
+        return len(words) * (ENTRY_BYTES + 16 * len(self.langs)) + 4 * sum(map(len, words))
+
+    def _put(self, words: list[str], scores: np.ndarray, rows: Iterable[int], hits: np.ndarray | int = 0) -> None:
+        """Appends rows of scores, and the words with the row of each."""
+        first, self.used = self.used, self.used + len(scores)
+        if self.used > len(self.table):
+            more = max(self.used - len(self.table), len(self.table))
+            self.table = np.concatenate((self.table, np.zeros((more, len(self.langs)))))
+            self.hits = np.concatenate((self.hits, np.zeros(more, np.int32)))
+        self.table[first : self.used], self.hits[first : self.used] = scores, hits
+        self.rows.update(zip(words, rows, strict=True))
+        self.bytes += self._size(words)
+
+    def _keep_frequent(self) -> None:
+        """Lets go of the words but for a quarter, those that stood in most texts."""
+        words = [w for w, at in self.rows.items() if at]
+        rows = np.array([at for at in self.rows.values() if at], np.int64)
+        order = np.argsort(-self.hits[rows], kind="stable")[: len(words) // 4]
+        scores, hits = self.table[rows[order]], self.hits[rows[order]] // 2
+        self._forget()
+        self._put([words[i] for i in order.tolist()], scores, range(1, len(order) + 1), hits)
+
     def __getstate__(self):
         return {"langs": self.langs, "pieces": self.pieces, "p": self.p, "prior": self.prior}
 
@@ -262,21 +291,18 @@ class Model:
         new = np.zeros((len(words), len(self.langs)))
         if part:
             np.add.at(new, owner, self._score(list(numbers))[part])
-        first, self.used = self.used, self.used + len(words)
-        self.chars += sum(map(len, words))
         lettered = np.zeros(len(words), bool)
         lettered[owner] = True
-        if self.used > len(self.table):
-            self.table = np.concatenate((self.table, np.zeros((max(self.used, len(self.table)), len(self.langs)))))
-        self.table[first : self.used] = new
-        self.rows.update((w, first + i if has else 0) for i, (w, has) in enumerate(zip(words, lettered.tolist(), strict=True)))
+        self._put(words, new, [self.used + i if has else 0 for i, has in enumerate(lettered.tolist())])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         counts = [Counter((t or "").split()) for t in texts]
         missing = list({w for c in counts for w in c if w not in self.rows})
-        if len(self.rows) + len(missing) > MAX_CACHED or self.chars > MAX_CACHED_CHARS:
-            self._forget()
-            missing = list({w for c in counts for w in c})
+        if self.bytes + self._size(missing) > MAX_CACHED_BYTES:
+            self._keep_frequent()
+            if self.bytes + self._size(missing) > MAX_CACHED_BYTES:
+                self._forget()
+            missing = list({w for c in counts for w in c if w not in self.rows})
         if missing:
             self.words(missing)
         out = []
@@ -285,6 +311,7 @@ class Model:
             if not rows.any() or not self.langs:
                 out.append((UNKNOWN, 0.0))
                 continue
+            self.hits[rows] += 1
             total = np.log(self.prior) + np.fromiter(c.values(), np.float64, len(c)) @ self.table[rows]
             share = np.exp(total - total.max())
             best = int(share.argmax())

@@ -178,6 +178,50 @@ def test_quality_of_equal_neighbours():
     assert m.score([prose(1, 40)])[0] == pytest.approx(1.0)
 
 
+def test_quality_leaves_no_words_behind(spark):
+    """A worker goes on to other stages, so what a task keeps of words ends with it."""
+    docs = documents(spark, [(i, prose(i, 40), "en") for i in range(40)]).repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert op1_quality.classify(docs, labels).count() == 40
+
+    def kept(batches):
+        import pandas as pd
+
+        from folioscope.llm import op1_quality
+
+        for _ in batches:
+            yield pd.DataFrame({"n": [len(op1_quality._words)]})
+
+    assert [r["n"] for r in spark.range(0, 8, 1, 4).mapInPandas(kept, "n long").collect()] == [0] * 4
+
+
+def test_quality_fits_in_little_memory():
+    """Besides the rows, one array of their size and blocks."""
+    import tracemalloc
+
+    x = np.random.default_rng(1).random((2048, op1_quality.DIMS), np.float32)
+    tracemalloc.start()
+    try:
+        op1_quality.learn(x, [0, 1] * 1024)
+        assert tracemalloc.get_traced_memory()[1] < 1.8 * x.nbytes
+    finally:
+        tracemalloc.stop()
+
+
+def test_language_cache_is_bounded_by_bytes(monkeypatch):
+    """Scores of 100 languages count in the bound, words of many texts stay, and what is let go changes no prediction."""
+    vocabulary = {"▁a": 1, "a": 2, "b": 3, "c": 4}
+    langs = [f"l{i:03}" for i in range(100)]
+    m = op7_language.learn({x: {"▁ab": 1 + i, "▁ac": 3} for i, x in enumerate(langs)}, dict.fromkeys(langs, 1), vocabulary)
+    texts = ["ab ac " + " ".join("a" + "".join("abc"[at // 3**k % 3] for k in range(10)) for at in range(i, i + 2000)) for i in range(0, 40_000, 2000)]
+    want = [m.predict([t])[0] for t in texts]
+    monkeypatch.setattr(op7_language, "MAX_CACHED_BYTES", 5_000_000)
+    m._forget()
+    for t, w in zip(texts, want, strict=True):
+        assert m.predict([t])[0] == pytest.approx(w)
+        assert m.table.nbytes + m.hits.nbytes <= 5_000_000 and {"ab", "ac"} <= m.rows.keys()
+
+
 def test_language(spark):
     rows = [(i, prose(i, 40, WORDS if i % 2 else GERMAN), "en" if i % 2 else "de") for i in range(80)]
     odd = [(100, None, "en"), (101, "", None), (102, "123 !? ² Ⅷ _", "de"), (103, "garten " * 20_000, None), (104, "ж" * 3000, None), (None, "river stone", "en"), (1, rows[1][1], "en")]
