@@ -172,6 +172,16 @@ def test_url_filters(spark):
     assert op8_url_filters.filter_urls(spark.createDataFrame([(1, "http://a.b/cd")], "page_id long, url string"), same).first()["rule"] == "a.b/c"
 
 
+def test_listed_url_rules_are_the_contract_s(spark):
+    """Each rule of the contract by its own word, also where a wider or a longer one fits or the method's own list would block."""
+    contract = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {r.pattern.removeprefix("||"): r.verdict for r in op8_url_filters.LISTED} == contract
+    urls = {"http://b.com/en/x": "com/en/", "http://example.com/en/71": "example.com/en/7", "http://example.net/de/9": "net/de/", "http://casino.b.net/de/": "net/de/", "http://www.example.net/de/8": "example.net/de/8", "http://x.org/es/": "org/es/"}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in op8_url_filters.filter_urls(pages).collect()}
+    assert got == {i: (rule, contract[rule]) for i, rule in enumerate(urls.values())}
+
+
 def test_many_url_rules_from_a_file(spark, tmp_path, monkeypatch):
     """Tens of thousands of rules, which run only where their rarest token stands, by broadcast and by shuffle."""
     path = tmp_path / "rules.txt"
