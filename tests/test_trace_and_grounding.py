@@ -173,3 +173,25 @@ def test_quotations_with_edits(spark):
 
     got = spark.createDataFrame([(i, n, h) for i, (n, h) in enumerate(cases)], "i int, n string, h string").select("i", evidence_found(F.col("n"), F.col("h")).alias("e")).orderBy("i").collect()
     assert [bool(x["e"]) for x in got] == [held(n, h) for n, h in cases]
+
+
+def test_texts_without_ids_are_told_by_what_a_match_needs(spark):
+    """The quick search lets every text pass that holds an identifier, whatever the patterns."""
+    assert [trace._needed(p) for p, _ in trace.fixed.ID_PATTERNS] == ["REQ-", "TC-", "-"]
+    assert [trace._needed(p) for p in ("(?i)req-1", r"(a)\101", "a|b", "[A-Z]+", r"\Qa-b\E", "ab?c", "(x-)+y")] == [None, None, None, None, None, "a", "y"]
+    texts = ["REQ-1", "TC-2 x", "AB-3", "no", "", "A-4", None, "req-5", "x y"]
+    for patterns in (trace.fixed.ID_PATTERNS, ((r"(?i)req-\d", "a"), ("x", "b"))):
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        ids, may = trace.matched_ids(F.col("t"), patterns), trace.may_name_ids(F.col("t"), patterns)
+        assert df.where((F.size(ids) > 0) & ~may).count() == 0 and df.where(may).count() < len(texts)
+
+
+def test_pairs_are_counted_without_being_made(spark):
+    """An identifier in every document, beside many distinct sets, makes no pairs: before, the sets of common ones met each other."""
+    n = 3000
+    m = spark.range(n).select(F.format_string("u%05d", "id").alias("uri"), F.explode(F.array(F.lit("UTF-8"), F.concat(F.lit("REQ-"), F.col("id") % 50), F.concat(F.lit("TC-"), F.col("id") % 49))).alias("id"))
+    assert trace.pairs_considered(m).first()[0] == n * (n - 1) // 2
+    top = trace.top_pairs(m, 5).collect()
+    assert [(r["uri_a"], r["uri_b"], r["n_shared"]) for r in top] == [(f"u{i:05}", f"u{i + 2450:05}", 3) for i in range(5)]
+    plan = trace.pairs_considered(m)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
