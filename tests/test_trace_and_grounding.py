@@ -195,3 +195,14 @@ def test_pairs_are_counted_without_being_made(spark):
     assert [(r["uri_a"], r["uri_b"], r["n_shared"]) for r in top] == [(f"u{i:05}", f"u{i + 2450:05}", 3) for i in range(5)]
     plan = trace.pairs_considered(m)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_places_of_trace_findings_by_ranges(spark):
+    """The places are those of one list, though no task numbers it all."""
+    found = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "info").when(F.col("id") % 3 == 1, "error").otherwise("warning").alias("severity"), F.concat(F.lit("TRC00"), F.col("id") % 2).alias("rule_id"), F.format_string("x%05d", (F.col("id") * 7919) % 5000).alias("id")).repartition(7)
+    got = trace.numbered(found)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    rank = {"error": 1, "warning": 2, "info": 3}
+    rows = sorted(got.collect(), key=lambda r: (rank[r["severity"]], r["rule_id"], r["id"]))
+    assert [r["nth"] for r in rows] == list(range(1, 5001)) and trace.numbered(found.limit(0)).count() == 0
