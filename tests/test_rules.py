@@ -104,3 +104,30 @@ def test_rulesets(spark):
         with pytest.raises(RulesetError):
             resolve(bad)
     assert (rules_evaluated(Ruleset(), "design", True), rules_evaluated(Ruleset(), "guide", True), rules_evaluated(Ruleset(), "guide", False)) == (33, 32, 22)
+
+
+def test_texts_are_not_shuffled_but_what_is_reported_of_them(spark):
+    """A long text moves no bytes: before, whole blocks were shuffled for their neighbours' sake."""
+    import re
+
+    from folioscope.operators import rules
+    from helpers import tables
+
+    found = rules.findings(*tables(spark, {"u": [heading(1), para("x" * 900)]}), None, None).select("uri", "rule_id", "block_id", "evidence")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    narrow = re.findall(r"Project \[([^\]]*own#[^\]]*bare_image#[^\]]*)\]", plan)
+    assert narrow and not any(re.search(r"(?<![A-Za-z_])(text|items|rows|caption|ocr_text)#", x) for x in narrow[:1])
+
+
+def test_quick_words_stand_in_all_that_patterns_find(spark):
+    from pyspark.sql import functions as F
+
+    from folioscope.functions import fixed
+    from folioscope.functions.text import may_hold
+
+    texts = ["tbd", "a Todo b", "FixMe", "xxx", "작성중", "추후 작성", "미정", "what???", "Table", "a chart", "DIAGRAM", "표", "차트", "그래프", "다이어그램", "아키텍처", "플로우", "owner: a", "담당자：b", "POC :c", "plain", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    for pattern, needs, n in ((fixed.DRAFT_MARK, fixed.DRAFT_MARK_NEEDS, 8), (fixed.TABLE_HINT, fixed.TABLE_HINT_NEEDS, 9), (fixed.OWNER_TEXT, fixed.OWNER_TEXT_NEEDS, 3)):
+        assert df.where(t.rlike(pattern)).count() == n
+        assert df.where(t.rlike(pattern) & ~may_hold(t, needs)).count() == 0 and df.where(~may_hold(t, needs)).count() > 5
