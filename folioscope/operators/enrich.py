@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import block_markdown, block_text, may_hold
+from ..functions.text import block_markdown, block_text, bound, may_hold
 
 
 def by_doc():
@@ -183,14 +183,16 @@ def with_quotes(blocks: DataFrame, *page: str) -> DataFrame:
 
     k = F.col("kind")
     raw = F.when(k == "image", F.coalesce("alt", "caption", "asset_ref")).when(k == "macro", F.coalesce("rendered_text", "name")).when(k == "slide", k).otherwise(block_text())
-    text = squeezed(F.coalesce(raw, F.lit("")))
-    named = blocks.withColumn("q", F.when(text == "", k).otherwise(text))
+    # Of a text, squeezed once, only both ends are shuffled.
+    q = bound(squeezed(F.coalesce(raw, F.lit(""))), lambda t: F.when(t == "", k).otherwise(t))
+    ends = lambda t: F.struct(F.substring(t, 1, fixed.QUOTE_CHARS).alias("q_begins"), F.right(t, F.lit(fixed.CONTEXT_CHARS)).alias("q_ends"))
+    named = blocks.select("*", F.inline_outer(F.transform(F.array(q), ends)))
     none = lambda c: F.when(c != "", c)
     around = Window.partitionBy("uri", *page).orderBy("pos")
     return named.select(
-        *blocks.columns, F.substring("q", 1, fixed.QUOTE_CHARS).alias("quote_exact"),
-        none(F.right(F.lag("q").over(around), F.lit(fixed.CONTEXT_CHARS))).alias("quote_prefix"),
-        none(F.substring(F.lead("q").over(around), 1, fixed.CONTEXT_CHARS)).alias("quote_suffix"),
+        *blocks.columns, F.col("q_begins").alias("quote_exact"),
+        none(F.lag("q_ends").over(around)).alias("quote_prefix"),
+        none(F.substring(F.lead("q_begins").over(around), 1, fixed.CONTEXT_CHARS)).alias("quote_suffix"),
     )
 
 
@@ -199,10 +201,17 @@ def quotes(blocks: DataFrame) -> DataFrame:
     return with_quotes(blocks).select("uri", "pos", "quote_exact", "quote_prefix", "quote_suffix")
 
 
+def beginnings(blocks: DataFrame) -> DataFrame:
+    """uri, quote_exact: the beginning of each block's text, if it has one."""
+    from ..functions.text import squeezed
+
+    return blocks.select("uri", F.explode_outer(F.array(F.substring(squeezed(block_text()), 1, fixed.QUOTE_CHARS))).alias("quote_exact")).where("quote_exact != ''")
+
+
 def locate(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     """uri, quote_exact, id: the shortest block that holds the quotation's beginning (the first of equal ones)."""
     from ..functions.text import squeezed
 
-    texts = blocks.select("uri", "id", "pos", squeezed(block_text()).alias("q"))
+    texts = blocks.select("uri", "id", "pos", F.explode_outer(F.array(squeezed(block_text()))).alias("q"))
     hit = anchors.select("uri", "quote_exact").distinct().join(texts, "uri").where(F.contains("q", F.left("quote_exact", F.lit(fixed.NEEDLE_CHARS))))
     return hit.groupBy("uri", "quote_exact").agg(F.min_by("id", F.struct(F.length("q"), "pos")).alias("id"))

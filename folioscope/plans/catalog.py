@@ -739,7 +739,7 @@ query(
     "anchor_locate",
     f"""WITH {BODY}, t AS (SELECT uri, id, pos, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS q FROM body), a AS (SELECT DISTINCT uri, substring(q, 1, 120) AS quote_exact FROM t WHERE q <> '')
   SELECT a.uri, a.quote_exact, arg_min(t.id, length(t.q) * 100000 + t.pos) AS id FROM a JOIN t ON t.uri = a.uri AND contains(t.q, left(a.quote_exact, 40)) GROUP BY a.uri, a.quote_exact""",
-)(lambda s, d: enrich.locate(views.blocks(s, d).select("uri", F.substring(text.squeezed(text.block_text()), 1, 120).alias("quote_exact")).where("quote_exact != ''"), views.blocks(s, d)))
+)(lambda s, d: enrich.locate(enrich.beginnings(views.blocks(s, d)), views.blocks(s, d)))
 query("truncated_documents", "SELECT uri, max(pos) >= 3 AS truncated FROM blocks_li GROUP BY uri")(lambda s, d: enrich.truncated(views.blocks(s, d), 3))
 query(
     "error_kinds",

@@ -72,3 +72,15 @@ def test_hash_classes(spark):
     meta = {"labels": {"labels": ["y", "x"]}, "a": {"labels": ["x", "y"]}, "b": {"labels": ["x", "y"]}, "text": {"labels": ["x", "y"]}, "label": {"labels": ["x", "y", "z"]}, "when": {"labels": ["x", "y"], "modified_at": "2020-01-01", "version": "3"}}
     h = {r["uri"]: r["document_hash"] for r in enrich.document_hash(*tables(spark, docs, meta=meta)).collect()}
     assert h["a"] == h["b"] == h["labels"] == h["when"] and len({h["a"], h["text"], h["label"]}) == 3
+
+
+def test_quotations_squeeze_a_text_once(spark):
+    """Before, the search for white space ran anew for each use of a text, and whole texts were shuffled for their ends."""
+    blocks = tables(spark, {"u": [para(" a  b" * 60), para(""), para("end\n\nof it")]})[1].select("uri", "pos", "id", "kind", "text", "alt", "caption", "asset_ref", "rendered_text", "name", "items", "headers", "rows", "notes")
+    quotes = enrich.quotes(blocks)
+    got = [tuple(r) for r in quotes.orderBy("pos").collect()]
+    whole = " ".join(["a b"] * 60)
+    assert got == [("u", 0, whole[:120], None, "paragraph"), ("u", 1, "paragraph", whole[-30:], "end of it"), ("u", 2, "end of it", "paragraph", None)]
+    for df in (quotes, enrich.beginnings(blocks)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("(?U)\\s+") == 1
+    assert {r["id"] for r in enrich.locate(enrich.beginnings(blocks), blocks).collect()} == {"b1", "b3"}
